@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from guardframe.llm.mixing import OP10_SQL, op10_source_mix
+from guardframe.llm.ngram import op1_ngram_score
 from guardframe.llm.simhash import op5_simhash_near_dedup
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_ngram_score, op5_simhash_near_dedup, op10_source_mix)}
+ORACLES: dict[str, str] = {"op10_source_mix": OP10_SQL}
