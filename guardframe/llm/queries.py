@@ -10,7 +10,8 @@ from guardframe.llm.ngram import op1_ngram_score
 from guardframe.llm.quality import op3_quality_rules
 from guardframe.llm.secrets import op2_secret_scan
 from guardframe.llm.simhash import op5_simhash_near_dedup
+from guardframe.llm.token_counts import op9_trie_token_counts
 from guardframe.llm.toxicity import op8_compression_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_ngram_score, op2_secret_scan, op3_quality_rules, op4_decontaminate, op5_simhash_near_dedup, op6_line_dedup, op7_voronoi_knn, op8_compression_toxicity, op10_source_mix)}
+QUERIES = {f.__name__: f for f in (op1_ngram_score, op2_secret_scan, op3_quality_rules, op4_decontaminate, op5_simhash_near_dedup, op6_line_dedup, op7_voronoi_knn, op8_compression_toxicity, op9_trie_token_counts, op10_source_mix)}
 ORACLES: dict[str, str] = {"op4_decontaminate": OP4_SQL, "op6_line_dedup": OP6_SQL, "op7_voronoi_knn": OP7_SQL, "op10_source_mix": OP10_SQL}
