@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from guardframe.plans import token_queries
+
+_MODULES = (token_queries,)
+QUERIES = {name: f for m in _MODULES for name, f in m.Q.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.SQL.items()}
