@@ -75,8 +75,8 @@ def distances(text: str | None, ordinary: zstandard.ZstdCompressor, toxic: zstan
 SEEN = 11
 
 
-def train_dictionaries(labelled: DataFrame, rows: int = DICTIONARY_ROWS) -> tuple[bytes, bytes]:
-    """Contents of the ordinary and the toxic dictionary from labelled(doc_id, text, label).
+def train_dictionaries(labelled: DataFrame, texts: DataFrame, rows: int = DICTIONARY_ROWS) -> tuple[bytes, bytes]:
+    """Contents of the ordinary and the toxic dictionary from labelled(doc_id, label) and texts(doc_id, text).
 
     Both begin with windows of ordinary texts. In the toxic one, units of words follow
     (whole words and their beginnings), the most telling last, where zstandard finds them
@@ -85,9 +85,9 @@ def train_dictionaries(labelled: DataFrame, rows: int = DICTIONARY_ROWS) -> tupl
     texts, so that copies of a passage count once.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = durable(
-        labelled.where("label = 1").orderBy(*order).limit(rows).union(labelled.where("label = 0").orderBy(*order).limit(rows))
-    )
+    chosen = labelled.where("label = 1").orderBy(*order).limit(rows).union(labelled.where("label = 0").orderBy(*order).limit(rows))
+    # 2 * rows ids at most go to the texts, so no text but theirs is moved
+    sample = durable(texts.join(F.broadcast(chosen), "doc_id"))
     words = F.regexp_extract_all(F.translate("text", *_LOWER), F.lit(WORD), F.lit(0))
     pairs = sample.select("label", words.alias("w")).select(
         "label", F.explode(F.arrays_zip(F.col("w").alias("word"), F.slice("w", 2, F.size("w")).alias("next"))).alias("p")
@@ -136,9 +136,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, text:
     """
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col(text).alias("text"))
     marks = labels.where("toxic is not null").select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("label"))
-    known = source.where(~F.col("held_out")).join(marks, F.col("doc_id") == F.col("label_id"))
+    known = source.where(~F.col("held_out")).select("doc_id").join(marks, F.col("doc_id") == F.col("label_id"))
     known = known.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(10)))
-    ordinary, toxic = train_dictionaries(known.where("fold < 7").select("doc_id", "text", "label"))
+    ordinary, toxic = train_dictionaries(known.where("fold < 7").select("doc_id", "label").distinct(), source.select("doc_id", "text"))
 
     def run(batches):
         a, b = compressor(ordinary or b" "), compressor(toxic or b" ")
