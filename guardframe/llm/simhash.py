@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from itertools import product
 
 import numpy as np
@@ -169,82 +170,103 @@ def simhash_components(
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+#: Documents of a component that are compared with so many others at a time, on average.
+MEMBERS = 128
+
+
 def near_duplicates(
     docs: DataFrame,
     words: int = 5,
-    radius: int = 12,
+    radius: int = 10,
     similarity: float = 0.8,
     text: str = "text",
     doc_id: str = "doc_id",
 ) -> DataFrame:
-    """(doc_id, keeper): documents that repeat another, with the document that stays.
-
-    Candidates are the SimHash components of a wide radius. In each, the least id leads;
-    members whose sets of shingles have a Jaccard similarity of at least the threshold
-    with the leader's go, and the least of the rest leads next, until none is left. So
-    whatever goes is that similar to one that stays, and a group keeps one document for
-    certain. Texts without words equal each other. Ids should be distinct; rows with a
-    null id are left alone.
+    """(doc_id) of the documents that go, so that one of each group of near-duplicates stays, the one of the least id.
+
+    A link is a pair within the SimHash radius whose sets of shingles have a Jaccard
+    similarity of at least the threshold; a group is what links connect. The radius gives
+    components of candidates; in each, texts with equal sets first become one, then
+    blocks of members meet pairwise, and a link is verified unless the two are connected
+    already. Texts without words equal each other. Ids should be distinct; rows with a
+    null id are left alone. An empty table gives an empty result.
     """
     found = simhash_components(docs.where(F.col(doc_id).isNotNull()), words, radius, 1, text, doc_id)
     many = found.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = found.join(many, "component_id").select("doc_id", "component_id")
+    members = durable(found.join(many, "component_id").select("doc_id", "fp", "component_id"))
 
     def run(batches):
         for batch in slices(batches, "text", 16 << 20):
             sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column("text").to_pylist()]
+            digests = [hashlib.sha256(x).digest() for x in sets]
+            keep = [batch.column(n) for n in ("doc_id", "fp", "component_id")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("component_id"), pa.array(sets, pa.binary())],
-                names=["doc_id", "component_id", "shingles"],
+                [*keep, pa.array(digests, pa.binary()), pa.array(sets, pa.binary())],
+                names=["doc_id", "fp", "component_id", "digest", "shingles"],
             )
 
-    left = durable(
+    sets = (
         docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
         .join(members, "doc_id")
-        .select("doc_id", "component_id", "text")
-        .mapInArrow(run, "doc_id long, component_id long, shingles binary")
+        .select("doc_id", "fp", "component_id", "text")
+        .mapInArrow(run, "doc_id long, fp long, component_id long, digest binary, shingles binary")
+    )
+    least = F.min(F.struct("doc_id", "fp", "shingles")).alias("m")
+    single = durable(sets.groupBy("component_id", "digest").agg(least).select("component_id", "m.*"))
+    count = single.groupBy("component_id").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"), F.count("*").alias("n")).where("n > 1")
+    blocks = durable(
+        single.join(count, "component_id")
+        .groupBy("component_id", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
+        .agg(F.collect_list(F.struct("doc_id", "fp", "shingles")).alias("a"))
     )
-    out = None
-    while True:
-        # a component's members lie on several salts, so that a large group meets its leader in many tasks
-        leader = left.groupBy("component_id").agg(F.min(F.struct("doc_id", "shingles")).alias("lead"))
-        salted = leader.select(
-            "component_id", "lead", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        )
-        judged = (
-            left.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-            .join(salted, ["component_id", "salt"])
-            .where("doc_id > lead.doc_id")
-            .selectExpr("doc_id", "component_id", "shingles", "lead.doc_id keeper", "lead.shingles lead")
-            .mapInArrow(_judge(similarity), "doc_id long, component_id long, shingles binary, keeper long, same boolean")
-        )
-        judged = durable(judged)
-        gone = judged.where("same").select("doc_id", "keeper")
-        out = gone if out is None else out.union(gone)
-        left = judged.where("not same").select("doc_id", "component_id", "shingles")
-        if left.isEmpty():
-            return out
-
-
-#: Tasks over which a large group of copies is dealt.
-SALTS = 16
-
-
-def _judge(similarity: float):
+    alone = blocks.where("parts = 1").select("a", F.lit(None).cast("array<struct<doc_id:long,fp:long,shingles:binary>>").alias("b"))
+    large = blocks.where("parts > 1")
+    other = large.select("component_id", F.col("part").alias("part_b"), F.col("a").alias("b"))
+    pairs = large.select("component_id", "part").join(other.select("component_id", "part_b"), "component_id").where("part <= part_b")
+    met = pairs.join(large.select("component_id", "part", "a"), ["component_id", "part"]).join(other, ["component_id", "part_b"])
+    links = alone.union(met.select("a", F.when(F.col("part") < F.col("part_b"), F.col("b")))).mapInArrow(
+        _verified(radius, similarity), "a long, b long"
+    )
+    roots = connected_components(links)
+    goes = roots.where("node <> root").select(F.col("node").alias("doc_id"))
+    kept = single.select("doc_id").join(goes, "doc_id", "left_anti")
+    return members.select("doc_id").join(kept, "doc_id", "left_anti")
+
+
+def _verified(radius: int, similarity: float):
+    """Links between the documents of two lists, or of one where the other is null, thinned to what connects them."""
+
     def run(batches):
         for batch in batches:
-            same = []
-            for a, b in zip(batch.column("shingles").to_pylist(), batch.column("lead").to_pylist()):
-                if a == b:
-                    same.append(True)
-                    continue
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                same.append(bool(common >= similarity * (len(a) + len(b) - common) and len(a) and len(b)))
-            keep = [batch.column(n) for n in ("doc_id", "component_id", "shingles", "keeper")]
-            yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(same, pa.bool_())], names=["doc_id", "component_id", "shingles", "keeper", "same"]
-            )
+            out = []
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+                rows = a + (b or [])
+                fps = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
+                split = len(a) if b else 0
+                near = np.bitwise_count(fps[: split or None, None] ^ fps[None, split:]) <= radius
+                sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+                group = list(range(len(rows)))
+
+                def root(i, group=group):
+                    while group[i] != i:
+                        group[i] = group[group[i]]
+                        i = group[i]
+                    return i
+
+                for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+                    j += split
+                    x, y = root(i), root(j)
+                    if x == y or not (len(sets[i]) and len(sets[j])):
+                        continue
+                    small, big = sorted((len(sets[i]), len(sets[j])))
+                    if small < similarity * big:
+                        continue
+                    common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if common >= similarity * (small + big - common):
+                        group[x] = y
+                        out.append((rows[i]["doc_id"], rows[j]["doc_id"]))
+            ends = np.array(out, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
     return run
 
