@@ -86,7 +86,8 @@ class GuardedFrame:
         return self._with(self.df.select(*out), kept, self.mode or bool(kept))
 
     def where(self, condition: Column | str) -> GuardedFrame:
-        self._public("SENSITIVE_CMP", lambda df: df.where(condition))
+        # a filter would find columns that are only dropped, a projection does not
+        self._public("SENSITIVE_CMP", lambda df: df.select(F.expr(condition) if isinstance(condition, str) else condition))
         return self._with(self.df.where(condition))
 
     def where_token(self, column: str, token: str) -> GuardedFrame:
@@ -142,7 +143,7 @@ class GuardedFrame:
     def order_by(self, *keys: str | Column) -> GuardedFrame:
         """Ascending keys have nulls last, as PostgreSQL does."""
         keys = [F.col(k).asc_nulls_last() if isinstance(k, str) else k for k in keys]
-        self._public("SENSITIVE_LOC", lambda df: df.orderBy(*keys))
+        self._public("SENSITIVE_LOC", lambda df: df.select(F.row_number().over(W.orderBy(*keys))))
         return self._with(self.df.orderBy(*keys))
 
     def distinct(self) -> GuardedFrame:
@@ -153,7 +154,7 @@ class GuardedFrame:
     def distinct_on(self, keys: list[str], order: list[Column]) -> GuardedFrame:
         if self.mode:
             raise GuardError("DISTINCT_SENSITIVE")
-        self._public("SENSITIVE_LOC", lambda df: df.select(*keys, *order))
+        self._public("SENSITIVE_LOC", lambda df: df.select(F.row_number().over(W.partitionBy(*keys).orderBy(*order))))
         place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
         return self._with(self.df.withColumn("_place", place).where("_place = 1").drop("_place"))
 
