@@ -14,9 +14,9 @@ ERRORS, LEAST_BAND = 4, 2
 SALTS = 32
 
 
-def site_lines(docs: DataFrame, text: str, site: str) -> DataFrame:
-    """(uid, pos, line, site) of every line of at least MIN_WORDS words, trimmed of white space; uid tells rows apart."""
-    lines = docs.select("uid", F.col(site).alias("site"), F.posexplode(F.split(F.col(text), "\n")).alias("pos", "line"))
+def site_lines(docs: DataFrame) -> DataFrame:
+    """(uid, pos, line, site) of every line of docs(uid, text, site) with at least MIN_WORDS words, trimmed of white space; uid tells rows apart."""
+    lines = docs.select("uid", "site", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     lines = lines.withColumn("line", F.regexp_replace("line", r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", ""))
     return lines.where(F.regexp_count("line", F.lit(WORD)) >= MIN_WORDS)
 
@@ -60,21 +60,22 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
 
 
 def line_dedup(
-    docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", doc_id: str = "doc_id"
+    docs: DataFrame, min_sites: int = MIN_SITES, text: str = "text", site: str = "source", doc_id: str = "doc_id", report: bool = True
 ) -> DataFrame:
-    """docs with cross-site boilerplate lines taken out of the text, and n_lines and n_removed.
+    """docs with cross-site boilerplate lines taken out of the text, and, to report, n_lines and n_removed.
 
     A line of at least MIN_WORDS words (trimmed, otherwise as it stands) that is on
     min_sites distinct sites or more is boilerplate. It stays where it comes first, in the
     row of the least id, and goes everywhere else; so no content is lost, and copies of a
     document give way to the first. Other lines, blank ones too, stay as they are. A null
     or empty text stays as it is. A null site is a site of its own, with the empty name. Rows
-    that repeat an id, or have none, are told apart by their content. No row goes.
+    that repeat an id, or have none, are told apart by their content. No row goes. Columns
+    of docs that are named like the two numbers give way to them in a report.
     """
     # the hash orders rows of one id, so that reruns agree; equal rows are in effect the same row
     place = F.struct(F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1)).alias("id"), F.xxhash64(text, site).alias("h"))
-    keyed = docs.withColumn("_place", place)
-    lines = site_lines(keyed.select(F.col("_place").alias("uid"), text, site), text, site)
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), place.alias("place"))
+    lines = site_lines(keyed.select(F.col("place").alias("uid"), F.col(f"doc.{text}").alias("text"), F.col(f"doc.{site}").alias("site")))
     h1, h2 = _key()
     lines = durable(lines.select("uid", "pos", "site", h1.alias("h1"), h2.alias("h2")))
     lines = lines.select(F.col("uid.id").alias("uid"), F.col("uid.h").alias("uh"), "pos", "site", "h1", "h2")
@@ -86,17 +87,19 @@ def line_dedup(
         .join(salted, ["h1", "h2", "salt"])
         .where("uid <> fu or pos <> fp")
         .groupBy("uid", "uh")
-        .agg(F.collect_set("pos").alias("_gone"))
-        .select(F.struct(F.col("uid").alias("id"), F.col("uh").alias("h")).alias("_place"), "_gone")
-    )
-    parts = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("_gone", i), x)), lambda x: x.isNotNull()), "\n")
-    out = keyed.join(gone, "_place", "left")
-    return out.select(
-        *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text else F.col(c) for c in docs.columns],
-        F.when(F.col(text) == "", 0).otherwise(F.coalesce(F.size(parts), F.lit(0))).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
+        .agg(F.collect_set("pos").alias("gone"))
+        .select(F.struct(F.col("uid").alias("id"), F.col("uh").alias("h")).alias("place"), "gone")
     )
+    old = F.col(f"doc.{text}")
+    parts = F.split(old, "\n")
+    kept = F.array_join(F.filter(F.transform(parts, lambda x, i: F.when(~F.array_contains("gone", i), x)), lambda x: x.isNotNull()), "\n")
+    out = keyed.join(gone, "place", "left")
+    names = [c for c in docs.columns if not report or c not in ("n_lines", "n_removed")]
+    columns = [(F.when(F.col("gone").isNull(), old).otherwise(kept) if c == text else F.col(f"doc.{c}")).alias(c) for c in names]
+    if report:
+        columns.append(F.when(old == "", 0).otherwise(F.coalesce(F.size(parts), F.lit(0))).cast("long").alias("n_lines"))
+        columns.append(F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*columns)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
