@@ -29,7 +29,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the boilerplate lines of many sources; n_chars follows the text."""
-    out = line_dedup(docs).drop("n_lines", "n_removed")
+    out = line_dedup(docs, report=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
