@@ -29,7 +29,7 @@ def form(sql: str):
 def minimum_slice(spark, sf_dir):
     """Customers of one market segment, names as tokens."""
     customer = read(spark, sf_dir, "customer")
-    rules = normalize_column_rules(customer.limit(1).select(F.lit("tpch").alias("conn"), F.lit("customer.c_name").alias("path")))
+    rules = normalize_column_rules(spark.createDataFrame([("tpch", "customer.c_name")], "conn string, path string"))
     g = Guard(spark, rules)
     picked = g.table(customer, "customer", "c").where("c_mktsegment = 'BUILDING'").order_by("c_custkey")
     return picked.select("c.c_custkey", "c.c_name").limit(200).to_df()
