@@ -82,24 +82,36 @@ def _grouped(pivots: np.ndarray, most: float, width: int, query: bool):
     return run
 
 
-def _replicated(pivots: np.ndarray, most: float, width: int, reach: dict[int, tuple[float, int]], blocks: int):
+def _bins(asked: list[tuple[int, int]], between: np.ndarray) -> list[tuple[list[int], int]]:
+    """Groups (pivot, queries) put together to blocks of QUERY_BLOCK queries at most, neighbours first; a larger group is a bin of several chunks."""
+    bins, size = [], 0
+    for group, n in sorted(asked, key=lambda x: (between[0, x[0]], x[0])):
+        if n > QUERY_BLOCK:
+            bins.append(([group], -(-n // QUERY_BLOCK)))
+            size = QUERY_BLOCK
+        elif bins and size + n <= QUERY_BLOCK:
+            bins[-1][0].append(group)
+            size += n
+        else:
+            bins.append(([group], 1))
+            size = n
+    return bins
+
+
+def _replicated(pivots: np.ndarray, most: float, width: int, bins: list[tuple[list[int], int]], reach: dict[int, float], blocks: int):
     """Data rows once for each block of queries that they may matter to."""
-    groups = np.array(sorted(reach), np.int64)
-    bound = np.array([reach[g][0] for g in groups.tolist()])
-    chunks = [reach[g][1] for g in groups.tolist()]
 
     def run(batches):
         for batch in batches:
             ids, packed = batch.column("vec_id"), batch.column("v")
-            d = _distances(_lifted(_matrix(packed.to_pylist(), width), most, False), pivots[groups])
-            near = d <= bound
+            d = _distances(_lifted(_matrix(packed.to_pylist(), width), most, False), pivots)
             block = (mix(ids.fill_null(0).to_numpy().astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
-            for k, g in enumerate(groups.tolist()):
-                mine = np.flatnonzero(near[:, k])
-                for c in range(chunks[k] if len(mine) else 0):
+            for k, (groups, chunks) in enumerate(bins):
+                mine = np.flatnonzero((d[:, groups] <= np.array([reach[g] for g in groups])).any(axis=1))
+                for c in range(chunks if len(mine) else 0):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(mine), g)), pa.array(np.full(len(mine), c)), pa.array(block[mine]), ids.take(pa.array(mine)), packed.take(pa.array(mine))],
-                        names=["grp", "chunk", "block", "vec_id", "v"],
+                        [pa.array(np.full(len(mine), k)), pa.array(np.full(len(mine), c)), pa.array(block[mine]), ids.take(pa.array(mine)), packed.take(pa.array(mine))],
+                        names=["bin", "chunk", "block", "vec_id", "v"],
                     )
 
     return run
@@ -170,19 +182,21 @@ def knn_join(
     for r in asked:
         upper = sorted(r.radius + between[r.grp, x.grp] + x.d for x in nearest)
         bound = upper[k] if len(upper) > k else math.inf
-        reach[r.grp] = (bound + r.radius + slack, -(-r.n // QUERY_BLOCK))
+        reach[r.grp] = bound + r.radius + slack
     if not reach:
         return vectors.sparkSession.createDataFrame([], out)
     blocks = -(-count // DATA_BLOCK)
+    bins = _bins([(r.grp, r.n) for r in asked], between)
     sent = ints.select("vec_id", "v").mapInArrow(
-        _replicated(pivots, most, width, reach, blocks), "grp long, chunk long, block long, vec_id long, v binary"
+        _replicated(pivots, most, width, bins, reach, blocks), "bin long, chunk long, block long, vec_id long, v binary"
     )
-    chunk = F.element_at(F.create_map(*[F.lit(x) for g, (_, n) in reach.items() for x in (g, n)]), F.col("grp"))
-    asks = queries.select(
-        "grp", F.pmod(F.xxhash64("vec_id"), chunk).alias("chunk"),
+    place = F.create_map(*[x for k, (groups, _) in enumerate(bins) for g in groups for x in (F.lit(g).cast("long"), F.lit(k))])
+    chunks = F.create_map(*[F.lit(x) for k, (_, n) in enumerate(bins) for x in (k, n)])
+    asks = queries.withColumn("bin", F.element_at(place, F.col("grp")).cast("long")).select(
+        "bin", F.pmod(F.xxhash64("vec_id"), F.element_at(chunks, F.col("bin").cast("int"))).alias("chunk"),
         F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), "vec_id", "v",
     )
-    cells = ("grp", "chunk", "block")
+    cells = ("bin", "chunk", "block")
     found = asks.groupBy(*cells).cogroup(sent.groupBy(*cells)).applyInArrow(
         _solve(k, width), "query_id long, vec_id long, score long"
     )
