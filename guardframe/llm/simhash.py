@@ -15,6 +15,8 @@ from guardframe.llm.components import connected_components
 
 #: Fingerprints in a tile, on average, where a class of population counts has so many.
 TILE = 4096
+#: Classes whose sizes are broadcast; more are joined.
+MOST_CLASSES = 100_000
 #: Rows of a tile that are compared at a time.
 ROWS = 128
 
@@ -121,6 +123,8 @@ def near_links(fps: DataFrame, radius: int, blocks: int = 4, tile: int = TILE) -
 
     classed = fps.select("fp", signature.alias("sig"))
     parts = classed.groupBy("sig").agg(F.ceil(F.count("*") / tile).alias("parts"))
+    if (width + 1) ** blocks <= MOST_CLASSES:  # the number of classes does not grow with the data
+        parts = F.broadcast(parts)
     tiles = durable(
         classed.join(parts, "sig")
         .groupBy("sig", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part"))
