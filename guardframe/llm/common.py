@@ -24,6 +24,17 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod, F.lit(-1))
 
 
+def sample_by_hash(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """All rows if they are no more than asked for, else about so many: those whose key has a low hash.
+
+    One count and one filter, alike on every run; no sort, and no task that sees all rows.
+    """
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1 << 40)) < int(rows / n * (1 << 40)))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows, computed once and kept where all executors can read them.
 

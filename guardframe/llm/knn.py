@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from guardframe.llm.common import durable, mix, table
+from guardframe.llm.common import durable, mix, sample_by_hash, table
 
 #: Pivots (a fixed number, so the summaries have a fixed size); data rows and queries of a local join, on average.
 PIVOTS, DATA_BLOCK, QUERY_BLOCK = 64, 20_000, 512
@@ -166,8 +166,8 @@ def knn_join(
     if not count:
         return vectors.sparkSession.createDataFrame([], out)
     width = max(1, longest // 8)
-    # PIVOTS rows, whatever the size: a sample by hash, so that reruns agree
-    chosen = ints.orderBy(F.xxhash64("v", "vec_id"), "vec_id").limit(PIVOTS).select("v").collect()
+    # PIVOTS rows, whatever the size, alike on every run
+    chosen = sample_by_hash(ints, 4 * PIVOTS, "v", "vec_id").orderBy(F.xxhash64("v", "vec_id"), "vec_id").limit(PIVOTS).select("v").collect()
     pivots = _lifted(_matrix([r.v for r in chosen], width), most, False)
 
     queries = ints.where(f"vec_id % {every} = 0").groupBy("vec_id").agg(F.min("v").alias("v"))

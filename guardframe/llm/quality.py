@@ -16,9 +16,9 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from guardframe.llm.common import durable, remainder, slices, table
+from guardframe.llm.common import durable, remainder, sample_by_hash, slices, table
 
-#: Labelled rows that a model is fitted on, at most: those of the least hashes of their ids.
+#: Labelled rows that a model is fitted on: about so many, of low hashes of their ids, where there are more.
 SAMPLE = 20_000
 #: Trees, their depth, and the weight of the lasso.
 TREES, DEPTH, LASSO = 20, 4, 0.0005
@@ -139,13 +139,12 @@ class RuleModel:
 
 
 def fit_rules(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, depth: int = DEPTH, lasso: float = LASSO) -> RuleModel:
-    """A model from labelled(doc_id, stats, label 0 or 1), of which the sample is the least ids' hashes.
+    """A model from labelled(doc_id, stats, label 0 or 1), of which about `sample` rows are taken by their ids' hashes.
 
     With labels of one kind only, or none, it has no rules and the smoothed share of ones.
     """
     rows = durable(
-        labelled.orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(sample)
+        sample_by_hash(labelled, sample, "doc_id")
         .select(array_to_vector("stats").alias("features"), "stats", F.col("label").cast("double").alias("label"))
     )
     n, ones = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()

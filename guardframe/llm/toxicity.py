@@ -18,9 +18,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from guardframe.llm.common import WORD, durable, remainder, slices, table
+from guardframe.llm.common import WORD, durable, remainder, sample_by_hash, slices, table
 
-#: Labelled texts that the dictionaries and the calibration are fitted on, at most (of each label, for the first).
+#: Labelled texts that the dictionaries (of each label) and the calibration are fitted on: about so many where there are more.
 DICTIONARY_ROWS, CALIBRATION_ROWS = 4_000, 8_000
 #: Bytes of a dictionary's ordinary and toxic parts, and of a window.
 ORDINARY_BYTES, TOXIC_BYTES, WINDOW = 8_192, 16_384, 64
@@ -85,8 +85,9 @@ def train_dictionaries(labelled: DataFrame, texts: DataFrame, rows: int = DICTIO
     texts, so that copies of a passage count once.
     """
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = labelled.where("label = 1").orderBy(*order).limit(rows).union(labelled.where("label = 0").orderBy(*order).limit(rows))
-    # 2 * rows ids at most go to the texts, so no text but theirs is moved
+    labelled = durable(labelled)
+    chosen = sample_by_hash(labelled.where("label = 1"), rows, "doc_id").union(sample_by_hash(labelled.where("label = 0"), rows, "doc_id"))
+    # about 2 * rows ids at most go to the texts, so no text but theirs is moved
     sample = durable(texts.join(F.broadcast(chosen), "doc_id"))
     words = F.regexp_extract_all(F.translate("text", *_LOWER), F.lit(WORD), F.lit(0))
     pairs = sample.select("label", words.alias("w")).select(
@@ -153,7 +154,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, held_out: Column, text:
     seen = durable(source.mapInArrow(run, f"doc_id {kind}, held_out boolean, d array<double>"))
     fit = seen.where(~F.col("held_out")).join(marks, F.col("doc_id") == F.col("label_id"))
     fit = fit.where(F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(10)) >= 7)
-    fit = durable(fit.orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).select("d", F.col("label").cast("double").alias("label")))
+    fit = sample_by_hash(durable(fit.select("doc_id", "d", "label")), CALIBRATION_ROWS, "doc_id")
+    fit = durable(fit.select("d", F.col("label").cast("double").alias("label")))
     n, ones = fit.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     total = F.lit(math.log((ones + 1) / (n - ones + 1)))
     if 0 < ones < n and toxic:
