@@ -24,6 +24,12 @@ def remainder(doc_id: Column, mod: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % mod, F.lit(-1))
 
 
+def row_hash(*columns: str) -> tuple[Column, Column]:
+    """h1 and h2, 128 bits of hash of the columns; a null is a value of its own."""
+    whole = [x for c in columns for x in (F.col(c).isNull(), F.col(c))]
+    return F.xxhash64(F.lit(1), *whole).alias("h1"), F.xxhash64(F.lit(2), *whole).alias("h2")
+
+
 def sample_by_hash(df: DataFrame, rows: int, *key: str) -> DataFrame:
     """All rows if they are no more than asked for, else about so many: those whose key has a low hash.
 

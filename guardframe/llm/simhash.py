@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from guardframe.llm.common import durable, slices, table
+from guardframe.llm.common import durable, mix, row_hash, slices, table
 from guardframe.llm.components import connected_components
 
 #: Fingerprints in a tile, on average, where a class of population counts has so many.
@@ -174,80 +174,192 @@ def simhash_components(
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Documents of a component that are compared with so many others at a time, on average.
+#: Sets of a component that are compared with so many others at a time, on average.
 MEMBERS = 128
+#: 64-bit words of a wide fingerprint.
+WIDE = 4
+#: A class of set sizes is so many times as wide as the one below.
+STEP = 1.25**0.25
+WORDS = [f"w{k}" for k in range(WIDE)]
 
 
-def near_duplicates(
-    docs: DataFrame,
-    words: int = 5,
-    radius: int = 10,
-    similarity: float = 0.8,
-    text: str = "text",
-    doc_id: str = "doc_id",
-) -> DataFrame:
-    """(doc_id) of the documents that go, so that one of each group of near-duplicates stays, the one of the least id.
+def wide_fingerprint(hashes: np.ndarray) -> list[int]:
+    """WIDE fingerprints of the hashes, each of them scrambled by another seed."""
+    with np.errstate(over="ignore"):
+        return [fingerprint(mix(hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))) for k in range(WIDE)]
+
+
+def compare_wide(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Pairs of columns of a and b, arrays of WIDE words, within the radius, thinned to what spans their components."""
+    parts = []
+    for start in range(0, a.shape[1], ROWS):
+        some = a[:, start : start + ROWS]
+        count = np.bitwise_count(some[0, :, None] ^ b[0])
+        for k in range(1, WIDE - 1):
+            count += np.bitwise_count(some[k, :, None] ^ b[k])
+        i, j = np.nonzero(count <= radius)  # the last word is counted only where the others leave room
+        if len(i):
+            near = count[i, j] + np.bitwise_count(some[-1, i] ^ b[-1, j]).astype(np.int64) <= radius
+            if near.any():
+                parts.append((i[near] + start, j[near]))
+    if not parts:
+        return []
+    near = np.zeros((a.shape[1], b.shape[1]), bool)
+    for i, j in parts:
+        near[i, j] = True
+    return _forest(near)
+
 
-    A link is a pair within the SimHash radius whose sets of shingles have a Jaccard
-    similarity of at least the threshold; a group is what links connect. The radius gives
-    components of candidates; in each, texts with equal sets first become one, then
-    blocks of members meet pairwise, and a link is verified unless the two are connected
-    already. Texts without words equal each other. Ids should be distinct; rows with a
-    null id are left alone. An empty table gives an empty result.
+def wide_links(sets: DataFrame, radius: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """Links (a, b) between distinct nodes of sets(node, size, w0, w1, ...) that span the pairs within the radius.
+
+    Sets of a Jaccard similarity have sizes in that ratio or nearer, so only tiles of
+    classes of sizes that near are compared, each pair of tiles once, all against all.
     """
-    found = simhash_components(docs.where(F.col(doc_id).isNotNull()), words, radius, 1, text, doc_id)
-    many = found.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = durable(found.join(many, "component_id").select("doc_id", "fp", "component_id"))
+    reach = int(np.log(1 / similarity) / np.log(STEP) + 1e-6) + 1
+    classed = sets.select("node", *WORDS, F.floor(F.log(F.col("size").cast("double")) / float(np.log(STEP))).alias("class"))
+    # the number of classes follows the longest text's logarithm
+    parts = F.broadcast(classed.groupBy("class").agg(F.ceil(F.count("*") / tile).alias("parts")))
+    tiles = durable(
+        classed.join(parts, "class")
+        .groupBy("class", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+        .agg(F.collect_list(F.struct("node", *WORDS)).alias("rows"))
+    )
+    names = tiles.select("class", "part")
+    pairs = (
+        names.selectExpr("class class_a", "part part_a")
+        .withColumn("step", F.explode(F.array(*[F.lit(x) for x in range(reach + 1)])))
+        .withColumn("class", F.col("class_a") + F.col("step"))
+        .join(names, "class")
+        .where("step > 0 or part_a <= part")
+        .select("class_a", "part_a", "class", "part")
+    )
+    both = pairs.join(tiles.selectExpr("class class_a", "part part_a", "rows a"), ["class_a", "part_a"]).join(
+        tiles.selectExpr("class", "part", "rows b"), ["class", "part"]
+    )
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for a, b in zip(batch.column("a"), batch.column("b")):
+                words, nodes = [], []
+                for x in (a.values, b.values):
+                    words.append(np.stack([x.field(w).to_numpy(zero_copy_only=False) for w in WORDS]).view(np.uint64))
+                    nodes.append(x.field("node").to_numpy(zero_copy_only=False))
+                found += [(n, m) for i, j in compare_wide(*words, radius) if (n := int(nodes[0][i])) != (m := int(nodes[1][j]))]
+            ends = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+
+    return both.select("a", "b").mapInArrow(run, "a long, b long")
+
+
+def _sets(batch: pa.RecordBatch, words: int) -> tuple[list[np.ndarray], list[int]]:
+    """The set of shingles of each text and its node, the first 64 bits of its SHA-256."""
+    sets = [np.unique(shingle_hashes(t, words)) for t in batch.column("text").to_pylist()]
+    return sets, [int.from_bytes(hashlib.sha256(x.tobytes()).digest()[:8], "little", signed=True) for x in sets]
+
+
+def near_groups(source: DataFrame, words: int = 5, radius: int = 76, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """Of source(doc_id, h1, h2, text): each row's (doc_id, h1, h2), and the (h1, h2) that stays of each group.
+
+    (h1, h2) is a hash of the row, so rows that share it have one text and id. Rows of equal
+    sets of shingles become one first. Candidates are pairs of sets within the radius of
+    their wide fingerprints; they make components, in which blocks of members meet
+    pairwise, and a link is verified unless the two are connected already. The least id
+    of a group stays, a null one only where there is no other.
+    """
+
+    def mark(batches):
+        for batch in slices(batches, "text", 16 << 20):
+            sets, nodes = _sets(batch, words)
+            fps = list(zip(*map(wide_fingerprint, sets))) or [()] * WIDE
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(n) for n in ("doc_id", "h1", "h2")),
+                    *(pa.array(x, pa.int64()) for x in (nodes, list(map(len, sets)), *fps)),
+                ],
+                names=["doc_id", "h1", "h2", "node", "size", *WORDS],
+            )
+
+    longs = ", ".join(f"{n} long" for n in ("doc_id", "h1", "h2", "node", "size", *WORDS))
+    marked = durable(source.mapInArrow(mark, longs))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h1", "h2")).alias("m")
+    distinct = durable(
+        marked.groupBy("node").agg(least, *(F.max(c).alias(c) for c in ("size", *WORDS)))
+    )
+    near = connected_components(wide_links(distinct.where("size > 0"), radius, similarity))
+    members = durable(distinct.join(near, "node").select("node", "root", "m.h1", "m.h2", *WORDS))
 
     def run(batches):
         for batch in slices(batches, "text", 16 << 20):
-            sets = [np.unique(shingle_hashes(t, words)).tobytes() for t in batch.column("text").to_pylist()]
-            digests = [hashlib.sha256(x).digest() for x in sets]
-            keep = [batch.column(n) for n in ("doc_id", "fp", "component_id")]
+            sets, _ = _sets(batch, words)
             yield pa.RecordBatch.from_arrays(
-                [*keep, pa.array(digests, pa.binary()), pa.array(sets, pa.binary())],
-                names=["doc_id", "fp", "component_id", "digest", "shingles"],
+                [*(batch.column(n) for n in ("node", "root", *WORDS)), pa.array([x.tobytes() for x in sets], pa.binary())],
+                names=["node", "root", *WORDS, "shingles"],
             )
 
-    sets = (
-        docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        .join(members, "doc_id")
-        .select("doc_id", "fp", "component_id", "text")
-        .mapInArrow(run, "doc_id long, fp long, component_id long, digest binary, shingles binary")
+    entry = F.struct("node", *WORDS, "shingles")
+    single = (
+        source.select("h1", "h2", "text")
+        .join(members, ["h1", "h2"])
+        .select("node", "root", *WORDS, "text")
+        .mapInArrow(run, ", ".join(f"{n} long" for n in ("node", "root", *WORDS)) + ", shingles binary")
+        .groupBy("root", "node")  # equal rows
+        .agg(F.first(entry).alias("x"))
     )
-    least = F.min(F.struct("doc_id", "fp", "shingles")).alias("m")
-    single = durable(sets.groupBy("component_id", "digest").agg(least).select("component_id", "m.*"))
-    count = single.groupBy("component_id").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"), F.count("*").alias("n")).where("n > 1")
+    count = members.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
     blocks = durable(
-        single.join(count, "component_id")
-        .groupBy("component_id", "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"))
-        .agg(F.collect_list(F.struct("doc_id", "fp", "shingles")).alias("a"))
+        single.join(count, "root")
+        .groupBy("root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
+        .agg(F.collect_list("x").alias("a"))
     )
-    alone = blocks.where("parts = 1").select("a", F.lit(None).cast("array<struct<doc_id:long,fp:long,shingles:binary>>").alias("b"))
+    kind = blocks.schema["a"].dataType
+    alone = blocks.where("parts = 1").select("a", F.lit(None).cast(kind).alias("b"))
     large = blocks.where("parts > 1")
-    other = large.select("component_id", F.col("part").alias("part_b"), F.col("a").alias("b"))
-    pairs = large.select("component_id", "part").join(other.select("component_id", "part_b"), "component_id").where("part <= part_b")
-    met = pairs.join(large.select("component_id", "part", "a"), ["component_id", "part"]).join(other, ["component_id", "part_b"])
+    other = large.select("root", F.col("part").alias("part_b"), F.col("a").alias("b"))
+    pairs = large.select("root", "part").join(other.select("root", "part_b"), "root").where("part <= part_b")
+    met = pairs.join(large.select("root", "part", "a"), ["root", "part"]).join(other, ["root", "part_b"])
     links = alone.union(met.select("a", F.when(F.col("part") < F.col("part_b"), F.col("b")))).mapInArrow(
         _verified(radius, similarity), "a long, b long"
     )
     roots = connected_components(links)
-    goes = roots.where("node <> root").select(F.col("node").alias("doc_id"))
-    kept = single.select("doc_id").join(goes, "doc_id", "left_anti")
-    return members.select("doc_id").join(kept, "doc_id", "left_anti")
+    grouped = distinct.select("node", "m").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    kept = grouped.groupBy("root").agg(F.min("m").alias("m")).select("m.h1", "m.h2")
+    return marked.select("doc_id", "h1", "h2"), kept
+
+
+def near_duplicates(
+    docs: DataFrame,
+    words: int = 5,
+    radius: int = 76,
+    similarity: float = 0.8,
+    text: str = "text",
+    doc_id: str = "doc_id",
+) -> DataFrame:
+    """(doc_id) of the documents that go, so that one of each group of near-duplicates stays, the one of the least id.
+
+    A link is a pair whose sets of shingles have a Jaccard similarity of at least the
+    threshold and whose 256-bit fingerprints differ in at most radius bits; a group is
+    what links connect. Texts without words equal each other. Ids should be distinct;
+    rows with a null id are left alone. An empty table gives an empty result.
+    """
+    source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = source.select("doc_id", *row_hash("doc_id", "text"), "text")
+    rows, kept = near_groups(source, words, radius, similarity)
+    return rows.join(kept, ["h1", "h2"], "left_anti").select("doc_id")
 
 
 def _verified(radius: int, similarity: float):
-    """Links between the documents of two lists, or of one where the other is null, thinned to what connects them."""
+    """Links between the sets of two lists, or of one where the other is null, thinned to what connects them."""
 
     def run(batches):
         for batch in batches:
             out = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
                 rows = a + (b or [])
-                fps = np.array([r["fp"] for r in rows], np.int64).view(np.uint64)
+                fps = np.array([[r[w] for w in WORDS] for r in rows], np.int64).view(np.uint64)
                 split = len(a) if b else 0
-                near = np.bitwise_count(fps[: split or None, None] ^ fps[None, split:]) <= radius
+                near = np.bitwise_count(fps[: split or None, None] ^ fps[None, split:]).sum(axis=2, dtype=np.int64) <= radius
                 sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
                 group = list(range(len(rows)))
 
@@ -260,7 +372,7 @@ def _verified(radius: int, similarity: float):
                 for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
                     j += split
                     x, y = root(i), root(j)
-                    if x == y or not (len(sets[i]) and len(sets[j])):
+                    if x == y:
                         continue
                     small, big = sorted((len(sets[i]), len(sets[j])))
                     if small < similarity * big:
@@ -268,7 +380,7 @@ def _verified(radius: int, similarity: float):
                     common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if common >= similarity * (small + big - common):
                         group[x] = y
-                        out.append((rows[i]["doc_id"], rows[j]["doc_id"]))
+                        out.append((rows[i]["node"], rows[j]["node"]))
             ends = np.array(out, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
 
