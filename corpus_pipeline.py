@@ -9,22 +9,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from guardframe.llm.common import table
+from guardframe.llm.common import row_hash, table
 from guardframe.llm.decontaminate import contaminated
 from guardframe.llm.lines import line_dedup
 from guardframe.llm.mixing import source_mix
 from guardframe.llm.quality import quality_scores
-from guardframe.llm.simhash import near_duplicates
+from guardframe.llm.simhash import near_groups
+
+
+def keyed(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs with two columns that hash the whole row, and their names; a repeated or null id is no matter, equal rows share them."""
+    names = ["row_h1", "row_h2"]
+    while set(names) & set(docs.columns):
+        names = [n + "_" for n in names]
+    return docs.select(*docs.columns, *(h.alias(n) for h, n in zip(row_hash(*docs.columns), names))), names
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble does not reject, learned from all labels."""
-    columns = docs.columns
-    kept = quality_scores(docs, table(spark, sf_dir, "labels"), F.lit(False)).where("predicted = 0").select("doc_id").distinct()
-    good = docs.join(kept, "doc_id", "left_anti")
-    return good.select(*columns)
+    """Rows that the rule ensemble does not reject, learned from all labels; each row is judged by its own text."""
+    rows, key = keyed(docs)
+    gone = quality_scores(rows, table(spark, sf_dir, "labels"), F.lit(False), keep=key).where("predicted = 0").select(*key).distinct()
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +41,25 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one of the least id."""
-    gone = near_duplicates(docs).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near-duplicates, the one of the least id.
+
+    Rows that share an id are compared like any others, and of equal rows one stays. A null
+    id comes after all others, so such a row stays only where its group has no id.
+    """
+    rows, key = keyed(docs)
+    source = rows.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(k).alias(h) for k, h in zip(key, ("h1", "h2"))), "text")
+    _, kept = near_groups(source)
+    number = f"{key[0]}_n"
+    # Spark applies the limit of one before the exchange too
+    once = rows.withColumn(number, F.row_number().over(W.partitionBy(*key).orderBy(key[0]))).where(F.col(number) == 1)
+    return once.join(kept.toDF(*key), key, "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    gone = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Rows that hold no benchmark item; each row is judged by its own text."""
+    rows, key = keyed(docs)
+    gone = contaminated(rows, table(spark, sf_dir, "benchmark"), keep=key).select(*key).distinct()
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

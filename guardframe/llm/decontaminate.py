@@ -114,9 +114,12 @@ def contaminated(
     doc_id: str = "doc_id",
     item_text: str = "text",
     item_id: str = "item_id",
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """(doc_id, item_id, shingles, found, containment): documents that hold an item's shingles to that share or more.
 
+    Columns of longs to keep come after these.
+
     Words are lower-cased (A-Z) runs of anything but ASCII white space. An item of fewer
     words than a shingle is one shingle of them all; one without words is in no document.
     A null text is empty. Rows that repeat an id are judged each for itself, a null id
@@ -125,12 +128,12 @@ def contaminated(
     The items are searched in blocks of a bounded size; each block goes to all executors
     and meets all documents in one pass that shuffles nothing. Passes grow with the items.
     """
-    out = "doc_id long, item_id long, shingles long, found long, containment double"
+    out = "doc_id long, item_id long, shingles long, found long, containment double" + "".join(f", {c} long" for c in keep or [])
     spark = docs.sparkSession
     wanted = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text"))
     size = wanted.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // ITEM_BLOCK))
-    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *(keep or []))
     result = None
     for b in range(blocks):
         rows = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
@@ -145,8 +148,9 @@ def contaminated(
                         batch.column("doc_id").take(at),
                         *(pa.array([h[k] for h in hits], pa.int64()) for k in (1, 2, 3)),
                         pa.array([h[3] / h[2] for h in hits], pa.float64()),
+                        *(batch.column(c).take(at) for c in keep or []),
                     ],
-                    names=["doc_id", "item_id", "shingles", "found", "containment"],
+                    names=["doc_id", "item_id", "shingles", "found", "containment", *(keep or [])],
                 )
 
         found = source.mapInArrow(run, out)

@@ -2,6 +2,7 @@
 
 import numpy as np
 
+import corpus_pipeline
 from guardframe.llm import simhash
 
 
@@ -32,3 +33,30 @@ def test_near_duplicates_with_a_passage_that_is_repeated(spark):
         docs += [(2 * k, f"{words}\n{line}"), (2 * k + 1, words + f"\n{line}" * 150)]
     got = {r.doc_id for r in simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {2 * k + 1 for k in range(20)}
+
+
+def test_stages_judge_rows_whose_ids_are_repeated_or_null(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    word = lambda: "".join(rng.choice(["ka", "lo", "mi", "ture", "ness", "ba"], rng.integers(2, 5)))
+    fresh = lambda: " ".join(word() for _ in range(60))
+    junk = lambda: " ".join(word() + "@@@" for _ in range(60))
+    item = " ".join(word() for _ in range(20))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in rows], schema)
+    texts = lambda df: sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in df.collect())
+    want = lambda rows: sorted((i is None, i or 0, t) for i, t in rows)
+    spark.createDataFrame([(k, int(k % 2), 0) for k in range(80)], "doc_id long, quality long, toxic long").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    good = [(k, fresh()) for k in range(1, 80, 2)] + [(500, fresh()), (None, fresh())]
+    bad = [(k, junk()) for k in range(0, 80, 2)] + [(500, junk()), (None, junk())]
+    assert texts(corpus_pipeline.quality(spark, frame(good + bad + good[:1]), str(tmp_path))) == want(good + good[:1])
+
+    held = [(500, f"{fresh()} {item}"), (None, f"{fresh()} {item}")]
+    assert texts(corpus_pipeline.decontaminate(spark, frame(good + held), str(tmp_path))) == want(good)
+
+    a, b, c, d = fresh(), fresh(), fresh(), fresh()
+    rows = [(7, a), (7, a), (7, b), (8, a + " more"), (None, a), (None, c), (None, c), (None, c + " more"), (9, d), (None, d)]
+    left = texts(corpus_pipeline.near_dedup(spark, frame(rows), str(tmp_path)))
+    assert [x for x in left if not x[0]] == want([(7, a), (7, b), (9, d)])
+    assert len(left) == 4 and left[-1][2] in (c, c + " more")
