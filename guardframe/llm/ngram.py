@@ -261,6 +261,7 @@ def _count_words(shards: int):
                 "batch": asked.column("batch"),
                 "shard": pa.array([shard] * len(out), pa.int64()),
                 "known": pa.array([len(ids), *[0] * (len(out) - 1)], pa.int64()),
+                "top": pa.array([max(total.values(), default=0)] * len(out), pa.int64()),
                 "data": pa.array(out, pa.binary()),
             }
         )
@@ -268,8 +269,8 @@ def _count_words(shards: int):
     return run
 
 
-def _ask_contexts(shards: int, total: int, distinct: int, train_docs: int):
-    """For a batch: base scores, and what to ask the shards of contexts."""
+def _ask_contexts(shards: int, total: int, distinct: int, train_docs: int, split: bool = False):
+    """For a batch: base scores, and what to ask the shards of contexts; or only the training pairs of split contexts."""
 
     def run(key, state, answers):
         number = key[0].as_py()
@@ -306,6 +307,15 @@ def _ask_contexts(shards: int, total: int, distinct: int, train_docs: int):
         else:
             order = np.lexsort((targets, contexts, shard))
         contexts, targets, doc, shard = contexts[order], targets[order], doc[order], shard[order]
+        if split:
+            kept = np.flatnonzero((slices_of[contexts] > 1) & ~held[doc])
+            contexts, targets, shard = contexts[kept], targets[kept], shard[kept]
+            kept = np.ones(len(kept), bool)
+            kept[1:] = (contexts[1:] != contexts[:-1]) | (targets[1:] != targets[:-1])
+            contexts, targets, shard = contexts[kept], targets[kept], shard[kept]
+            bounds = np.append(runs(shard), len(shard))
+            parts = [(int(shard[a]), pack(word_id[contexts[a:b]], word_id[targets[a:b]])) for a, b in zip(bounds, bounds[1:])]
+            return pa.table({"shard": pa.array([x for x, _ in parts], pa.int64()), "data": pa.array([x for _, x in parts], pa.binary())})
         bounds = np.searchsorted(shard, np.arange(shards + 1))
         trains = np.packbits(~held)
         small = np.int32 if max(word_id.max(), count.max()) < 2**31 else np.int64
@@ -332,7 +342,18 @@ def _ask_contexts(shards: int, total: int, distinct: int, train_docs: int):
     return run
 
 
-def _score_shard(total: int, distinct: int):
+def _count_kinds(parts):
+    """For a shard: how many distinct successors it holds of each split context."""
+    context, word = map(np.concatenate, zip(*(unpack(x) for x in parts.column("data").to_pylist())))
+    order = np.lexsort((word, context))
+    context, word = context[order], word[order]
+    kept = np.ones(len(order), bool)
+    kept[1:] = (context[1:] != context[:-1]) | (word[1:] != word[:-1])
+    context, kinds = np.unique(context[kept], return_counts=True)
+    return pa.table({"context": pa.array(context, pa.int64()), "kinds": pa.array(kinds, pa.int64())})
+
+
+def _score_shard(total: int, distinct: int, kinds: dict[int, int]):
     """For a shard: the trie of its contexts, and from it each asking batch's sums by document."""
 
     def run(asked):
@@ -361,7 +382,7 @@ def _score_shard(total: int, distinct: int):
             context_count = context_count[order][starts].astype(np.float64)
             unigram = np.log10((word_count[order][starts] + 1.0) / (total + distinct + 1))
             with tempfile.TemporaryDirectory() as folder:
-                build_trie(context, word, seen, context_count, unigram).save(folder)
+                build_trie(context, word, seen, context_count, unigram, kinds).save(folder)
                 found = NgramTrie.open(folder).log10(context, word, unigram)
             score = np.empty(len(order))
             score[order] = found[np.cumsum(pair) - 1]
@@ -380,23 +401,26 @@ def _score_shard(total: int, distinct: int):
     return run
 
 
-def build_trie(context, word, seen, context_count, unigram) -> NgramTrie:
+def build_trie(context, word, seen, context_count, unigram, kinds: dict[int, int] | None = None) -> NgramTrie:
     """The trie of sorted distinct pairs with their training counts; pairs that were not seen are left out.
 
     P(w | v) = (1 - k) c(v w) / c(v) + k P(w), with k = T / (C + T) from the C occurrences
-    and T distinct successors of v that this shard holds. Where it holds all of them,
-    that is Witten-Bell's (c(v w) + T P(w)) / (c(v) + T).
+    and T distinct successors of v: Witten-Bell's (c(v w) + T P(w)) / (c(v) + T). kinds
+    has T for the contexts of which this shard holds a part; their C is the context's
+    count. Such a context is in the trie though no successor of it in this part was seen.
     """
+    heads = runs(context)
+    split = np.fromiter((kinds.get(c, 0) for c in context[heads].tolist()), np.int64, len(heads)) if kinds else np.zeros(len(heads), np.int64)
+    owner = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(context))))
+    here = np.bincount(owner, weights=seen > 0, minlength=len(heads)).astype(np.int64)
+    mass = np.where(split > 0, context_count[heads], np.bincount(owner, weights=seen, minlength=len(heads)))
+    every = np.where(split > 0, split, here)
+    weight = every / np.maximum(mass + every, 1)
     kept = np.flatnonzero(seen > 0)
-    context, word, seen = context[kept], word[kept], seen[kept]
-    context_count, unigram = context_count[kept], unigram[kept]
-    starts = runs(context)
-    kinds = np.diff(np.append(starts, len(context)))
-    mass = np.add.reduceat(seen, starts) if len(starts) else np.zeros(0)
-    weight = kinds / (mass + kinds)
-    share = np.repeat(weight, kinds)
-    values = np.log10((1 - share) * seen / context_count + share * 10**unigram)
-    return NgramTrie.build(context[starts], np.log10(weight), kinds, word, values)
+    share = weight[owner[kept]]
+    values = np.log10((1 - share) * seen[kept] / context_count[kept] + share * 10 ** unigram[kept])
+    held = np.flatnonzero(every > 0)
+    return NgramTrie.build(context[heads[held]], np.log10(weight[held]), here[held], word[kept], values)
 
 
 def _finish(total: int):
@@ -447,17 +471,19 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", doc_id: s
 
     asked = state.select("batch", "data").mapInArrow(_ask_words(shards), "shard long, batch long, data binary")
     answers = durable(
-        asked.groupBy("shard").applyInArrow(_count_words(shards), "batch long, shard long, known long, data binary")
-    )
-    distinct = (answers.agg(F.sum("known")).first()[0] or 0) + (train_docs > 0)
-
-    asks = (
-        state.select("batch", "data")
-        .groupBy("batch")
-        .cogroup(answers.select("batch", "shard", "data").groupBy("batch"))
-        .applyInArrow(_ask_contexts(shards, total, distinct, train_docs), "shard long, batch long, own boolean, data binary")
+        asked.groupBy("shard").applyInArrow(_count_words(shards), "batch long, shard long, known long, top long, data binary")
     )
-    scored = asks.groupBy("shard").applyInArrow(_score_shard(total, distinct), "batch long, own boolean, data binary")
+    known, top = answers.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.max("top"), F.lit(0))).first()
+    distinct = known + (train_docs > 0)
+
+    both = state.select("batch", "data").groupBy("batch").cogroup(answers.select("batch", "shard", "data").groupBy("batch"))
+    kinds = {}
+    if max(top, train_docs) * shards >= max(total, 1):  # a context is split; there are no more such contexts than shards
+        pairs = both.applyInArrow(_ask_contexts(shards, total, distinct, train_docs, True), "shard long, data binary")
+        parts = pairs.groupBy("shard").applyInArrow(_count_kinds, "context long, kinds long")
+        kinds = {r.context: r.kinds for r in parts.groupBy("context").agg(F.sum("kinds").alias("kinds")).collect()}
+    asks = both.applyInArrow(_ask_contexts(shards, total, distinct, train_docs), "shard long, batch long, own boolean, data binary")
+    scored = asks.groupBy("shard").applyInArrow(_score_shard(total, distinct, kinds), "batch long, own boolean, data binary")
     return scored.groupBy("batch").applyInArrow(_finish(total), OUT)
 
 

@@ -1,9 +1,13 @@
 """Results that must be whole: near copies, hot contexts, concatenated archives, repeated and null ids."""
 
+import math
+from collections import Counter
+
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from guardframe.llm import simhash
+from guardframe.llm import ngram, simhash
 
 
 def _copies(rng, k):
@@ -60,3 +64,24 @@ def test_stages_judge_rows_whose_ids_are_repeated_or_null(spark, tmp_path):
     left = texts(corpus_pipeline.near_dedup(spark, frame(rows), str(tmp_path)))
     assert [x for x in left if not x[0]] == want([(7, a), (7, b), (9, d)])
     assert len(left) == 4 and left[-1][2] in (c, c + " more")
+
+
+def test_a_hot_context_of_one_successor_is_alike_in_all_shards(spark):
+    others = [f"w{k}" for k in range(40)]
+    texts = ["hot next " * 40 + others[k % 40] for k in range(60)] + [f"hot {w} {w}" for w in others]
+    tokens = [[*t.split(), "END"] for t in texts]
+    held = [k >= 60 for k in range(len(texts))]
+    c, b = Counter(), Counter()
+    for t, h in zip(tokens, held):
+        if not h:
+            c.update(t)
+            b.update(zip(["END", *t], t))
+    after = Counter(v for v, _ in b)
+    n, v = sum(c.values()), len(c)
+    p = lambda w: (c[w] + 1) / (n + v + 1)
+    full = lambda h, w: (b[h, w] + after[h] * p(w)) / (c[h] + after[h]) if c[h] else p(w)
+    want = [sum(math.log10(full(h, w)) for h, w in zip(["END", *t], t)) for t in tokens]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for shard in (500, 2_000_000):
+        got = {r.doc_id: r.score for r in ngram.score_texts(df, F.col("doc_id") >= 60, shard=shard).collect()}
+        assert max(abs(got[k] - w) for k, w in enumerate(want)) < 1e-6, shard
