@@ -156,7 +156,7 @@ def knn_join(
     while they fit a long. No rows, or none to ask, give an empty result.
 
     Data and queries are grouped by the nearest of a fixed number of pivots. From each
-    group's size, radius and k + 1 least distances follows how far any answer to a group
+    group's radius and k + 1 least distances of distinct ids follows how far any answer to a group
     of queries can lie; a data row is sent to the groups of queries that it may matter
     to, in blocks, and each block of queries meets each block of data in one task.
     """
@@ -166,8 +166,11 @@ def knn_join(
     if not count:
         return vectors.sparkSession.createDataFrame([], out)
     width = max(1, longest // 8)
-    # PIVOTS rows, whatever the size, alike on every run
-    chosen = sample_by_hash(ints, 4 * PIVOTS, "v", "vec_id").orderBy(F.xxhash64("v", "vec_id"), "vec_id").limit(PIVOTS).select("v").collect()
+    # PIVOTS distinct vectors, whatever the size, alike on every run; the threshold may keep too few where vectors repeat
+    lowest = lambda rows: rows.select("v").distinct().orderBy(F.xxhash64("v"), "v").limit(PIVOTS).collect()
+    chosen = lowest(sample_by_hash(ints, 4 * PIVOTS, "v"))
+    if len(chosen) < PIVOTS:
+        chosen = lowest(ints)
     pivots = _lifted(_matrix([r.v for r in chosen], width), most, False)
 
     queries = ints.where(f"vec_id % {every} = 0").groupBy("vec_id").agg(F.min("v").alias("v"))
@@ -175,12 +178,15 @@ def knn_join(
     asked = queries.groupBy("grp").agg(F.max("d").alias("radius"), F.count("*").alias("n")).collect()  # PIVOTS rows at most
     grouped = ints.select("vec_id", "v").mapInArrow(_grouped(pivots, most, width, False), "vec_id long, v binary, grp long, d double")
     place = F.row_number().over(W.partitionBy("grp").orderBy("d"))
-    nearest = grouped.select("grp", "d").withColumn("place", place).where(F.col("place") <= k + 1)
-    nearest = nearest.select("grp", "d").collect()  # PIVOTS * (k + 1) rows at most
+    nearest = grouped.groupBy("grp", "vec_id").agg(F.min("d").alias("d")).withColumn("place", place).where(F.col("place") <= k + 1)
+    nearest = nearest.select("grp", "vec_id", "d").collect()  # PIVOTS * (k + 1) rows at most
     between = _distances(pivots, pivots)
     reach, slack = {}, 1e-6 * (1 + math.sqrt(most))
     for r in asked:
-        upper = sorted(r.radius + between[r.grp, x.grp] + x.d for x in nearest)
+        upper = {}  # by id, as a query's own rows may be many and in several groups
+        for x in nearest:
+            upper[x.vec_id] = min(upper.get(x.vec_id, math.inf), r.radius + between[r.grp, x.grp] + x.d)
+        upper = sorted(upper.values())
         bound = upper[k] if len(upper) > k else math.inf
         reach[r.grp] = bound + r.radius + slack
     if not reach:

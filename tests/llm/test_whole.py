@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from guardframe.llm import ngram, simhash
+from guardframe.llm import knn, ngram, simhash
 
 
 def _copies(rng, k):
@@ -85,3 +85,25 @@ def test_a_hot_context_of_one_successor_is_alike_in_all_shards(spark):
     for shard in (500, 2_000_000):
         got = {r.doc_id: r.score for r in ngram.score_texts(df, F.col("doc_id") >= 60, shard=shard).collect()}
         assert max(abs(got[k] - w) for k, w in enumerate(want)) < 1e-6, shard
+
+
+def test_knn_with_an_id_that_fills_a_third_of_the_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * 40]) for i in range(1, 400)]
+    rows += [(100, [5.0 + float(x) for x in rng.normal(size=4) * 1e-3]) for _ in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in knn.knn_join(df).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    ints = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows]
+    for q in (100, 200, 300):
+        own = min((np.array(v, "<i8").tobytes(), v) for i, v in ints if i == q)[1]
+        scores = sorted(((-sum(x * y for x, y in zip(own, v)), i) for i, v in ints if i != q))[:10]
+        assert got[q] == [(i, -s) for s, i in scores]
+
+
+def test_knn_of_few_distinct_vectors_has_pivots(spark):
+    for seed in range(3):
+        rows = [(100 + k % 2, [float(seed), float(k % 2)]) for k in range(3000)]
+        got = knn.knn_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+        assert len(got) == 10 and {r.vec_id for r in got} == {101}
