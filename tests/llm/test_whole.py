@@ -1,13 +1,19 @@
 """Results that must be whole: near copies, hot contexts, concatenated archives, repeated and null ids."""
 
+import base64
+import bz2
+import gzip
+import lzma
 import math
 from collections import Counter
 
 import numpy as np
+import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from guardframe.llm import knn, ngram, simhash
+from guardframe.llm import knn, ngram, secrets, simhash
 
 
 def _copies(rng, k):
@@ -107,3 +113,26 @@ def test_knn_of_few_distinct_vectors_has_pivots(spark):
         rows = [(100 + k % 2, [float(seed), float(k % 2)]) for k in range(3000)]
         got = knn.knn_join(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
         assert len(got) == 10 and {r.vec_id for r in got} == {101}
+
+
+KEY = "AKIA" + "Q7" * 8
+
+
+def kinds(data):
+    _, spans, _, cut = secrets.scan(base64.b64encode(data).decode())
+    return {k for k, *_ in spans}, cut
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.ZstdCompressor().compress])
+def test_all_members_of_a_packed_piece_are_read(pack):
+    assert kinds(pack(b"nothing here " * 9) + pack(b"password = hunter2hunter2 ") + pack(KEY.encode())) == ({"assign", "access"}, False)
+    assert kinds(pack(pack(b"plain words ") + pack(KEY.encode()))) == ({"access"}, False)
+
+
+def test_long_packed_pieces_are_read_to_the_end():
+    text = ("é words and more words\n" * 3_200_000).encode()  # over 64 MB
+    assert kinds(gzip.compress(text + KEY.encode(), 1)) == ({"access"}, False)
+
+
+def test_a_control_character_or_an_invalid_byte_hides_nothing():
+    assert kinds(b"some words\x00and \xff others " + KEY.encode()) == ({"access"}, False)
