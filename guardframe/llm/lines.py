@@ -10,7 +10,7 @@ from guardframe.llm.common import WORD, durable, table
 MIN_SITES, MIN_WORDS, LG_REGISTERS = 3, 5, 10
 #: Half the width of the band around the threshold, in standard errors of the sketch, and in sites at least.
 ERRORS, LEAST_BAND = 4, 2
-#: Parts over which the documents of one line are dealt.
+#: Parts over which the places of one line are dealt.
 SALTS = 32
 
 
@@ -22,11 +22,16 @@ def site_lines(docs: DataFrame) -> DataFrame:
 
 
 def _key(line="line"):
-    return F.xxhash64(line), F.xxhash64(line, F.lit(1))
+    # the number comes first: a hash of several values chains them, so two that begin alike are one hash of 64 bits
+    return F.xxhash64(F.lit(1), line), F.xxhash64(F.lit(2), line)
+
+
+def _salt():
+    return F.pmod(F.xxhash64("uid", "uh", "pos"), F.lit(SALTS)).cast("int")
 
 
 def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(h1, h2, sites, first): lines of lines(h1, h2, site, uid, pos) on at least so many distinct sites.
+    """(h1, h2, sites, first): lines of lines(h1, h2, site, uid, uh, pos) on at least so many distinct sites.
 
     Each line's sites are sketched; sketches merge by aggregation, on the map side first.
     A line whose estimate is near the threshold gets its exact number of distinct sites.
@@ -46,7 +51,7 @@ def boilerplate_lines(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame
     near = spread.where(F.abs(F.col("sites") - min_sites) <= band)
     salted = near.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     exact = (
-        lines.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int"))
+        lines.withColumn("salt", _salt())
         .join(salted, ["h1", "h2", "salt"], "left_semi")
         .groupBy("h1", "h2", F.coalesce("site", F.lit("")).alias("site"))
         .agg(F.lit(1).alias("one"))
@@ -83,7 +88,7 @@ def line_dedup(
     salted = flagged.select("h1", "h2", F.col("first.uid").alias("fu"), F.col("first.pos").alias("fp"),
                             F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     gone = (
-        lines.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int"))
+        lines.withColumn("salt", _salt())
         .join(salted, ["h1", "h2", "salt"])
         .where("uid <> fu or pos <> fp")
         .groupBy("uid", "uh")
