@@ -24,6 +24,8 @@ from guardframe.llm.common import slices, table
 
 #: The vocabulary file, where the driver finds it; the text put before a pre-token; the penalty of an unknown character.
 VOCABULARY, MARK, UNKNOWN = "/opt/tokenizers/piece_bpe_32k.model", "▁", 10.0
+#: Characters from which on a pre-token is scored by itself: so long a one shares its prefix with hardly any other.
+LONG = 256
 
 
 def load_scores(path: str = VOCABULARY) -> dict[str, float]:
@@ -52,6 +54,18 @@ class Pieces:
         for piece, score in scores.items():
             self.score[states[piece]] = score
         self.unknown = min(scores.values(), default=0.0) - UNKNOWN
+        self.scores, self.nested = scores, None
+
+    def tree(self) -> dict:
+        """The trie as nested dictionaries, with a piece's score under the empty key; made when first asked for."""
+        if self.nested is None:
+            self.nested = {}
+            for piece, score in self.scores.items():
+                node = self.nested
+                for c in piece:
+                    node = node.setdefault(c, {})
+                node[""] = score
+        return self.nested
 
     def step(self, state: np.ndarray, char: np.ndarray) -> np.ndarray:
         """The next states; -1 where no piece goes on."""
@@ -60,8 +74,37 @@ class Pieces:
         return np.where(self.keys[at] == key, self.next[at], -1) if len(self.keys) else np.full(len(key), -1)
 
 
+def count_long(word: str, pieces: Pieces) -> int:
+    """Tokens of the best segmentation of one word, by the forward pass over its characters alone."""
+    tree, unknown, n = pieces.tree(), pieces.unknown, len(word)
+    best, tokens = [-math.inf] * (n + 1), [0] * (n + 1)
+    best[0] = 0.0
+    for start in range(n):
+        now, count, node, end = best[start], tokens[start], tree, start
+        while (node := node.get(word[end])) is not None:
+            end += 1
+            score = node.get("")
+            if score is not None and (now + score > best[end] or (now + score == best[end] and count + 1 < tokens[end])):
+                best[end], tokens[end] = now + score, count + 1
+            if end == n:
+                break
+        if "" not in tree.get(word[start], ()):
+            size, end = len(word[start].encode("utf-8", "surrogatepass")), start + 1
+            if now + unknown > best[end] or (now + unknown == best[end] and count + size < tokens[end]):
+                best[end], tokens[end] = now + unknown, count + size
+    return tokens[n]
+
+
 def count_tokens(words: list[str], pieces: Pieces) -> np.ndarray:
     """Tokens of the best segmentation of each word; of equal scores the one with fewer tokens."""
+    if any(len(w) >= LONG for w in words):
+        out = np.zeros(len(words), np.int64)
+        short = [i for i, w in enumerate(words) if len(w) < LONG]
+        out[short] = count_tokens([words[i] for i in short], pieces)
+        for i, w in enumerate(words):
+            if len(w) >= LONG:
+                out[i] = count_long(w, pieces)
+        return out
     order = sorted(range(len(words)), key=words.__getitem__)
     chars = np.frombuffer("".join(words[i] for i in order).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
     length = np.fromiter((len(words[i]) for i in order), np.int64, len(words))

@@ -34,6 +34,16 @@ def test_counts_are_those_of_a_plain_viterbi():
     assert got.tolist() == [brute(w, SCORES) for w in words]
 
 
+def test_long_words_are_those_of_a_plain_viterbi_and_quick():
+    rng = random.Random(5)
+    pool = [p.replace("▁", "") for p in SCORES]
+    words = ["▁" + "".join(rng.choice(pool) for _ in range(300)) for _ in range(5)] + ["▁" + "漢é🙂z" * 200, "▁" + "x" * 3000]
+    pieces = tc.Pieces(SCORES)
+    assert all(len(w) >= tc.LONG for w in words)
+    assert tc.count_tokens([*words, "▁short"], pieces).tolist() == [*(brute(w, SCORES) for w in words), brute("▁short", SCORES)]
+    assert tc.count_tokens(["▁" + "QUJD" * 50_000], pieces)[0] > 0
+
+
 def test_counts_agree_with_a_public_unigram_implementation():
     tokenizers = pytest.importorskip("tokenizers")
     vocab = [("<unk>", 0.0), *SCORES.items()]
