@@ -10,6 +10,8 @@ from guardframe.llm.common import WORD, durable, table
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: Words of a block; words of a shard, on average; the seed of the selection.
 BLOCK, SHARD, SEED = 32, 1_000_000, "mix-1"
+#: Equal rows that are numbered together.
+COPIES = 65_536
 
 
 def source_targets(sizes: DataFrame, source: str, size: str) -> DataFrame:
@@ -80,22 +82,24 @@ def source_mix(
 ) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row: how many of its words the mix takes.
 
-    Documents of a source are dealt to shards by a seeded digest, as many as its words
-    ask for. The blocks that all sources give, SHARE of all words in all, are apportioned
-    to the sources by target, and each source's to its shards by size. In a shard the
-    documents lie end to end in seeded order, cut in blocks of equal words; seeded order of
-    the blocks says which are taken once more than the rest, up to REPEATS times. A
-    source's words so differ from its target by a block or two for each shard.
+    Documents of a source are dealt to shards by a seeded digest of id and text, as many
+    as its words ask for; equal rows are counted first and then dealt each by its number.
+    The blocks that all sources give, SHARE of all words in all, are apportioned to the
+    sources by target, and each source's to its shards by size. In a shard the documents
+    lie end to end in seeded order, cut in blocks of equal words; seeded order of the
+    blocks says which are taken once more than the rest, up to REPEATS times. A source's
+    words so differ from its target by a block or two for each shard.
 
     A null or empty text has size 0 and gives nothing. A null source is a source of its
-    own, the last. Rows with one id (repeated, or null) count and are dealt together, and
-    each takes its part. An empty table gives an empty result. Reruns agree.
+    own, the last. Rows that repeat an id, or have none, count each and take each its
+    part. An empty table gives an empty result. Reruns agree.
     """
     sized = durable(
         docs.select(
             F.col(doc_id).alias("doc_id"),
             F.col(source).alias("source"),
             F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest"),
         )
     )
     targets = source_targets(sized, "source", "size")
@@ -106,8 +110,13 @@ def source_mix(
     )
     quotas = durable(quotas)
 
+    # rows without words take no part; of equal rows each gets a number, so many at a time
+    equal = sized.where("size > 0").groupBy("doc_id", "source", "size", "digest").agg(F.count("*").alias("n"))
+    some = equal.withColumn("from", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)")))
+    some = some.repartition("digest", "from")
+    rows = some.withColumn("copy", F.explode(F.expr(f"sequence(`from`, least(n, `from` + {COPIES}) - 1)")))
     # sources are few beside documents, but their number has no bound: a plain join, which Spark broadcasts when small
-    dealt = sized.withColumn("digest", _digest("doc_id"))
+    dealt = rows.withColumn("digest", _digest("doc_id", "digest", "copy"))
     dealt = dealt.join(quotas, F.col("source").eqNullSafe(F.col("name"))).select(
         "doc_id", "size", "source", "source_size", "target", "source_quota", "digest",
         F.pmod(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long"), F.col("shards")).alias("shard"),
@@ -121,26 +130,24 @@ def source_mix(
     laid = (
         dealt.join(shards.withColumnRenamed("source", "s").withColumnRenamed("shard", "d"),
                    F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("d")))
-        .withColumn("end", F.sum("size").over(lane.orderBy("digest", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)))
+        .withColumn("end", F.sum("size").over(lane.orderBy("digest").rowsBetween(W.unboundedPreceding, 0)))
         .withColumn("start", F.col("end") - F.col("size"))
-        .withColumn("row", F.struct("start", "end"))
     )
-    pieces = laid.withColumn(
-        "block", F.explode_outer(F.expr(f"case when size > 0 then sequence(start div {block}, (end - 1) div {block}) end"))
-    ).withColumn("words", F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block))
-    count = F.ceil(F.col("shard_size") / block)
-    place = F.dense_rank().over(lane.orderBy(F.col("block").isNull(), _digest("source", "shard", "block"), "block"))
+    pieces = laid.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (end - 1) div {block})"))).withColumn(
+        "words", F.least("end", (F.col("block") + 1) * block) - F.greatest("start", F.col("block") * block)
+    )
+    place = F.dense_rank().over(lane.orderBy(_digest("source", "shard", "block"), "block"))
     times = F.expr("shard_quota div n") + (F.col("place") <= F.expr("shard_quota % n")).cast("long")
     taken = (
-        pieces.withColumn("n", count)
+        pieces.withColumn("n", F.ceil(F.col("shard_size") / block))
         .withColumn("place", place)
-        .withColumn("times", F.when(F.col("n") > 0, F.least(times, F.lit(REPEATS))).otherwise(0))
+        .withColumn("times", F.least(times, F.lit(REPEATS)))
         .groupBy("source", "shard", "doc_id", "size", "source_size", "target", "start", "end", "digest")
-        .agg(F.count("*").alias("copies"), F.coalesce(F.sum(F.col("words") * F.col("times")), F.lit(0)).alias("taken"))
+        .agg(F.sum(F.col("words") * F.col("times")).cast("long").alias("taken"))
+        .select("doc_id", "size", "source_size", "target", "taken")
     )
-    # rows of size 0 that share an id also share their place: give each its row again
-    again = taken.withColumn("_row", F.explode(F.sequence(F.lit(1), F.when(F.col("size") > 0, 1).otherwise(F.col("copies")).cast("int"))))
-    return again.select("doc_id", "size", "source_size", "target", F.col("taken").cast("long").alias("taken"))
+    without = sized.where("size = 0").join(quotas, F.col("source").eqNullSafe(F.col("name")))
+    return taken.union(without.select("doc_id", "size", "source_size", "target", F.lit(0).cast("long")))
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,7 +169,7 @@ def _apportion_sql(name: str, claims: str, within: str, order: str, claim: str,
 
 
 OP10_SQL = f"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::BIGINT AS size, md5(coalesce(text, '')) AS text_md5 FROM documents),
 total AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 ranked AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1] AS weight, 2 * source_size AS lim FROM total),
 leveled AS (SELECT *, ((1.5 * sum(source_size) OVER () - coalesce(sum(lim) OVER (ORDER BY lim::DOUBLE / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
@@ -170,17 +177,18 @@ leveled AS (SELECT *, ((1.5 * sum(source_size) OVER () - coalesce(sum(lim) OVER
 targets AS (SELECT source, source_size, least(lim::DOUBLE, coalesce((SELECT arg_min(lvl, lim::DOUBLE / weight) FROM leveled WHERE NOT lim < lvl * weight) * weight, lim::DOUBLE)) AS target FROM leveled),
 blocks AS (SELECT *, round(sum(target) OVER () / {BLOCK})::BIGINT AS seats FROM targets),
 {_apportion_sql("q", "blocks", "", "source ASC NULLS LAST", "target", "seats", "source, source_size, target")},
-dealt AS (SELECT s.doc_id, s.size, s.source, q.source_size, q.target, q.quota::BIGINT AS source_quota, md5('{SEED}|' || coalesce(s.doc_id::VARCHAR, '')) AS digest,
-  ('0x' || md5('{SEED}|' || coalesce(s.doc_id::VARCHAR, ''))[:8])::BIGINT % greatest(1, ceil(q.source_size / {SHARD}.0)::BIGINT) AS shard
-  FROM sized s JOIN q ON s.source IS NOT DISTINCT FROM q.source),
+hashed AS (SELECT *, md5('{SEED}|' || coalesce(doc_id::VARCHAR, '') || '|' || text_md5 || '|' || (row_number() OVER (PARTITION BY doc_id, source, text_md5) - 1)) AS digest FROM sized WHERE size > 0),
+dealt AS (SELECT s.doc_id, s.size, s.source, q.source_size, q.target, q.quota::BIGINT AS source_quota, digest, ('0x' || digest[:8])::BIGINT % greatest(1, ceil(q.source_size / {SHARD}.0)::BIGINT) AS shard
+  FROM hashed s JOIN q ON s.source IS NOT DISTINCT FROM q.source),
 per_shard AS (SELECT source, shard, source_quota, sum(size)::BIGINT AS shard_size FROM dealt GROUP BY ALL),
 {_apportion_sql("p", "per_shard", "source", "shard", "shard_size", "source_quota", "source, shard, shard_size")},
 laid AS (SELECT d.*, p.shard_size, p.quota::BIGINT AS shard_quota,
-  sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM dealt d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.shard = p.shard),
-pieces AS (SELECT *, stop - size AS start, unnest(CASE WHEN size > 0 THEN range((stop - size) // {BLOCK}, (stop - 1) // {BLOCK} + 1) ELSE [NULL] END) AS block FROM laid),
+  sum(size) OVER (PARTITION BY d.source, d.shard ORDER BY digest ROWS UNBOUNDED PRECEDING)::BIGINT AS stop FROM dealt d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.shard = p.shard),
+pieces AS (SELECT *, stop - size AS start, unnest(range((stop - size) // {BLOCK}, (stop - 1) // {BLOCK} + 1)) AS block FROM laid),
 placed AS (SELECT *, least(stop, (block + 1) * {BLOCK}) - greatest(start, block * {BLOCK}) AS words, ceil(shard_size / {BLOCK}.0)::BIGINT AS n,
-  dense_rank() OVER (PARTITION BY source, shard ORDER BY block IS NULL, md5('{SEED}|' || coalesce(source, '') || '|' || shard || '|' || coalesce(block::VARCHAR, '')), block) AS place FROM pieces)
+  dense_rank() OVER (PARTITION BY source, shard ORDER BY md5('{SEED}|' || coalesce(source, '') || '|' || shard || '|' || block), block) AS place FROM pieces)
 SELECT doc_id, size, any_value(source_size) AS source_size, any_value(target) AS target,
-  coalesce(sum(CASE WHEN n > 0 THEN words * least(shard_quota // n + (place <= shard_quota % n)::BIGINT, 2) ELSE 0 END), 0)::BIGINT AS taken
-FROM placed GROUP BY source, shard, doc_id, size, start, stop
+  sum(words * least(shard_quota // n + (place <= shard_quota % n)::BIGINT, 2))::BIGINT AS taken
+FROM placed GROUP BY source, shard, doc_id, size, start, stop, digest
+UNION ALL SELECT doc_id, size, source_size, target, 0 FROM sized s JOIN q ON s.source IS NOT DISTINCT FROM q.source WHERE size = 0
 """

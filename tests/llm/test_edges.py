@@ -324,6 +324,25 @@ def test_knn_in_blocks(spark, monkeypatch):
         assert [got[q, k] for k in (1, 2, 3)] == order
 
 
+def test_mix_of_rows_that_are_alike(spark, monkeypatch):
+    """A third of all rows are one row, and another third are empty: each takes its part and no shard has them all."""
+    monkeypatch.setattr(mixing, "COPIES", 50)
+    docs = [(7, "same words here " * 20, "a")] * 600 + [(k, None, "void") for k in range(600)] + [(k, f"w{k} " * 50, "b") for k in range(600)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    got = mixing.source_mix(df, shard=2000)
+    again = sorted(map(tuple, got.collect()))
+    assert again == sorted(map(tuple, mixing.source_mix(df.repartition(7), shard=2000).collect())) and len(again) == 1800
+    hot = [r for r in again if r[0] == 7 and r[1] == 60]
+    assert len(hot) == 600 and abs(sum(r[4] for r in hot) - hot[0][3]) < 0.02 * hot[0][3]
+    assert all(r[4] == 0 for r in again if r[1] == 0) and all(r[4] <= 2 * r[1] for r in again)
+
+
+def test_keys_of_lines_have_128_bits(spark):
+    df = spark.range(5).selectExpr("concat('line ', id) line").select("line", *(h.alias(n) for h, n in zip(lines._key(), ("a", "b"))))
+    chained = df.select("b", *(F.xxhash64(F.lit(k), "a").alias(f"x{k}") for k in (1, 2)), F.xxhash64("line", F.lit(1)).alias("y"), F.xxhash64("line", F.lit(2)).alias("z"))
+    assert all(r.b not in (r.x1, r.x2, r.y, r.z) for r in chained.collect())
+
+
 def test_mix(spark, odd, none):
     got = mixing.source_mix(odd).collect()
     assert len(got) == odd.count() and all(0 <= r.taken <= 2 * r["size"] for r in got)
