@@ -5,128 +5,274 @@ Input is facts about logged queries, whatever produced them:
 - blocks(query_id, block_id, parent_block_id, scope, has_star, has_distinct, has_offset, limit_value, status)
 - ranges(query_id, block_id, pos, kind, schema, table, alias, join_kind)
 - nodes(query_id, block_id, clause, item, node_id, path, kind, qualifier, column, func_schema,
-  func_name, param_index, nested_block_id); path lists a node's ancestors from the top
+  func_name, param_index, nested_block_id); path lists a node's ancestors from the top;
+  a join's ON has the place of its right side as item, and several items of WHERE are AND
 - params(query_id, idx, col_id)
 
-Every rule is a filter or an equi-join over them, so a log of any length is one Spark job.
+Every rule is a condition on a row of them, after equi-joins, so a log of any length is one Spark job.
 Work is keyed by query, of which no log has a hot one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Collection
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from guardframe.scratch import durable
 from guardframe.sources.policy import classify_columns, classify_functions
 
-#: Codes in the order in which the first verdict prefers them.
-ORDER = (
-    "PARSE_FAIL", "UNSUPPORTED_QUERY", "STAR", "UNSUPPORTED_EXPR", "NO_COLUMN_ALIAS", "ANALYZE_FAIL", "SENSITIVE_OUTSIDE_MAIN",
-    "STAR_NESTED", "NO_TABLE_ALIAS", "FUNC_UNSAFE", "PARAM_OUTSIDE_WHERE", "PARAM_NON_SENSITIVE", "DISTINCT_SENSITIVE",
-    "OFFSET_SENSITIVE", "LIMIT_REQUIRED", "LIMIT_EXCEEDS", "JOIN_NOT_INNER", "JOIN_ON_INVALID", "JOIN_ON_SENSITIVE",
-    "WHERE_NOT_CONJ", "SENSITIVE_CMP", "PARAM_IDX_RANGE", "PARAM_SCOPE_MISMATCH", "SENSITIVE_SELECT_EXPR", "SENSITIVE_LOC", "PARAM_UNUSED",
-)
 #: Fixed value: the most rows of a result with a sensitive column.
 SENSITIVE_LIMIT = 200
 #: Rules whose code is that of another.
-SAME_CODE = {"UNSUPPORTED_EXPR": "UNSUPPORTED_QUERY", "STAR_NESTED": "STAR"}
+SAME_CODE = {"UNSUPPORTED_EXPR": "UNSUPPORTED_QUERY", "STAR_NESTED": "STAR", "PARAM_NO_SCOPE": "ANALYZE_FAIL"}
+#: Rules by the facts that they are read from; those of the second group hold only for queries in sensitive mode.
+BLOCK_RULES = ("PARSE_FAIL", "UNSUPPORTED_QUERY", "STAR", "STAR_NESTED"), ("DISTINCT_SENSITIVE", "OFFSET_SENSITIVE", "LIMIT_REQUIRED", "LIMIT_EXCEEDS")
+RANGE_RULES = ("NO_TABLE_ALIAS",), ("JOIN_NOT_INNER",)
+NODE_RULES = (
+    ("UNSUPPORTED_EXPR", "NO_COLUMN_ALIAS", "ANALYZE_FAIL", "SENSITIVE_OUTSIDE_MAIN", "FUNC_UNSAFE", "PARAM_OUTSIDE_WHERE", "PARAM_NON_SENSITIVE"),
+    ("JOIN_ON_INVALID", "JOIN_ON_SENSITIVE", "WHERE_NOT_CONJ", "SENSITIVE_CMP", "SENSITIVE_SELECT_EXPR", "SENSITIVE_LOC"),
+)
+PARAM_RULES = ("PARAM_UNUSED",), ("PARAM_IDX_RANGE", "PARAM_NO_SCOPE", "PARAM_SCOPE_MISMATCH")
+ALL_RULES = tuple(r for group in (BLOCK_RULES, RANGE_RULES, NODE_RULES, PARAM_RULES) for part in group for r in part)
+
+#: Where a clause comes in each of the passes over a block; other blocks in FROM come first of all in the first, last in the others.
+TOUCH = {"on": 1, "select": 2, "where": 3, "group": 4, "having": 5, "order": 6}
+PASS_A = {"select": 1, "where": 2, "group": 3, "having": 4, "order": 5, "on": 6}
+PASS_B = {"on": 1, "where": 2, "select": 3, "group": 4, "having": 5, "order": 6}
+FROM_FIRST, FROM_LAST = 0, 7
+
+
+def _ints(*parts) -> Column:
+    return F.array(*[(F.lit(p) if isinstance(p, int) else p).cast("int") for p in parts])
+
+
+def _rank(ranks: dict[str, int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair]), F.col("clause"))
 
 
-def extract_touches(blocks: DataFrame, ranges: DataFrame, nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """Every use of a column: where it is, base, derived or unknown, by alias or by table name, its id, and whether it is sensitive.
+def resolve(blocks: DataFrame, ranges: DataFrame, nodes: DataFrame, rules: DataFrame, conn: str | None = None) -> DataFrame:
+    """nodes with the scope of their block and, for columns, what they touch: touch (base, derived or unknown), by_name, col_id, sensitive.
 
     Only the ranges of the owning block count. An alias wins over a table's own name.
     """
-    n = nodes.where("kind = 'column'").select(
-        "query_id", "block_id", "clause", "item", "node_id", "path", "qualifier", F.col("column").alias("name"), F.try_element_at("path", F.lit(-1)).alias("parent")
-    )
-    r = ranges.select("query_id", "block_id", "pos", F.col("kind").alias("range_kind"), F.col("schema").alias("range_schema"), F.col("table").alias("range_table"), "alias")
     keys = ["query_id", "block_id"]
+    r = ranges.select(*keys, "pos", F.col("kind").alias("range_kind"), F.col("schema").alias("range_schema"), F.col("table").alias("range_table"), "alias")
     by_alias = r.where("alias <> ''").withColumn("word", F.col("alias")).withColumn("by_name", F.lit(False))
     by_table = r.where("range_table is not null").withColumn("word", F.col("range_table")).withColumn("by_name", F.lit(True))
     names = by_alias.union(by_table).groupBy(*keys, "word").agg(F.min_by(F.struct("range_kind", "range_schema", "range_table", "by_name"), F.struct("by_name", "pos")).alias("r"))
-    found = n.join(names.withColumnRenamed("word", "qualifier"), [*keys, "qualifier"], "left")
-    found = found.select(*n.columns, F.coalesce("r.range_kind", F.lit("unknown")).alias("kind"), F.col("r.range_schema").alias("schema"), F.col("r.range_table").alias("table"), F.coalesce("r.by_name", F.lit(False)).alias("by_name"))
-    found = found.withColumnRenamed("name", "column")
-    marked = classify_columns(found, rules)
-    base = F.col("kind") == "base"
+    column = F.col("kind") == "column"
+    found = nodes.join(names.withColumnRenamed("word", "qualifier"), [*keys, "qualifier"], "left")
+    found = found.select(
+        *nodes.columns, F.when(column, F.coalesce("r.range_kind", F.lit("unknown"))).alias("touch"), F.col("r.range_schema").alias("schema"),
+        F.col("r.range_table").alias("table"), F.when(column, F.coalesce("r.by_name", F.lit(False))).alias("by_name"),
+    )
+    marked = classify_columns(found, rules, conn)
+    base = column & (F.col("touch") == "base")
     return (
-        marked.withColumn("sensitive", base & F.col("sensitive"))
+        marked.withColumn("sensitive", F.coalesce(base & F.col("sensitive"), F.lit(False)))
         .withColumn("col_id", F.when(base, F.col("col_id")))
         .join(blocks.select(*keys, "scope"), keys)
     )
 
 
+def extract_touches(blocks: DataFrame, ranges: DataFrame, nodes: DataFrame, rules: DataFrame, conn: str | None = None) -> DataFrame:
+    """Every use of a column: where it is, base, derived or unknown (kind), by alias or by table name, its id, and whether it is sensitive."""
+    found = resolve(blocks, ranges, nodes.where("kind = 'column'"), rules, conn)
+    return found.drop("kind", "param_index", "func_schema", "func_name", "nested_block_id").withColumnRenamed("touch", "kind")
+
+
 def sensitive_mode(touches: DataFrame) -> DataFrame:
     """(query_id): queries that touch a sensitive base column."""
     return touches.where("sensitive").select("query_id").distinct()
 
 
-def all_violations(blocks: DataFrame, ranges: DataFrame, nodes: DataFrame, params: DataFrame, column_rules: DataFrame, builtin: DataFrame, function_rules: DataFrame) -> DataFrame:
-    """(query_id, rule, code) for every rule that a query breaks, once each."""
-    # the rules below share it many times over
-    touches = durable(extract_touches(blocks, ranges, nodes, column_rules))
-    mode = sensitive_mode(touches)
-    in_mode = lambda df: df.join(mode, "query_id", "left_semi")
-    keys = ["query_id", "block_id"]
-    place = [*keys, "clause", "item"]
-    node = nodes.withColumn("parent", F.try_element_at("path", F.lit(-1)))
-    up = nodes.select(*place, F.col("node_id").alias("parent"), F.col("kind").alias("parent_kind"))
-    with_parent = node.join(up, [*place, "parent"], "left")
-    where = with_parent.where("clause = 'where'")
-    param = with_parent.where("kind = 'param'")
-    # the columns that share a parent with each other node
-    beside = touches.where("parent is not null").select(*place, "parent", F.col("sensitive").alias("beside_sensitive"), F.col("col_id").alias("beside_id"))
-    direct = param.where("clause = 'where' and parent_kind in ('=', 'in') and size(path) <= 2")
-    bound = direct.join(beside, [*place, "parent"])
-    bound = durable(bound)
-    good = bound.where("beside_sensitive")
-    have = params.select("query_id", F.col("idx").alias("param_index"), "col_id")
-    calls = classify_functions(node.where("kind in ('call', 'window')").select("query_id", F.col("func_schema").alias("schema"), F.col("func_name").alias("name")), builtin, function_rules)
-    touched = touches.join(up, [*place, "parent"], "left")
-    side = where.select(*place, "parent", F.col("kind").alias("side_kind"), F.col("node_id").alias("side_id"))
-    compared = touched.where("clause = 'where' and sensitive and parent_kind = '='").join(side, [*place, "parent"]).where("side_id <> node_id")
-    found = {
-        "PARSE_FAIL": blocks.where("status = 'parse_fail'"),
-        "UNSUPPORTED_QUERY": blocks.where("status = 'unsupported'"),
-        "STAR": blocks.where("has_star and parent_block_id is null"),
-        "UNSUPPORTED_EXPR": nodes.where("kind = 'unsupported'"),
-        "NO_COLUMN_ALIAS": touches.where("kind = 'unknown'"),
-        "ANALYZE_FAIL": touches.where("by_name"),
-        "SENSITIVE_OUTSIDE_MAIN": touches.where("sensitive and scope <> 'main'"),
-        "STAR_NESTED": blocks.where("has_star and parent_block_id is not null"),
-        "NO_TABLE_ALIAS": ranges.where("alias = ''"),
-        "FUNC_UNSAFE": calls.where("not safe"),
-        "PARAM_OUTSIDE_WHERE": param.where("clause <> 'where' or parent_kind is null or parent_kind in ('call', 'cast', 'case', 'window')"),
-        "PARAM_NON_SENSITIVE": bound.where("not beside_sensitive"),
-        "DISTINCT_SENSITIVE": in_mode(blocks.where("has_distinct")),
-        "OFFSET_SENSITIVE": in_mode(blocks.where("has_offset")),
-        "LIMIT_REQUIRED": in_mode(blocks.where("limit_value < 0")),
-        "LIMIT_EXCEEDS": in_mode(blocks.where(f"limit_value > {SENSITIVE_LIMIT}")),
-        "JOIN_NOT_INNER": in_mode(ranges.where("join_kind is not null and join_kind <> 'inner'")),
-        "JOIN_ON_INVALID": in_mode(nodes.where("clause = 'on' and kind not in ('=', 'and', 'column', 'literal')")),
-        "JOIN_ON_SENSITIVE": touches.where("clause = 'on' and sensitive"),
-        "WHERE_NOT_CONJ": in_mode(nodes.where("clause = 'where' and kind in ('or', 'not')")),
-        "SENSITIVE_CMP": in_mode(nodes.where("clause = 'where' and kind in ('<>', '<', '>', '<=', '>=', 'like', 'between')")).select("query_id").union(
-            compared.where("side_kind <> 'param'").select("query_id")
+def related(resolved: DataFrame) -> DataFrame:
+    """Each node x with its parent, first sibling, and its parent's first child, as structs that are null where there is none.
+
+    Ids of nodes rise in reading order. A struct tells id, kind, sensitive and col_id;
+    holds: a sensitive column is in the node or under it; top: only AND is above it; free:
+    only AND, OR and NOT are. root is the kind of the first node on the way down that is
+    none of these; others: whether all children of the parent but the first are
+    parameters. A query's text bounds the array that an expression makes.
+    """
+    fields = ("node_id", "path", "kind", "touch", "by_name", "scope", "sensitive", "col_id", "param_index", "safe", "nested_block_id")
+    exprs = resolved.groupBy("query_id", "block_id", "clause", "item").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("e"))
+    kinds = F.map_from_entries(F.transform("e", lambda x: F.struct(x.node_id, x.kind)))
+    exprs = exprs.withColumn("k", kinds)
+    connective = lambda p: F.element_at("k", p).isin("and", "or", "not")
+
+    def more(x):
+        chain = F.filter(F.concat(x.path, F.array(x.node_id)), lambda p: ~connective(p))
+        return F.struct(
+            *[x[f].alias(f) for f in fields],
+            F.try_element_at(x.path, F.lit(-1)).alias("up"),
+            F.exists("e", lambda y: y.sensitive & ((y.node_id == x.node_id) | F.array_contains(y.path, x.node_id))).alias("holds"),
+            F.forall(x.path, lambda p: F.element_at("k", p) == "and").alias("top"),
+            F.forall(x.path, connective).alias("free"),
+            F.element_at("k", F.try_element_at(chain, F.lit(1))).alias("root"),
+        )
+
+    exprs = exprs.withColumn("e", F.transform("e", more))
+    told = lambda y: F.struct(y.node_id, y.kind, y.sensitive, y.col_id, y.holds, y.top, y.free)
+    first = lambda test: F.try_element_at(F.transform(F.filter("e", test), told), F.lit(1))
+    rows = F.transform(
+        "e",
+        lambda x: F.struct(
+            x.alias("x"),
+            first(lambda y: y.node_id == x.up).alias("parent"),
+            first(lambda y: (y.up == x.up) & (y.node_id != x.node_id)).alias("beside"),
+            first(lambda y: y.up == x.up).alias("lead"),
+            F.forall(F.slice(F.filter("e", lambda y: y.up == x.up), 2, 1 << 20), lambda y: y.kind == "param").alias("others"),
         ),
-        "PARAM_IDX_RANGE": good.select("query_id", "param_index").join(have, ["query_id", "param_index"], "left_anti"),
-        "PARAM_SCOPE_MISMATCH": good.join(have, ["query_id", "param_index"]).where("col_id <> beside_id"),
-        "SENSITIVE_SELECT_EXPR": touches.where("clause = 'select' and sensitive and size(path) > 0"),
-        "SENSITIVE_LOC": touched.where("sensitive and (clause in ('group', 'having', 'order') or clause = 'where' and (parent_kind is null or parent_kind in ('call', 'cast', 'case')))"),
-        "PARAM_UNUSED": have.join(good.select("query_id", "param_index"), ["query_id", "param_index"], "left_anti"),
-    }
+    )
+    return exprs.select("query_id", "block_id", "clause", "item", F.inline(rows))
+
+
+def block_places(blocks: DataFrame, links: DataFrame) -> DataFrame:
+    """(query_id, block_id, t, a, b): where each pass comes to a block, as lists that sort in that order; b is null if the last pass leaves it out.
+
+    links(query_id, block_id, clause, item, node_id, top) say which expression holds a
+    block; others stand in FROM or WITH. A block's id is above that of its parent. One
+    row a query, which its text bounds.
+    """
+    b = blocks.select("query_id", "block_id", "parent_block_id")
+    held = b.join(links, ["query_id", "block_id"], "left").groupBy("query_id").agg(
+        F.array_sort(F.collect_list(F.struct("block_id", "parent_block_id", "clause", "item", "node_id", "top"))).alias("bs")
+    )
+    rank = lambda ranks, c: F.element_at(F.create_map(*[F.lit(v) for pair in ranks.items() for v in pair]), c)
+
+    def step(places, x):
+        up = F.element_at(places, x.parent_block_id)
+        loose = x.clause.isNull()
+        at = lambda p, here: F.when(x.parent_block_id.isNull(), _ints()).otherwise(F.concat(p, here))
+        where = x.clause == "where"
+        t = at(up.t, F.when(loose, _ints(FROM_FIRST, x.block_id)).otherwise(_ints(rank(TOUCH, x.clause), x.item, x.node_id)))
+        a = at(up.a, F.when(loose, _ints(FROM_LAST, x.block_id)).when(where, _ints(PASS_A["where"], 2, x.item, x.node_id)).otherwise(_ints(rank(PASS_A, x.clause), x.item, 2, x.node_id)))
+        place = F.when(loose, _ints(FROM_LAST, x.block_id)).when(where & x.top, _ints(PASS_B["where"], x.item, x.node_id))
+        place = place.when(~where & (x.clause != "on"), _ints(rank(PASS_B, x.clause), x.item, 1, x.node_id))
+        return F.map_concat(places, F.create_map(x.block_id, F.struct(t.alias("t"), a.alias("a"), at(up.b, place).alias("b"))))
+
+    start = F.expr("cast(map() as map<int, struct<t: array<int>, a: array<int>, b: array<int>>>)")
+    folded = held.select("query_id", F.explode(F.aggregate("bs", start, step)).alias("block_id", "p"))
+    return folded.select("query_id", "block_id", "p.t", "p.a", "p.b")
+
+
+def _node_rules() -> list[tuple[str, str, Column, Column]]:
+    """(rule, pass, where it comes in the pass over its block, condition) over related()."""
+    clause, item, x, parent, beside, lead = (F.col(c) for c in ("clause", "item", "x", "parent", "beside", "lead"))
+    kind, node = x.kind, x.node_id
+    up, is_eq, is_in = F.coalesce(parent.node_id, node), parent.kind == "=", parent.kind == "in"
+    leads = lead.node_id == node
+    where, on = clause == "where", clause == "on"
+    param = kind == "param"
+    touch = _ints(_rank(TOUCH), item, node)
+    pass_a = lambda n: F.when(where, _ints(PASS_A["where"], n, item, node)).otherwise(_ints(_rank(PASS_A), item, n, node))
+    pass_b = lambda anchor, n: F.when(on, _ints(PASS_B["on"], item, 1, anchor, n)).when(where, _ints(PASS_B["where"], item, anchor, n)).otherwise(_ints(_rank(PASS_B), item, 0, anchor, n))
+    operand = where & parent.top & (is_eq | (is_in & leads))
+    return [
+        ("UNSUPPORTED_EXPR", "0", _ints(3), kind == "unsupported"),
+        ("NO_COLUMN_ALIAS", "t", touch, x.touch == "unknown"),
+        ("ANALYZE_FAIL", "t", touch, x.by_name),
+        ("SENSITIVE_OUTSIDE_MAIN", "t", touch, x.sensitive & (x.scope != "main")),
+        ("FUNC_UNSAFE", "a", pass_a(0), kind.isin("call", "window") & ~x.safe),
+        ("PARAM_OUTSIDE_WHERE", "a", pass_a(1), param & (~where | x.root.isin("param", "call", "cast", "case", "window"))),
+        ("PARAM_NON_SENSITIVE", "a", pass_a(1), param & where & parent.free & ((is_eq & ~F.coalesce(beside.holds, F.lit(False))) | (is_in & ~leads & ~lead.holds))),
+        ("JOIN_ON_INVALID", "b", pass_b(F.when(x.top, node).otherwise(up), 0), on & ((x.top & ~kind.isin("and", "=")) | (parent.top & is_eq & ~kind.isin("column", "literal")))),
+        ("JOIN_ON_SENSITIVE", "b", pass_b(up, 1), on & x.sensitive),
+        ("WHERE_NOT_CONJ", "b", pass_b(node, 0), where & x.top & kind.isin("or", "not")),
+        ("SENSITIVE_CMP", "b", pass_b(F.when(x.top, node).otherwise(up), node), where & (
+            (x.top & ~kind.isin("and", "or", "not", "=", "in", "subquery"))
+            | (parent.top & ((is_eq & x.sensitive & (beside.kind != "param")) | (is_in & leads & x.sensitive & ~F.col("others")) | (is_in & ~leads & x.holds))))),
+        ("SENSITIVE_SELECT_EXPR", "b", pass_b(node, 0), (clause == "select") & x.sensitive & (F.size(x.path) > 0)),
+        ("SENSITIVE_LOC", "b", pass_b(up, node), (operand & x.holds & (kind != "column")) | (clause.isin("group", "having", "order") & x.sensitive)),
+    ]
+
+
+def all_violations(
+    blocks: DataFrame, ranges: DataFrame, nodes: DataFrame, params: DataFrame, column_rules: DataFrame, builtin: DataFrame, function_rules: DataFrame,
+    rules: Collection[str] = ALL_RULES, conn: str | None = None, order: bool = False,
+) -> DataFrame:
+    """(query_id, rule, code) for every rule that a query breaks, once each; only the rules asked for.
+
+    order adds `at`, a list by which violations of a query sort in the order in which they
+    are met: the form of the text, uses of columns, then the pass over all queries, then
+    that over those in sensitive mode, and parameters that were not used. conn picks the
+    rules of one connection. One pass over each of the facts tables gives the rules of it.
+    """
+    any_of = lambda group: bool(set(rules) & {r for part in group for r in part})
+    modal = [r for group in (BLOCK_RULES, RANGE_RULES, NODE_RULES, PARAM_RULES) for r in group[1]]
+    need_mode = bool(set(rules) & set(modal))
+    related_nodes = places = None
+    if need_mode or order or any_of(NODE_RULES) or any_of(PARAM_RULES):
+        resolved = resolve(blocks, ranges, nodes, column_rules, conn)
+        calls = classify_functions(resolved.withColumns({"schema": F.col("func_schema"), "name": F.col("func_name")}), builtin, function_rules, conn)
+        related_nodes = durable(related(calls))
+        links = related_nodes.where("x.nested_block_id is not null").select(
+            "query_id", F.col("x.nested_block_id").alias("block_id"), "clause", "item", "x.node_id", "x.top"
+        )
+        places = block_places(blocks, links)
     out = None
-    for rule in ORDER:
-        part = found[rule].select("query_id", F.lit(rule).alias("rule"), F.lit(SAME_CODE.get(rule, rule)).alias("code"))
+
+    def add(df: DataFrame, found: list[tuple[str, str, Column, Column]]) -> None:
+        nonlocal out
+        found = [f for f in found if f[0] in rules]
+        if not found:
+            return
+        hits = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(rule).alias("rule"), F.lit(step).alias("step"), at.alias("here"))) for rule, step, at, test in found]))
+        part = df.select("query_id", "block_id", F.explode(hits).alias("v")).select("query_id", "block_id", "v.*")
         out = part if out is None else out.union(part)
-    return out.distinct()
+
+    scalar = lambda rule, step, at, test: (rule, step, _ints(*at), F.expr(test))
+    add(blocks, [
+        scalar("PARSE_FAIL", "0", (0,), "status = 'parse_fail'"),
+        scalar("UNSUPPORTED_QUERY", "0", (1,), "status = 'unsupported'"),
+        scalar("STAR", "0", (2,), "has_star and parent_block_id is null"),
+        scalar("STAR_NESTED", "a", (0, 0), "has_star and parent_block_id is not null"),
+        scalar("DISTINCT_SENSITIVE", "b", (0, 1), "has_distinct"),
+        scalar("OFFSET_SENSITIVE", "b", (0, 2), "has_offset"),
+        scalar("LIMIT_REQUIRED", "b", (0, 3), "limit_value < 0"),
+        scalar("LIMIT_EXCEEDS", "b", (0, 3), f"limit_value > {SENSITIVE_LIMIT}"),
+    ])
+    add(ranges, [
+        ("NO_TABLE_ALIAS", "a", _ints(0, 1, F.col("pos")), F.col("alias") == ""),
+        ("JOIN_NOT_INNER", "b", _ints(PASS_B["on"], F.col("pos"), 0), F.col("join_kind").isNotNull() & (F.col("join_kind") != "inner")),
+    ])
+    if any_of(NODE_RULES):
+        add(related_nodes, _node_rules())
+    if any_of(PARAM_RULES):
+        direct = "x.kind = 'param' and clause = 'where' and parent.top and (parent.kind = '=' and beside.sensitive or parent.kind = 'in' and lead.node_id <> x.node_id and lead.sensitive)"
+        bound = related_nodes.where(direct).select(
+            "query_id", "block_id", "item", F.col("parent.node_id").alias("up"), "x.node_id", F.col("x.param_index").alias("idx"),
+            F.when(F.col("parent.kind") == "=", F.col("beside.col_id")).otherwise(F.col("lead.col_id")).alias("wanted"),
+        )
+        given = params.select("query_id", "idx", F.col("col_id").alias("scope_id"), F.lit(True).alias("given"))
+        here = _ints(PASS_B["where"], F.col("item"), F.col("up"), F.col("node_id"))
+        empty = F.coalesce(F.col("scope_id"), F.lit("")) == ""
+        add(bound.join(given, ["query_id", "idx"], "left"), [
+            ("PARAM_IDX_RANGE", "b", here, F.col("given").isNull() | (F.col("idx") < 1)),
+            ("PARAM_NO_SCOPE", "b", here, F.col("given") & empty),
+            ("PARAM_SCOPE_MISMATCH", "b", here, F.col("given") & ~empty & (F.col("scope_id") != F.col("wanted"))),
+        ])
+        unused = params.join(bound.select("query_id", "idx"), ["query_id", "idx"], "left_anti").withColumn("block_id", F.lit(0))
+        add(unused, [("PARAM_UNUSED", "z", _ints(F.col("idx")), F.lit(True))])
+    if need_mode:
+        mode = related_nodes.where("x.sensitive").select("query_id").distinct().withColumn("in_mode", F.lit(True))
+        out = out.join(mode, "query_id", "left").where(F.col("in_mode") | ~F.col("rule").isin(*modal))
+    if need_mode or order:
+        out = out.join(places, ["query_id", "block_id"], "left").where("step <> 'b' or b is not null")
+    code = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in SAME_CODE.items() for v in pair]), F.col("rule")), F.col("rule")).alias("code")
+    if not order:
+        return out.select("query_id", "rule", code).distinct()
+    at = F.when(F.col("step") == "0", F.concat(_ints(0), "here")).when(F.col("step") == "t", F.concat(_ints(1), "t", "here"))
+    at = at.when(F.col("step") == "a", F.concat(_ints(2), "a", "here")).when(F.col("step") == "b", F.concat(_ints(3), "b", "here"))
+    at = at.otherwise(F.concat(_ints(4), "here"))
+    return out.select("query_id", "rule", code, at.alias("at")).groupBy("query_id", "rule", "code").agg(F.min("at").alias("at"))
 
 
 def first_verdict(blocks: DataFrame, violations: DataFrame) -> DataFrame:
-    """(query_id, code): the violation of the first rule, OK where there is none."""
-    rank = F.element_at(F.create_map(*[x for k, r in enumerate(ORDER) for x in (F.lit(r), F.lit(k))]), F.col("rule"))
-    first = violations.groupBy("query_id").agg(F.min_by("code", rank).alias("code"))
+    """(query_id, code): the violation that is met first, by `at`; OK where there is none."""
+    first = violations.groupBy("query_id").agg(F.min_by("code", F.struct("at", "rule")).alias("code"))
     return blocks.select("query_id").distinct().join(first, "query_id", "left").select("query_id", F.coalesce("code", F.lit("OK")).alias("code"))
 
 

@@ -22,6 +22,8 @@ def query(sql: str | None = None):
 
 
 #: Paths of one to four parts, some empty, in mixed case; a connection for every segment. Both engines read this.
+_SEGMENTS = "['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY']"
+_CONN = f"element_at(array({_SEGMENTS[1:-1]}), cast(o_custkey % 5 + 1 as int)) conn"
 _PATHS = """SELECT c_mktsegment AS conn, CASE c_custkey % 6 WHEN 0 THEN 'T' || (c_nationkey % 3) || '.Col' || (c_custkey % 4) WHEN 1 THEN 's' || (c_custkey % 3) || '.t' || (c_nationkey % 3) || '.COL' || (c_custkey % 4)
   WHEN 2 THEN 'S2.t1.col' || (c_custkey % 5) WHEN 3 THEN 'f' || (c_custkey % 7) WHEN 4 THEN 'a..b' ELSE 'a.b.c.d' END AS path FROM customer"""
 _RULES = """SELECT conn, s[len(s) - 1] AS "table", s[len(s)] AS col, list_sort(coalesce(list(DISTINCT s[1]) FILTER (len(s) = 3), [])) AS schemas, bool_or(len(s) = 2) AS is_global
@@ -53,24 +55,24 @@ def p3_normalize_function_rules(spark, sf_dir):
     return P.normalize_function_rules(_paths(spark, sf_dir))
 
 
-_COLUMNS = "SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'S' || (o_custkey % 4) END AS \"schema\", 't' || (o_orderkey % 4) AS \"table\", 'col' || (o_custkey % 6) AS \"column\" FROM orders"
+_COLUMNS = f"SELECT o_orderkey, {_SEGMENTS}[o_custkey % 5 + 1] AS conn, CASE WHEN o_orderkey % 3 > 0 THEN 'S' || (o_custkey % 4) END AS \"schema\", 't' || (o_orderkey % 4) AS \"table\", 'col' || (o_custkey % 6) AS \"column\" FROM orders"
 
 
-@query(f"""WITH paths AS (SELECT * FROM ({_PATHS}) WHERE conn = 'BUILDING'), r AS ({_RULES}), c AS ({_COLUMNS})
+@query(f"""WITH paths AS ({_PATHS}), r AS ({_RULES}), c AS ({_COLUMNS})
 SELECT c.*, is_global IS NOT NULL AND coalesce(is_global OR "schema" IS NULL OR list_contains(schemas, lower("schema")), false) AS sensitive, lower(concat_ws('.', "schema", c."table", "column")) AS col_id
-FROM c LEFT JOIN r ON r."table" = c."table" AND r.col = c."column" """)
+FROM c LEFT JOIN r ON r.conn = c.conn AND r."table" = c."table" AND r.col = c."column" """)
 def p6_classify_columns(spark, sf_dir):
-    rules = P.normalize_column_rules(_paths(spark, sf_dir).where("conn = 'BUILDING'"))
-    columns = read(spark, sf_dir, "orders").selectExpr("o_orderkey", "if(o_orderkey % 3 > 0, concat('S', o_custkey % 4), null) schema", "concat('t', o_orderkey % 4) table", "concat('col', o_custkey % 6) column")
+    rules = P.normalize_column_rules(_paths(spark, sf_dir))
+    columns = read(spark, sf_dir, "orders").selectExpr("o_orderkey", _CONN, "if(o_orderkey % 3 > 0, concat('S', o_custkey % 4), null) schema", "concat('t', o_orderkey % 4) table", "concat('col', o_custkey % 6) column")
     return P.classify_columns(columns, rules)
 
 
-@query(f"""WITH paths AS (SELECT * FROM ({_PATHS}) WHERE conn = 'BUILDING' AND path NOT LIKE '%.%.%'), r AS ({_FRULES}),
-c AS (SELECT o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'T' || (o_custkey % 4) END AS "schema", CASE o_orderkey % 3 WHEN 0 THEN 'F' || (o_custkey % 9) WHEN 1 THEN 'col' || (o_custkey % 5) ELSE o_orderpriority END AS name FROM orders)
-SELECT c.*, lower(c.name) = '1-urgent' OR coalesce(is_global OR list_contains(schemas, lower("schema")), false) AS safe FROM c LEFT JOIN r ON r.name = lower(c.name)""")
+@query(f"""WITH paths AS (SELECT * FROM ({_PATHS}) WHERE path NOT LIKE '%.%.%'), r AS ({_FRULES}),
+c AS (SELECT o_orderkey, {_SEGMENTS}[o_custkey % 5 + 1] AS conn, CASE WHEN o_orderkey % 3 > 0 THEN 'T' || (o_custkey % 4) END AS "schema", CASE o_orderkey % 3 WHEN 0 THEN 'F' || (o_custkey % 9) WHEN 1 THEN 'col' || (o_custkey % 5) ELSE o_orderpriority END AS name FROM orders)
+SELECT c.*, lower(c.name) = '1-urgent' OR coalesce(is_global OR list_contains(schemas, lower("schema")), false) AS safe FROM c LEFT JOIN r ON r.conn = c.conn AND r.name = lower(c.name)""")
 def p8_classify_functions(spark, sf_dir):
-    rules = P.normalize_function_rules(_paths(spark, sf_dir).where("conn = 'BUILDING' and path not like '%.%.%'"))
-    calls = read(spark, sf_dir, "orders").selectExpr("o_orderkey", "if(o_orderkey % 3 > 0, concat('T', o_custkey % 4), null) schema", "case o_orderkey % 3 when 0 then concat('F', o_custkey % 9) when 1 then concat('col', o_custkey % 5) else o_orderpriority end name")
+    rules = P.normalize_function_rules(_paths(spark, sf_dir).where("path not like '%.%.%'"))
+    calls = read(spark, sf_dir, "orders").selectExpr("o_orderkey", _CONN, "if(o_orderkey % 3 > 0, concat('T', o_custkey % 4), null) schema", "case o_orderkey % 3 when 0 then concat('F', o_custkey % 9) when 1 then concat('col', o_custkey % 5) else o_orderpriority end name")
     builtin = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").selectExpr("o_orderpriority name").distinct()
     return P.classify_functions(calls, builtin, rules)
 
