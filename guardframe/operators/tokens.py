@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from guardframe.scratch import dense_index, durable
+from guardframe.scratch import dense_index, durable, prefix_sum
 
 VAULT = "conn string, gen int, idx long, col_id string, value string, source_type string"
 #: Longest token and connection name, largest 32-bit number, tokens of one request, bytes of a session's vault.
@@ -140,7 +140,7 @@ def filter_by_tokens(df: DataFrame, column: str, col_id: str, tokens: list[str],
         raise ValueError(f"1 to {MAX_TOKENS} tokens are allowed, not {len(tokens)}")
     wanted = df.sparkSession.createDataFrame([(t,) for t in tokens], "token string").select(parse_token(F.col("token")).alias("t"))
     wanted = wanted.where((F.col("t.conn") == conn) & (F.col("t.gen") == gen))
-    kind = df.schema[column].dataType
+    kind = df.select(F.col(column)).schema[0].dataType
     entries = _scope(vault, conn, gen).where(F.col("col_id") == col_id).select("idx", F.col("value").cast(kind).alias("_value"))
     # at most MAX_TOKENS rows on this side
     values = entries.join(F.broadcast(wanted.select("t.idx")), "idx", "left_semi").select("_value").distinct()
@@ -149,9 +149,12 @@ def filter_by_tokens(df: DataFrame, column: str, col_id: str, tokens: list[str],
 
 def vault_quota(vault: DataFrame, cap: int = VAULT_BYTES) -> DataFrame:
     """Bytes of values of each (conn, gen), whether they exceed the cap, and the first index that does."""
-    run = F.sum(F.octet_length("value")).over(W.partitionBy("conn", "gen").orderBy("idx").rowsBetween(W.unboundedPreceding, 0))
+    # a running sum over range partitions; taking off what the scopes before it hold leaves that of the scope
+    run = prefix_sum(vault.where("value is not null").select("conn", "gen", "idx", "value"), ["conn", "gen", "idx"], F.octet_length("value").cast("long"), "_all")
+    scopes = run.groupBy("conn", "gen").agg(F.min(F.col("_all") - F.octet_length("value")).alias("_before"))
     return (
-        vault.withColumn("_run", run)
+        run.join(scopes, ["conn", "gen"])
+        .withColumn("_run", F.col("_all") - F.col("_before"))
         .groupBy("conn", "gen")
         .agg(F.sum(F.octet_length("value")).alias("bytes"), F.min(F.when(F.col("_run") > cap, F.col("idx"))).alias("first_over"))
         .withColumn("over", F.col("bytes") > cap)

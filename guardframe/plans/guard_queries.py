@@ -5,6 +5,7 @@ from pyspark.sql import Window as W, functions as F
 
 from guardframe.operators.guard import Guard
 from guardframe.plans.token_queries import read
+from guardframe.scratch import dense_index
 from guardframe.sources.policy import normalize_column_rules
 
 Q: dict = {}
@@ -40,19 +41,35 @@ SQL["minimum_slice"] = """WITH c AS (SELECT c_custkey, c_name FROM customer WHER
 SELECT c_custkey, 'tok_tpch_0_' || (dense_rank() OVER (ORDER BY c_name) - 1) AS c_name FROM c"""
 
 
+def q16_sensitive_join(spark, sf_dir):
+    """Two tables with columns of one name: each has its own id, one of them only under this connection."""
+    customer = read(spark, sf_dir, "customer").selectExpr("c_custkey id", "c_name name", "c_mktsegment note")
+    supplier = read(spark, sf_dir, "supplier").selectExpr("s_suppkey id", "s_name name", "s_nationkey note")
+    paths = [("tpch", "customer.name"), ("tpch", "supplier.name"), ("other", "customer.note"), ("other", "supplier.name")]
+    g = Guard(spark, normalize_column_rules(spark.createDataFrame(paths, "conn string, path string")))
+    both = g.table(customer, "customer", "c").join(g.table(supplier, "supplier", "s"), F.col("c.id") == F.col("s.id"))
+    return both.select("c.id", ("c.name", "customer"), ("s.name", "supplier"), "c.note").order_by("id").limit(200).to_df()
+
+
+Q["q16_sensitive_join"] = q16_sensitive_join
+SQL["q16_sensitive_join"] = """WITH j AS (SELECT c_custkey AS id, c_name, s_name, c_mktsegment AS note FROM customer JOIN supplier ON c_custkey = s_suppkey ORDER BY id LIMIT 200),
+v AS (SELECT col_id, value, row_number() OVER (ORDER BY col_id, value) - 1 AS idx FROM (SELECT 'customer.name' AS col_id, c_name AS value FROM j UNION SELECT 'supplier.name', s_name FROM j) WHERE value IS NOT NULL)
+SELECT j.id, 'tok_tpch_0_' || a.idx AS customer, 'tok_tpch_0_' || b.idx AS supplier, note FROM j LEFT JOIN v a ON a.col_id = 'customer.name' AND a.value = c_name LEFT JOIN v b ON b.col_id = 'supplier.name' AND b.value = s_name"""
+
+
 @form("SELECT c_custkey AS id, c_name, c_acctbal * 2 AS twice FROM customer")
 def q1_projection(t):
     return t("customer").select(("c_custkey", "id"), "c_name", (F.col("c_acctbal") * 2).alias("twice"))
 
 
-@form("SELECT n.n_name AS n_name, n_regionkey FROM nation n")
+@form("SELECT o.o_orderstatus AS o_orderstatus, o_orderkey FROM orders o")
 def q2_column_reference(t):
-    return t("nation", "n").select("n.n_name", "n_regionkey")
+    return t("orders", "o").select("o.o_orderstatus", "o_orderkey")
 
 
-@form("SELECT n_nationkey, NULL::INTEGER AS nothing, true AS yes, 9000000000::BIGINT AS big, 1.5::DOUBLE AS half, 'x' AS word FROM nation")
+@form("SELECT c_custkey, NULL::INTEGER AS nothing, true AS yes, 9000000000::BIGINT AS big, 1.5::DOUBLE AS half, 'x' AS word FROM customer")
 def q3_literals(t):
-    return t("nation").select("n_nationkey", F.lit(None).cast("int").alias("nothing"), F.lit(True).alias("yes"), F.lit(9000000000).alias("big"), F.lit(1.5).alias("half"), F.lit("x").alias("word"))
+    return t("customer").select("c_custkey", F.lit(None).cast("int").alias("nothing"), F.lit(True).alias("yes"), F.lit(9000000000).alias("big"), F.lit(1.5).alias("half"), F.lit("x").alias("word"))
 
 
 @form("SELECT o_orderkey FROM orders WHERE o_totalprice > 100000")
@@ -143,9 +160,9 @@ def q19_full_join(t):
     return t("supplier").join(t("customer"), (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("s_nationkey") == F.col("c_nationkey")), "full").select("s_suppkey", "c_custkey")
 
 
-@form("SELECT r_name, n_name FROM region CROSS JOIN nation")
+@form("SELECT r_name, s_suppkey FROM region CROSS JOIN supplier")
 def q20_cross_join(t):
-    return t("region").cross_join(t("nation")).select("r_name", "n_name")
+    return t("region").cross_join(t("supplier")).select("r_name", "s_suppkey")
 
 
 @form("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
@@ -153,10 +170,10 @@ def q21_in_select(t):
     return t("customer").semi_join(t("orders").where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey")).select("c_custkey")
 
 
-@form("SELECT n_name FROM nation WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 1e12) OR n_nationkey > 5")
+@form("SELECT c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 1e12) OR c_nationkey > 5")
 def q22_exists(t):
     there = t("orders").where("o_totalprice > 1e12").agg(F.count("*") > 0).scalar()
-    return t("nation").where(there | (F.col("n_nationkey") > 5)).select("n_name")
+    return t("customer").where(there | (F.col("c_nationkey") > 5)).select("c_name")
 
 
 @form("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -223,11 +240,17 @@ def q32_distinct_on(t):
     return t("orders").distinct_on(["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")]).select("o_custkey", "o_orderkey")
 
 
-@form(f"SELECT row_number() OVER (ORDER BY quality ASC NULLS LAST, doc_id) AS place, doc_id FROM ({_LEFT}) QUALIFY place <= 50")
-def q33_order_by(t):
-    both = t("documents", "d").join(t("labels", "l"), F.col("d.doc_id") == F.col("l.doc_id"), "left").select(("d.doc_id", "doc_id"), "quality")
-    first = both.order_by("quality", "doc_id").limit(50)
-    return first.select(F.row_number().over(W.orderBy(F.col("quality").asc_nulls_last(), "doc_id")).cast("long").alias("place"), "doc_id")
+def q33_order_by(spark, sf_dir):
+    """Every row in order, nulls last, with its place: numbered by range partitions, so no task sees all rows."""
+    g = Guard(spark)
+    docs, labels = (g.table(read(spark, sf_dir, name), name, alias) for name, alias in (("documents", "d"), ("labels", "l")))
+    both = docs.join(labels, F.col("d.doc_id") == F.col("l.doc_id"), "left").select(("d.doc_id", "doc_id"), "quality")
+    ordered = both.order_by("quality", "doc_id").to_df()
+    return dense_index(ordered, [F.col("quality").asc_nulls_last(), F.col("doc_id").asc()], 1, "place").select("place", "doc_id")
+
+
+Q["q33_order_by"] = q33_order_by
+SQL["q33_order_by"] = f"SELECT row_number() OVER (ORDER BY quality ASC NULLS LAST, doc_id) AS place, doc_id FROM ({_LEFT})"
 
 
 @form("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
