@@ -10,7 +10,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from guardframe.llm.common import durable, mix, row_hash, slices, table
+from guardframe.llm.common import durable, mix, row_hash, runs, slices, table
 from guardframe.llm.components import connected_components
 
 #: Fingerprints in a tile, on average, where a class of population counts has so many.
@@ -174,12 +174,12 @@ def simhash_components(
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Sets of a component that are compared with so many others at a time, on average.
-MEMBERS = 128
 #: 64-bit words of a wide fingerprint.
 WIDE = 4
 #: A class of set sizes is so many times as wide as the one below.
 STEP = 1.25**0.25
+#: Shingles of all sets of a tile, on average, at most.
+TILE_SHINGLES = 2_000_000
 WORDS = [f"w{k}" for k in range(WIDE)]
 
 
@@ -189,9 +189,8 @@ def wide_fingerprint(hashes: np.ndarray) -> list[int]:
         return [fingerprint(mix(hashes + np.uint64(k) * np.uint64(0x9E3779B97F4A7C15))) for k in range(WIDE)]
 
 
-def compare_wide(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs of columns of a and b, arrays of WIDE words, within the radius, thinned to what spans their components."""
-    parts = []
+def near_pairs(a: np.ndarray, b: np.ndarray, radius: int):
+    """Arrays (columns of a, columns of b) of the pairs within the radius; a and b are arrays of WIDE words."""
     for start in range(0, a.shape[1], ROWS):
         some = a[:, start : start + ROWS]
         count = np.bitwise_count(some[0, :, None] ^ b[0])
@@ -200,30 +199,26 @@ def compare_wide(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, i
         i, j = np.nonzero(count <= radius)  # the last word is counted only where the others leave room
         if len(i):
             near = count[i, j] + np.bitwise_count(some[-1, i] ^ b[-1, j]).astype(np.int64) <= radius
-            if near.any():
-                parts.append((i[near] + start, j[near]))
-    if not parts:
-        return []
-    near = np.zeros((a.shape[1], b.shape[1]), bool)
-    for i, j in parts:
-        near[i, j] = True
-    return _forest(near)
+            yield i[near] + start, j[near]
 
 
-def wide_links(sets: DataFrame, radius: int, similarity: float, tile: int = TILE) -> DataFrame:
-    """Links (a, b) between distinct nodes of sets(node, size, w0, w1, ...) that span the pairs within the radius.
+def candidates(sets: DataFrame, radius: int, similarity: float, tile: int = TILE) -> DataFrame:
+    """(class_a, part_a, class, part, side, node): the sets that have a candidate in a pair of tiles; side 1 is that of (class, part).
 
-    Sets of a Jaccard similarity have sizes in that ratio or nearer, so only tiles of
-    classes of sizes that near are compared, each pair of tiles once, all against all.
+    sets(node, size, w0, w1, ...) are distinct. A candidate is a pair within the radius
+    whose sizes allow the similarity. Sets of a similarity have sizes in that ratio or
+    nearer, so only tiles of classes of sizes that near are compared, each pair of tiles
+    once, all against all. A pair of tiles gives each of its sets once at most, however
+    many candidates it has. A tile is bounded in sets and in shingles.
     """
     reach = int(np.log(1 / similarity) / np.log(STEP) + 1e-6) + 1
-    classed = sets.select("node", *WORDS, F.floor(F.log(F.col("size").cast("double")) / float(np.log(STEP))).alias("class"))
+    classed = sets.select("node", "size", *WORDS, F.floor(F.log(F.col("size").cast("double")) / float(np.log(STEP))).alias("class"))
     # the number of classes follows the longest text's logarithm
-    parts = F.broadcast(classed.groupBy("class").agg(F.ceil(F.count("*") / tile).alias("parts")))
+    parts = classed.groupBy("class").agg(F.ceil(F.greatest(F.count("*") / tile, F.sum("size") / TILE_SHINGLES)).alias("parts"))
     tiles = durable(
-        classed.join(parts, "class")
+        classed.join(F.broadcast(parts), "class")
         .groupBy("class", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
-        .agg(F.collect_list(F.struct("node", *WORDS)).alias("rows"))
+        .agg(F.collect_list(F.struct("node", "size", *WORDS)).alias("rows"))
     )
     names = tiles.select("class", "part")
     pairs = (
@@ -240,17 +235,36 @@ def wide_links(sets: DataFrame, radius: int, similarity: float, tile: int = TILE
 
     def run(batches):
         for batch in batches:
-            found = []
-            for a, b in zip(batch.column("a"), batch.column("b")):
-                words, nodes = [], []
+            keys = list(zip(*(batch.column(c).to_pylist() for c in PAIR)))
+            out = [[] for _ in range(len(PAIR) + 2)]
+            for key, a, b in zip(keys, batch.column("a"), batch.column("b")):
+                words, nodes, sizes = [], [], []
                 for x in (a.values, b.values):
                     words.append(np.stack([x.field(w).to_numpy(zero_copy_only=False) for w in WORDS]).view(np.uint64))
                     nodes.append(x.field("node").to_numpy(zero_copy_only=False))
-                found += [(n, m) for i, j in compare_wide(*words, radius) if (n := int(nodes[0][i])) != (m := int(nodes[1][j]))]
-            ends = np.array(found, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
-
-    return both.select("a", "b").mapInArrow(run, "a long, b long")
+                    sizes.append(x.field("size").to_numpy(zero_copy_only=False))
+                same = key[:2] == key[2:]
+                marks = [np.zeros(len(n), bool) for n in nodes]
+                for i, j in near_pairs(*words, radius):
+                    m, n = sizes[0][i], sizes[1][j]
+                    good = np.minimum(m, n) >= similarity * np.maximum(m, n)
+                    if same:
+                        good &= nodes[0][i] != nodes[1][j]
+                    marks[0][i[good]] = True
+                    marks[1][j[good]] = True
+                for side in range(1 if same else 2):
+                    found = nodes[side][marks[side]]
+                    for column, value in zip(out, (*key, side)):
+                        column.append(np.full(len(found), value, np.int64))
+                    out[-1].append(found)
+            columns = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out]
+            yield pa.RecordBatch.from_arrays(columns, names=[*PAIR, "side", "node"])
+
+    return both.select(*PAIR, "a", "b").mapInArrow(run, ", ".join(f"{c} long" for c in (*PAIR, "side", "node")))
+
+
+#: What names a pair of tiles.
+PAIR = ("class_a", "part_a", "class", "part")
 
 
 def _sets(batch: pa.RecordBatch, words: int) -> tuple[list[np.ndarray], list[int]]:
@@ -264,9 +278,10 @@ def near_groups(source: DataFrame, words: int = 5, radius: int = 76, similarity:
 
     (h1, h2) is a hash of the row, so rows that share it have one text and id. Rows of equal
     sets of shingles become one first. Candidates are pairs of sets within the radius of
-    their wide fingerprints; they make components, in which blocks of members meet
-    pairwise, and a link is verified unless the two are connected already. The least id
-    of a group stays, a null one only where there is no other.
+    their wide fingerprints. The sets that have one go, by pair of tiles, to a task that
+    verifies their links exactly, unless the two are connected already; groups are what
+    verified links connect. The least id of a group stays, a null one only where there
+    is no other.
     """
 
     def mark(batches):
@@ -287,41 +302,25 @@ def near_groups(source: DataFrame, words: int = 5, radius: int = 76, similarity:
     distinct = durable(
         marked.groupBy("node").agg(least, *(F.max(c).alias(c) for c in ("size", *WORDS)))
     )
-    near = connected_components(wide_links(distinct.where("size > 0"), radius, similarity))
-    members = durable(distinct.join(near, "node").select("node", "root", "m.h1", "m.h2", *WORDS))
+    found = durable(candidates(distinct.where("size > 0"), radius, similarity))
+    members = distinct.join(found.select("node").distinct(), "node").select("node", "m.h1", "m.h2", *WORDS)
 
     def run(batches):
         for batch in slices(batches, "text", 16 << 20):
             sets, _ = _sets(batch, words)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in ("node", "root", *WORDS)), pa.array([x.tobytes() for x in sets], pa.binary())],
-                names=["node", "root", *WORDS, "shingles"],
+                [*(batch.column(n) for n in ("node", *WORDS)), pa.array([x.tobytes() for x in sets], pa.binary())],
+                names=["node", *WORDS, "shingles"],
             )
 
-    entry = F.struct("node", *WORDS, "shingles")
-    single = (
+    single = durable(
         source.select("h1", "h2", "text")
         .join(members, ["h1", "h2"])
-        .select("node", "root", *WORDS, "text")
-        .mapInArrow(run, ", ".join(f"{n} long" for n in ("node", "root", *WORDS)) + ", shingles binary")
-        .groupBy("root", "node")  # equal rows
-        .agg(F.first(entry).alias("x"))
-    )
-    count = members.groupBy("root").agg(F.ceil(F.count("*") / MEMBERS).alias("parts"))
-    blocks = durable(
-        single.join(count, "root")
-        .groupBy("root", "parts", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
-        .agg(F.collect_list("x").alias("a"))
-    )
-    kind = blocks.schema["a"].dataType
-    alone = blocks.where("parts = 1").select("a", F.lit(None).cast(kind).alias("b"))
-    large = blocks.where("parts > 1")
-    other = large.select("root", F.col("part").alias("part_b"), F.col("a").alias("b"))
-    pairs = large.select("root", "part").join(other.select("root", "part_b"), "root").where("part <= part_b")
-    met = pairs.join(large.select("root", "part", "a"), ["root", "part"]).join(other, ["root", "part_b"])
-    links = alone.union(met.select("a", F.when(F.col("part") < F.col("part_b"), F.col("b")))).mapInArrow(
-        _verified(radius, similarity), "a long, b long"
+        .select("node", *WORDS, "text")
+        .mapInArrow(run, ", ".join(f"{n} long" for n in ("node", *WORDS)) + ", shingles binary")
+        .dropDuplicates(["node"])  # equal rows
     )
+    links = found.join(single, "node").groupBy(*PAIR).applyInArrow(_verified(radius, similarity), "a long, b long")
     roots = connected_components(links)
     grouped = distinct.select("node", "m").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     kept = grouped.groupBy("root").agg(F.min("m").alias("m")).select("m.h1", "m.h2")
@@ -350,39 +349,34 @@ def near_duplicates(
 
 
 def _verified(radius: int, similarity: float):
-    """Links between the sets of two lists, or of one where the other is null, thinned to what connects them."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                rows = a + (b or [])
-                fps = np.array([[r[w] for w in WORDS] for r in rows], np.int64).view(np.uint64)
-                split = len(a) if b else 0
-                near = np.bitwise_count(fps[: split or None, None] ^ fps[None, split:]).sum(axis=2, dtype=np.int64) <= radius
-                sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
-                group = list(range(len(rows)))
-
-                def root(i, group=group):
-                    while group[i] != i:
-                        group[i] = group[group[i]]
-                        i = group[i]
-                    return i
-
-                for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-                    j += split
-                    x, y = root(i), root(j)
-                    if x == y:
+    """Links between the sets of the two sides of a pair of tiles, or of one with itself, thinned to what connects them."""
+
+    def run(table):
+        node = table.column("node").to_numpy()
+        side = table.column("side").to_numpy()
+        fps = np.stack([table.column(w).to_numpy() for w in WORDS]).view(np.uint64)
+        data = table.column("shingles").combine_chunks()
+        sets = [np.frombuffer(data[k].as_buffer(), np.uint64) for k in range(len(data))]
+        rows = [np.flatnonzero(side == k) for k in (0, 1)]
+        if not len(rows[1]):
+            rows[1] = rows[0]
+        label, out = np.arange(len(node)), []
+        for left, right in near_pairs(fps[:, rows[0]], fps[:, rows[1]], radius):
+            cuts = np.append(runs(left), len(left))
+            for start, end in zip(cuts.tolist(), cuts[1:].tolist()):
+                i, others = int(rows[0][left[start]]), rows[1][right[start:end]]
+                for j in others[label[others] != label[i]].tolist():
+                    if label[i] == label[j]:
                         continue
                     small, big = sorted((len(sets[i]), len(sets[j])))
                     if small < similarity * big:
                         continue
                     common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                     if common >= similarity * (small + big - common):
-                        group[x] = y
-                        out.append((rows[i]["node"], rows[j]["node"]))
-            ends = np.array(out, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], names=["a", "b"])
+                        label[label == label[j]] = label[i]
+                        out.append((node[i], node[j]))
+        ends = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])})
 
     return run
 

@@ -177,7 +177,7 @@ def test_tiles_lose_no_link(spark, radius, blocks):
 
 
 def test_near_duplicates_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "MEMBERS", 4)
+    monkeypatch.setattr(simhash, "TILE_SHINGLES", 1000)  # many tiles
     base = [f"w{k}" for k in range(400)]
     texts = []
     for k in range(30):
