@@ -202,6 +202,76 @@ def fn_conditional():
     return {"coalesced": call("coalesce", F.lit(None), F.col("o_orderpriority")), "nulled": call("nullif", F.col("o_orderstatus"), F.lit("F")), "cast_": call("cast", F.col("o_orderkey"), "string"), "scale_": call("scale", d), "least_scale": call("min_scale", d)}
 
 
+@over("customer", "c_custkey", {
+    "acos_": f"round(acos({_X}), 6)", "asin_": f"round(asin({_X}), 6)", "atan_": f"round(atan({_X}), 6)", "atan2_": f"round(atan2({_X}, 0.5), 6)", "ceiling_": "ceil(c_acctbal)::BIGINT", "cos_": "round(cos(c_custkey), 6)", "sin_": "round(sin(c_custkey), 6)", "tan_": f"round(tan({_X}), 6)",
+    "trim_scale_": "CASE WHEN c_custkey % 100 = 0 THEN (c_custkey // 100)::VARCHAR WHEN c_custkey % 10 = 0 THEN (c_custkey // 100) || '.' || (c_custkey // 10 % 10) ELSE (c_custkey // 100) || '.' || lpad((c_custkey % 100)::VARCHAR, 2, '0') END",
+})
+def fn_more_math():
+    b, k, x = F.col("c_acctbal"), F.col("c_custkey"), F.col("c_acctbal") / 20000
+    return {
+        "acos_": _r(call("acos", x)), "asin_": _r(call("asin", x)), "atan_": _r(call("atan", x)), "atan2_": _r(call("atan2", x, F.lit(0.5))), "ceiling_": call("ceiling", b), "cos_": _r(call("cos", k)), "sin_": _r(call("sin", k)), "tan_": _r(call("tan", x)),
+        "trim_scale_": call("trim_scale", (k / F.lit(100)).cast("decimal(18,2)")),
+    }
+
+
+@over("part", "p_partkey", {
+    "decoded": "p_brand", "initcap_": "array_to_string([upper(x[1]) || lower(x[2:]) for x in string_split(p_type, ' ')], ' ')", "n": "length(p_name)", "like_": "p_type LIKE '%STEEL%'", "low": "lower(p_type)", "up": "upper(p_name)", "l": "p_size || ' '", "r": "' ' || p_size", "both_": "p_size::VARCHAR",
+    "at": "instr(p_name, ' ')",
+})
+def fn_more_string():
+    b, n, t, s = F.col("p_brand"), F.col("p_name"), F.col("p_type"), F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" "))
+    return {
+        "decoded": call("decode", call("encode", F.encode(b, "utf-8"), "hex"), "hex").cast("string"), "initcap_": call("initcap", t), "n": call("length", n), "like_": call("like", t, F.lit("%STEEL%")), "low": call("lower", t), "up": call("upper", n), "l": call("ltrim", s), "r": call("rtrim", s), "both_": call("trim", s),
+        "at": call("position", F.lit(" "), n),
+    }
+
+
+@over("orders", "o_orderkey", {
+    "months_": "datediff('month', TIMESTAMP '1970-01-01', o_orderdate)::INTEGER", "days_": "day(o_orderdate)::INTEGER - 1", "later": "epoch_us(o_orderdate + INTERVAL 14 MONTH)", "made": "epoch_us(date_trunc('minute', o_orderdate)::TIMESTAMP)",
+})
+def fn_more_datetime():
+    d = F.col("o_orderdate")
+    span = call("age", d, F.lit("1970-01-01").cast("timestamp"))
+    made = call("make_timestamp", F.year(d), F.month(d), F.dayofmonth(d), F.hour(d), F.minute(d), F.lit(0))
+    later = d.cast("timestamp") + call("make_interval", F.lit(1), F.lit(2))
+    return {"months_": span["months"], "days_": span["days"], "later": F.unix_micros(later), "made": F.unix_micros(made.cast("timestamp"))}
+
+
+@over("events", "event_id", {
+    "n": "2", "arr": "'[' || event_id || ',\"' || event_type || '\"]'", "obj": "'{\"id\":' || event_id || '}'", "made": "'{\"' || event_type || '\":\"v\"}'", "kind": "'object'", "row_": "'{\"event_id\":' || event_id || '}'", "list_": "'[' || event_id || ']'", "upper_": "2",
+    "pretty": "'{' || chr(10) || '  \"t\" : \"' || event_type || '\"' || chr(10) || '}'",
+})
+def fn_more_json():
+    k, t = F.col("event_id"), F.col("event_type")
+    two = call("jsonb_build_array", k, t)
+    return {
+        "n": call("json_array_length", two), "arr": two, "obj": call("jsonb_build_object", F.lit("id"), k), "made": call("jsonb_object", F.array(t), F.array(F.lit("v"))), "kind": call("jsonb_typeof", call("jsonb_build_object", F.lit("t"), t)), "row_": call("to_json", F.struct("event_id")), "list_": call("to_jsonb", F.array(k)),
+        "upper_": call("array_upper", F.array(k, k), 1), "pretty": call("jsonb_pretty", call("jsonb_build_object", F.lit("t"), t)),
+    }
+
+
+def fn_more_rows(spark, sf_dir):
+    """The other names of the functions that give rows and of JSON aggregates."""
+    e = read(spark, sf_dir, "events")
+    j = F.concat(F.lit('{"k":"'), F.col("event_type"), F.lit('"}'))
+    two = F.concat(F.lit("["), F.col("event_id").cast("string"), F.lit(',"x"]'))
+    out = e.select("event_id", F.lit("keys").alias("what"), call("json_object_keys", j).alias("v"))
+    out = out.union(e.select("event_id", F.lit("text"), call("jsonb_array_elements_text", two)))
+    out = out.union(e.select("event_id", F.lit("element"), call("jsonb_array_elements", two)).toDF("event_id", "what", "v").withColumn("v", F.to_json("v")))
+    out = out.union(e.select("event_id", call("jsonb_each_text", j)).select("event_id", F.lit("each_text"), F.concat("key", "value")))
+    out = out.union(e.select("event_id", call("jsonb_each", j)).select("event_id", F.lit("each"), F.concat("key", F.to_json("value"))))
+    by = e.groupBy("event_id").agg(*[call(f, F.col("event_type"), F.col("user_id")).alias(f) for f in ("json_object_agg", "jsonb_object_agg")], call("jsonb_agg", F.col("user_id")).alias("jsonb_agg"))
+    for f in ("json_object_agg", "jsonb_object_agg", "jsonb_agg"):
+        out = out.union(by.select("event_id", F.lit(f), f))
+    return out
+
+
+Q["fn_more_rows"] = fn_more_rows
+SQL["fn_more_rows"] = """SELECT event_id, 'keys' AS what, 'k' AS v FROM events UNION ALL SELECT event_id, 'text', unnest([event_id::VARCHAR, 'x']) FROM events UNION ALL SELECT event_id, 'element', unnest([event_id::VARCHAR, '"x"']) FROM events
+UNION ALL SELECT event_id, 'each_text', 'k' || event_type FROM events UNION ALL SELECT event_id, 'each', 'k"' || event_type || '"' FROM events
+UNION ALL SELECT event_id, f, '{"' || event_type || '":' || user_id || '}' FROM events, (SELECT 'json_object_agg' AS f UNION ALL SELECT 'jsonb_object_agg') UNION ALL SELECT event_id, 'jsonb_agg', '[' || user_id || ']' FROM events"""
+
+
 def fn_allow_list(spark, sf_dir):
     """Which of the functions that a log of calls names are on the list, in any case and schema."""
     names = F.element_at(F.array(*map(F.lit, [*ALLOWED, "now", "random", "setseed"])), (F.col("o_orderkey") % (len(ALLOWED) + 3) + 1).cast("int"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from guardframe.operators import requests as R, sessions as S
 from guardframe.plans.token_queries import read
-from guardframe.scratch import durable
+from guardframe.scratch import shared_folder
 from guardframe.streaming import streams
 
 Q: dict = {}
@@ -92,8 +92,7 @@ def s7_sliding_stats(spark, sf_dir):
 
 
 def _scratch(spark) -> str:
-    durable(spark.range(1))  # sets the checkpoint folder where none is set
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(spark, sf_dir):
@@ -117,3 +116,23 @@ def s3_idle_sessions(spark, sf_dir):
     """Sessions by idle time alone, with the aggregation that the stream uses."""
     found = streams.idle_sessions_stream(read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return found.withColumns({c: F.unix_micros(c) for c in ("started", "ended")})
+
+
+@query(f"WITH {_SESSIONS} SELECT user_id, epoch_us(started) AS started, epoch_us(ended) AS ended, n FROM sessions")
+def s3_session_stream(spark, sf_dir):
+    """Sessions with idle and absolute life, closed by timers of a stream over the table's files; a far event closes the last of them."""
+    at = _scratch(spark)
+    batch = read(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"))
+    batch.write.parquet(f"{at}/in/first")
+    last = batch.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"))
+    last.write.parquet(f"{at}/in/last")
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(batch.schema).parquet(f"{at}/in/*")
+        writer = streams.sessions_stream(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+    return spark.read.parquet(f"{at}/out").where("user_id >= 0")

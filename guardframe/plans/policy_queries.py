@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from guardframe.scratch import shared_folder
 from guardframe.sources import policy as P
 from guardframe.plans.token_queries import read
 
@@ -118,3 +121,16 @@ def p5_audit_policy_config(spark, sf_dir):
 @query("SELECT c.c_custkey, c.c_name FROM customer c WHERE c.c_nationkey = 3")
 def p11_table_source(spark, sf_dir):
     return P.table_source(spark, f"{sf_dir}/customer.parquet", "c").where("c.c_nationkey = 3").select("c.c_custkey", "c.c_name")
+
+
+_FILE = """concat('{"version":"1.0","databases":[{"type":"postgres","connectionName":"', c_name, '","port":', 1000 + c_custkey % 60000, ',"safetyPolicy":{"maxRows":', 1 + c_custkey % 500, '},"sensitiveColumns":["t', c_nationkey, '.Col"]}]}')"""
+
+
+@query("SELECT c_name AS conn, 'postgres' AS type, (1000 + c_custkey % 60000)::INTEGER AS port, (1 + c_custkey % 500)::BIGINT AS max_rows, 't' || c_nationkey AS \"table\", 'col' AS col FROM customer")
+def p1_load_policy(spark, sf_dir):
+    """A file of configurations, one for each customer, written and loaded."""
+    folder = f"{shared_folder(spark)}/policies-{uuid.uuid4().hex}"
+    read(spark, sf_dir, "customer").select(F.expr(_FILE).alias("value")).write.text(folder)
+    found = P.load_policy(spark, folder, lines=True)
+    rules = found.column_rules.select("conn", "table", "col")
+    return found.connections.select("conn", "type", F.col("port").cast("int").alias("port"), "max_rows").join(rules, "conn")

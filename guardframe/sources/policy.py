@@ -26,9 +26,9 @@ class Policy:
     function_rules: DataFrame
 
 
-def load_policy(spark: SparkSession, path: str) -> Policy:
-    """The rule tables of JSON configurations; another version or too many databases is an error."""
-    raw = spark.read.schema(CONFIG).option("multiLine", True).option("mode", "FAILFAST").json(path)
+def load_policy(spark: SparkSession, path: str, lines: bool = False) -> Policy:
+    """The rule tables of JSON configurations, one a file or one a line; another version or too many databases is an error."""
+    raw = spark.read.schema(CONFIG).option("multiLine", not lines).option("mode", "FAILFAST").json(path)
     bad = raw.where((F.coalesce("version", F.lit("")) != VERSION) | (F.size("databases") > MAX_DATABASES))
     if not bad.isEmpty():
         raise ValueError(f"a configuration is not of version {VERSION}, or has over {MAX_DATABASES} databases")
