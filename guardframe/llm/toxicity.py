@@ -84,7 +84,6 @@ def train_dictionaries(labelled: DataFrame, texts: DataFrame, rows: int = DICTIO
     unit weighs by the number of different neighbours it has in toxic against ordinary
     texts, so that copies of a passage count once.
     """
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
     labelled = durable(labelled)
     chosen = sample_by_hash(labelled.where("label = 1"), rows, "doc_id").union(sample_by_hash(labelled.where("label = 0"), rows, "doc_id"))
     # about 2 * rows ids at most go to the texts, so no text but theirs is moved
@@ -118,8 +117,10 @@ def train_dictionaries(labelled: DataFrame, texts: DataFrame, rows: int = DICTIO
     telling = [r.unit.strip().encode() for r in telling.select("unit").collect()]
     toxic = b" " + b" ".join(reversed(telling))[-TOXIC_BYTES:] + b" "
     ordinary = []
-    few = sample.where("label = 0").orderBy(*order).select(F.substring("text", 1, 4 * WINDOW).alias("t"))
-    for r in few.limit(ORDINARY_BYTES // WINDOW).collect():
+    # a stretch from anywhere in the text, cut out before rows are ordered; no other text goes to the driver
+    start = F.pmod(F.xxhash64(F.lit("cut"), "doc_id"), F.greatest(F.length("text") - 4 * WINDOW, F.lit(1))) + 1
+    few = sample.where("label = 0 and text is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring(F.col("text"), start.cast("int"), F.lit(4 * WINDOW)).alias("t"))
+    for r in few.orderBy("h", "doc_id").limit(ORDINARY_BYTES // WINDOW).select("t").collect():
         ordinary += windows(r.t)[:2]
     content = b"".join(ordinary)[:ORDINARY_BYTES]
     return content + bytes(len(toxic)), content + toxic if telling else b""
