@@ -6,12 +6,11 @@ columns of docs. Extra columns pass through. Empty documents give empty results.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from guardframe.llm.common import row_hash, table
+from guardframe.llm.common import row_hash, shared_folder, table
 from guardframe.llm.decontaminate import contaminated
 from guardframe.llm.lines import line_dedup
 from guardframe.llm.mixing import source_mix
@@ -81,8 +80,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, with a table in the shared folder after each."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    folder = f"{shared or tempfile.mkdtemp(prefix='pipeline-')}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for number, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)

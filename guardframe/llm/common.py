@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import pickle
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,8 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from guardframe.scratch import durable as durable, shared_folder as shared_folder
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -41,18 +42,6 @@ def sample_by_hash(df: DataFrame, rows: int, *key: str) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(F.lit("sample"), *key), F.lit(1 << 40)) < int(rows / n * (1 << 40)))
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept where all executors can read them.
-
-    They go to the session's checkpoint folder (``spark.checkpoint.dir``). Only where
-    none is set, as in local tests, a temporary folder is taken.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="guardframe-"))
-    return df.checkpoint()
-
-
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """Lower-cased (A-Z only) words of each text, as codes into a list of distinct words.
 
