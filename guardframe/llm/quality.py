@@ -151,7 +151,7 @@ def fit_rules(labelled: DataFrame, sample: int = SAMPLE, trees: int = TREES, dep
     prior = float(np.log((ones + 1) / (n - ones + 1)))
     if ones in (0, n):
         return RuleModel(prior, [])
-    # every statistic is open to every split; the trees differ by the rows they draw
+    # a split sees a third of the statistics, so that trees and their paths differ
     forest = RandomForestClassifier(
         numTrees=trees, maxDepth=depth, seed=7, minInstancesPerNode=5, featureSubsetStrategy="onethird", subsamplingRate=0.8
     ).fit(rows.select("features", "label"))

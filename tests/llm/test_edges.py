@@ -388,3 +388,54 @@ def test_apportionment_is_sainte_lague(spark):
         best = sorted(((-c / (2 * s - 1), k) for k, c in mine for s in range(1, n + 1)))[:n]
         want = Counter(k for _, k in best)
         assert all(got[g, k] == want[k] for k, gg, _ in claims if gg == g)
+
+
+def test_fingerprints_equal_a_plain_count_of_bits():
+    """XXH64 of each run of words, in the order of the statement, one bit after the other."""
+    xxhash = pytest.importorskip("xxhash")
+    rng = np.random.default_rng(9)
+    texts = [None, "", " \t\n", "One", "two WORDS", "a b c", "a b c d e f a b c a b c", "\u00c4 \u00e4\u00df\x0bx\x1cy z", LONG]
+    texts += [" ".join(f"w{k}" for k in rng.integers(0, 50, n)) for n in (3, 4, 40, 700)]
+    for t in texts:
+        words, now = [], ""
+        for c in (t or "") + " ":
+            if c in " \t\n\x0b\x0c\r":
+                words += [now] if now else []
+                now = ""
+            else:
+                now += c.lower() if "A" <= c <= "Z" else c
+        grams = [words[k : k + 3] for k in range(len(words) - 2)] if len(words) > 2 else [words] if words else []
+        hashes = [xxhash.xxh64_intdigest(" ".join(g).encode(), 42) for g in grams]
+        want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+        assert simhash.fingerprint(simhash.shingle_hashes(t, 3)) % (1 << 64) == want, t
+
+
+def test_statistics_are_those_of_a_plain_count():
+    text = "The Cat sat. the cat sat on | it!\nThe Cat sat.\n\nR\u00e4um auf 42 ##"
+    got = dict(zip(quality.STATISTICS, quality.statistics(text)))
+    data, words = text.encode(), text.encode().split()
+    low = [w.decode().lower() for w in words]
+    n = len(words)
+    counts = Counter(w.encode() for w in low)
+    want = {
+        "log_chars": math.log1p(len(data)), "log_words": math.log1p(n), "word_length": sum(map(len, words)) / n, "longest_word": math.log1p(max(map(len, words))),
+        "upper": sum(65 <= b <= 90 for b in data) / len(data), "digit": 2 / len(data), "space": sum(b in b" \n" for b in data) / len(data), "symbol": 2 / len(data), "mark": 2 / len(data),
+        "bar": 1 / len(data), "bang": 1 / len(data), "odd_ends": 1 / n, "distinct_words": len(counts) / n, "top_word": max(counts.values()) / n, "repeated_runs": 0.0, "repeated_lines": 1 - 3 / 3,
+        "line_words": math.log1p(n / 3), "stops": data.count(b".") / n, "capitals": sum(w[:1].isupper() for w in words) / n, "non_ascii": 2 / len(data), "short_words": sum(len(w) < 4 for w in words) / n,
+        "word_entropy": -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(n), "doubled": sum(a == b for a, b in zip(low, low[1:])) / n,
+    }
+    for name, value in want.items():
+        assert got[name] == pytest.approx(value), name
+
+
+def test_decontamination_stage_with_clashing_columns_and_without_rows(spark, tmp_path):
+    """The row hashes of a stage take other names where the table has theirs; empty tables stay empty."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row_h1 string, row_h2 long, item_id long"
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine", None, None, None, "x", 1, 2), (None, "nothing to see", None, None, None, "x", 1, 2)], schema)
+    left = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [None]
+    for stage in (corpus_pipeline.decontaminate, corpus_pipeline.near_dedup, corpus_pipeline.lines, corpus_pipeline.mix):
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
