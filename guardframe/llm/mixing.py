@@ -10,8 +10,8 @@ from guardframe.llm.common import WORD, durable, table
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: Words of a block; words of a shard, on average; the seed of the selection.
 BLOCK, SHARD, SEED = 32, 1_000_000, "mix-1"
-#: Equal rows that are numbered together.
-COPIES = 65_536
+#: Equal rows that are numbered together, in one task.
+COPIES = 512
 
 
 def source_targets(sizes: DataFrame, source: str, size: str) -> DataFrame:
