@@ -113,7 +113,7 @@ def source_mix(
     # rows without words take no part; of equal rows each gets a number, so many at a time
     equal = sized.where("size > 0").groupBy("doc_id", "source", "size", "digest").agg(F.count("*").alias("n"))
     some = equal.withColumn("from", F.explode(F.expr(f"sequence(0L, n - 1, {COPIES}L)")))
-    some = some.repartition("digest", "from")
+    some = some.repartition("doc_id", "source", "digest", "from")
     rows = some.withColumn("copy", F.explode(F.expr(f"sequence(`from`, least(n, `from` + {COPIES}) - 1)")))
     # sources are few beside documents, but their number has no bound: a plain join, which Spark broadcasts when small
     dealt = rows.withColumn("digest", _digest("doc_id", "digest", "copy"))
