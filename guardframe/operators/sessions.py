@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from guardframe.scratch import durable
+
 #: Fixed values in seconds: idle and absolute life of a session, idle life of a connection.
 IDLE, LIFE, CONNECTION_IDLE = 20 * 60, 8 * 3600, 10 * 60
 
@@ -18,8 +24,8 @@ def sessionize(events: DataFrame, user: str = "user_id", ts: str = "ts", idle: i
     The life makes a session depend on where the last one began, so plain gaps do not
     give it. Gaps first cut a user's events into runs that no session crosses, on a
     window; a run no longer than life is one session, whatever its length in rows. Only
-    longer runs are folded in order, on distinct times alone, one run at a time. Rows with
-    a null user or time are left out.
+    longer runs are folded in order, on distinct times alone, a batch of rows at a time:
+    no run is ever one row or one array. Rows with a null user or time are left out.
     """
     e = events.select(F.col(user).alias("user"), _micros(F.col(ts)).alias("t")).where("user is not null and t is not null")
     # repeated times change nothing but the count
@@ -27,27 +33,48 @@ def sessionize(events: DataFrame, user: str = "user_id", ts: str = "ts", idle: i
     w = W.partitionBy("user").orderBy("t")
     gap = F.col("t") - F.lag("t").over(w) > idle * 1_000_000
     cut = e.withColumn("run", F.sum(F.coalesce(gap, F.lit(True)).cast("long")).over(w))
-    runs = cut.groupBy("user", "run").agg(
-        F.min("t").alias("a"), F.max("t").alias("b"), F.sum("c").alias("n"), F.array_sort(F.collect_list(F.struct("t", "c"))).alias("ts")
-    )
-    fits = F.col("b") - F.col("a") <= life * 1_000_000
-    whole = runs.where(fits).select("user", "a", "b", "n")
-    empty = F.lit(None).cast("array<struct<a:bigint,b:bigint,n:bigint>>")
-    step = lambda acc, x: F.when(
-        F.size(acc) == 0, F.array(F.struct(x["t"].alias("a"), x["t"].alias("b"), x["c"].alias("n")))
-    ).when(
-        x["t"] - F.element_at(acc, -1)["a"] > life * 1_000_000, F.concat(acc, F.array(F.struct(x["t"].alias("a"), x["t"].alias("b"), x["c"].alias("n"))))
-    ).otherwise(
-        F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), x["t"].alias("b"), (F.element_at(acc, -1)["n"] + x["c"]).alias("n"))))
-    )
-    folded = F.aggregate("ts", F.coalesce(empty, F.array().cast("array<struct<a:bigint,b:bigint,n:bigint>>")), step)
-    split = runs.where(~fits).select("user", F.explode(folded).alias("s")).select("user", "s.*")
+    of_run = W.partitionBy("user", "run")
+    long = F.max("t").over(of_run) - F.min("t").over(of_run) > life * 1_000_000
+    cut = durable(cut.withColumn("first", F.coalesce(gap, F.lit(True))).withColumn("long", long))
+    whole = cut.where(~F.col("long")).groupBy("user", "run").agg(F.min("t").alias("a"), F.max("t").alias("b"), F.sum("c").alias("n"))
+    # a partition has whole runs one after the other, each in the order of its times
+    rest = cut.where("long").repartition("user", "run").sortWithinPartitions("user", "run", "t").select("user", "t", "c", "first")
+    kind = rest.schema["user"].dataType.simpleString()
+    split = rest.mapInArrow(lambda batches: _fold(batches, life * 1_000_000), f"user {kind}, a long, b long, n long")
     number = F.row_number().over(W.partitionBy("user").orderBy("a"))
-    return whole.union(split).select(
+    return whole.drop("run").union(split).select(
         F.col("user").alias(user), number.alias("session"), F.timestamp_micros("a").alias("started"), F.timestamp_micros("b").alias("ended"), F.col("n").alias("n")
     )
 
 
+def _fold(batches: Iterator[pa.RecordBatch], life: int) -> Iterator[pa.RecordBatch]:
+    """Sessions (user, a, b, n) of rows (user, t, c, first) in order, `first` where a run begins; one session is held open."""
+    users, spans = [], []
+    for batch in batches:
+        t, c = (batch.column(k).to_numpy() for k in ("t", "c"))
+        first = batch.column("first").to_numpy(zero_copy_only=False)
+        before = np.concatenate([[0], np.cumsum(c)])
+        # where runs begin; the first stretch may go on from the batch before
+        bounds = [*np.unique(np.append(np.flatnonzero(first), 0)), len(t)] if len(t) else [0]
+        for at, end in zip(bounds, bounds[1:]):
+            while at < end:
+                if first[at] or t[at] > spans[-1][0] + life:
+                    users.append(batch.column("user").slice(at, 1))
+                    spans.append([t[at], t[at], 0])
+                to = at + int(np.searchsorted(t[at:end], spans[-1][0] + life, "right"))
+                spans[-1] = [spans[-1][0], t[to - 1], spans[-1][2] + before[to] - before[at]]
+                at = to
+        if len(spans) > 1:
+            yield _sessions(users[:-1], spans[:-1])
+            users, spans = users[-1:], spans[-1:]
+    if spans:
+        yield _sessions(users, spans)
+
+
+def _sessions(users: list[pa.Array], spans: list[list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(users), *(pa.array(x, pa.int64()) for x in zip(*spans))], names=["user", "a", "b", "n"])
+
+
 def expired_sessions(sessions: DataFrame, at: Column, idle: int = IDLE, life: int = LIFE) -> DataFrame:
     """sessions(started, ended) that are over at an instant, with the cause: clock, idle or life."""
     now, a, b = _micros(at), _micros(F.col("started")), _micros(F.col("ended"))

@@ -36,6 +36,24 @@ def test_sessions_are_those_of_a_fold(events):
     assert sessionize(events.limit(0)).count() == 0
 
 
+def test_long_runs_may_be_cut_into_any_batches(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(u, start + timedelta(minutes=m * k)) for u, m, n in ((1, 15, 200), (2, 7, 500), (3, 20, 25), (4, 19, 26), (5, 20, 26)) for k in range(n)]
+    rows += [(1, t + timedelta(days=9)) for u, t in rows if u == 1] + rows[:40]
+    by = {}
+    for u, t in rows:
+        by.setdefault(u, []).append(t)
+    want = sorted((u, *s) for u, ts in by.items() for s in fold(ts))
+    events = spark.createDataFrame(rows, "user_id long, ts timestamp")
+    for size in ("1", "7", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = sorted((r.user_id, r.started, r.ended, r.n) for r in sessionize(events).collect())
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want
+
+
 def test_stream_of_sessions_equals_the_batch(spark, events, tmp_path):
     good = events.where("user_id is not null and ts is not null")
     # a late closing event moves the watermark past every session
