@@ -112,10 +112,10 @@ def p10_snapshot_diff(spark, sf_dir):
     return P.snapshot_diff_with_rename(new, old, "k", ["f", "i", "j"], ["i", "j"])
 
 
-@query("SELECT n_name AS path, '$.databases[' || i || ']' AS json_path, rule, v AS value FROM nation, (SELECT 0 AS i, 'port' AS rule UNION ALL SELECT 1, 'strategy' UNION ALL SELECT 1, 'path') r, (SELECT 1) x, LATERAL (SELECT CASE rule WHEN 'port' THEN (n_nationkey * 10000)::VARCHAR WHEN 'strategy' THEN n_name ELSE n_name || '.' END AS v) y WHERE rule <> 'port' OR n_nationkey * 10000 > 65535")
+@query("SELECT c_name AS path, '$.databases[' || i || ']' AS json_path, rule, v AS value FROM customer, (SELECT 0 AS i, 'port' AS rule UNION ALL SELECT 1, 'strategy' UNION ALL SELECT 1, 'path') r, (SELECT 1) x, LATERAL (SELECT CASE rule WHEN 'port' THEN (c_custkey * 1000)::VARCHAR WHEN 'strategy' THEN c_name ELSE c_name || '.' END AS v) y WHERE rule <> 'port' OR c_custkey * 1000 > 65535")
 def p5_audit_policy_config(spark, sf_dir):
-    config = """concat('{"version":"1.0","databases":[{"type":"postgres","connectionName":"a","port":', n_nationkey * 10000, '},{"type":"postgres","connectionName":"b","safetyPolicy":{"columnPolicy":{"strategy":"', n_name, '"}},"sensitiveColumns":["t.c","', n_name, '."]}]}')"""
-    return P.audit_policy_config(read(spark, sf_dir, "nation").select(F.col("n_name").alias("path"), F.expr(config).alias("json")))
+    config = """concat('{"version":"1.0","databases":[{"type":"postgres","connectionName":"a","port":', c_custkey * 1000, '},{"type":"postgres","connectionName":"b","safetyPolicy":{"columnPolicy":{"strategy":"', c_name, '"}},"sensitiveColumns":["t.c","', c_name, '."]}]}')"""
+    return P.audit_policy_config(read(spark, sf_dir, "customer").select(F.col("c_name").alias("path"), F.expr(config).alias("json")))
 
 
 @query("SELECT c.c_custkey, c.c_name FROM customer c WHERE c.c_nationkey = 3")

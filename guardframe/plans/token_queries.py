@@ -209,9 +209,9 @@ def r3_cap_result(spark, sf_dir):
     return caps.cap_result(planned, ["c_custkey"], T.empty_vault(spark), "tpch", 200, 1500)[0]
 
 
-@query("""WITH r AS (SELECT * FROM (SELECT n_nationkey, n_name, CASE WHEN n_regionkey > 0 THEN n_regionkey END AS n_regionkey FROM nation) ORDER BY n_nationkey LIMIT 200)
-SELECT '{"exec_ms":0,"columns":[{"name":"n_nationkey","kind":"plaintext","type":"int"},{"name":"n_name","kind":"plaintext","type":"string"},{"name":"n_regionkey","kind":"plaintext","type":"int"}],"rows":['
- || string_agg('["' || n_nationkey || '","' || n_name || '",' || coalesce('"' || n_regionkey || '"', 'null') || ']', ',' ORDER BY n_nationkey) || '],"rowcount":' || count(*) || ',"resultTruncated":false}' AS json FROM r""")
+@query("""WITH c AS (SELECT c_custkey, c_name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS c_mktsegment FROM customer), r AS (SELECT * FROM c ORDER BY c_custkey LIMIT 200)
+SELECT '{"exec_ms":0,"columns":[{"name":"c_custkey","kind":"plaintext","type":"bigint"},{"name":"c_name","kind":"plaintext","type":"string"},{"name":"c_mktsegment","kind":"plaintext","type":"string"}],"rows":['
+ || string_agg('["' || c_custkey || '","' || c_name || '",' || coalesce('"' || c_mktsegment || '"', 'null') || ']', ',' ORDER BY c_custkey) || '],"rowcount":' || count(*) || ',"resultTruncated":' || ((SELECT count(*) FROM c) > 200)::VARCHAR || '}' AS json FROM r""")
 def r5_result_envelope(spark, sf_dir):
-    df = read(spark, sf_dir, "nation").select("n_nationkey", "n_name", F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")).alias("n_regionkey"))
-    return caps.result_envelope(caps.cap_rows(df, ["n_nationkey"]), ["n_nationkey"])
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    return caps.result_envelope(caps.cap_rows(df, ["c_custkey"]), ["c_custkey"])
