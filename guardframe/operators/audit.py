@@ -207,7 +207,10 @@ def all_violations(
     if need_mode or order or any_of(NODE_RULES) or any_of(PARAM_RULES):
         resolved = resolve(blocks, ranges, nodes, column_rules, conn)
         calls = classify_functions(resolved.withColumns({"schema": F.col("func_schema"), "name": F.col("func_name")}), builtin, function_rules, conn)
-        related_nodes = durable(related(calls))
+        related_nodes = related(calls)
+        # rules of nodes alone read them once; all others meet them again in the mode, the places or the parameters
+        if need_mode or order or any_of(PARAM_RULES):
+            related_nodes = durable(related_nodes)
         links = related_nodes.where("x.nested_block_id is not null").select(
             "query_id", F.col("x.nested_block_id").alias("block_id"), "clause", "item", "x.node_id", "x.top"
         )
