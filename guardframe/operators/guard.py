@@ -1,13 +1,16 @@
 """Guarded frames: the accepted query forms over tables with sensitive columns.
 
 A guarded frame knows which of its columns are sensitive, by table alias and name.
-Expressions are resolved against the frame without them, so no expression can use one; a
-sensitive column may be selected as it stands, and leaves as tokens, or be filtered by
-token. A frame that did either is in sensitive mode. What that mode refuses (DISTINCT,
+Expressions are resolved against the frame without them, and none may hold a star, so no
+expression can use one; a sensitive column may be selected as it stands, and leaves as
+tokens, or be filtered by token. A frame that did either is in sensitive mode. What that mode refuses (DISTINCT,
 OFFSET, no limit or a high one, joins that are not inner, conditions that are not AND of
 = and IN) is kept with the frame from the first call on, and judged once the mode is
 known, so the order of the calls is no matter. All is decided while the plan is built;
 Catalyst sees an ordinary frame.
+
+Stars and the forms of conditions are read from Spark's own trees of expressions, through
+interfaces of the classic session that are not public; Spark Connect has none of them.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from guardframe.sources.policy import classify_columns
 
 #: Fixed value: the most rows of a result with a sensitive column.
 SENSITIVE_LIMIT = 200
+_CONVERTER = "org.apache.spark.sql.classic.ColumnNodeToExpressionConverter$"
 
 
 class GuardError(ValueError):
@@ -53,6 +57,34 @@ class Guard:
         return GuardedFrame(self, self.spark.createDataFrame(rows, columns).alias(alias), {})
 
 
+def _parsed(column: Column):
+    """The expression of a column before it is resolved."""
+    classic = column._jc.getClass().getClassLoader()
+    convert = SparkSession.active().sparkContext._jvm.java.lang.Class.forName(_CONVERTER, True, classic).getField("MODULE$").get(None)
+    return convert.apply(column._jc.node())
+
+
+def _has_star(expression) -> bool:
+    """A star anywhere but in count(*), which looks at no column."""
+    kind = expression.getClass().getSimpleName()
+    if kind in ("UnresolvedStar", "UnresolvedRegex", "UnresolvedStarExceptOrReplace", "UnresolvedStarWithColumns", "ResolvedStar"):
+        return True
+    if kind == "UnresolvedFunction" and not expression.isDistinct() and expression.nameParts().mkString(".").lower() == "count" and expression.children().mkString(",") == "*":
+        return expression.children().head().getClass().getSimpleName() != "UnresolvedStar"
+    children = expression.children().iterator()
+    while children.hasNext():
+        if _has_star(children.next()):
+            return True
+    return False
+
+
+def _refuse_stars(*expressions: str | Column) -> None:
+    """A star would be a list of other columns in the whole frame than in the frame without sensitive ones."""
+    for e in expressions:
+        if _has_star(_parsed(F.expr(e) if isinstance(e, str) else e)):
+            raise GuardError("STAR", str(e))
+
+
 def _conjuncts(condition) -> list:
     """The parts of an analyzed condition that AND connects."""
     if condition.getClass().getSimpleName() == "And":
@@ -142,12 +174,14 @@ class GuardedFrame:
                 if key := self._entry(name):
                     kept[None, as_name] = self.sensitive[key]
             else:
+                _refuse_stars(name)
                 self._public("SENSITIVE_SELECT_EXPR", lambda df, e=name: df.select(e))
                 out.append(name)
         return self._with(self.df.select(*out), sensitive=kept, mode=self.mode or bool(kept))
 
     def where(self, condition: Column | str) -> GuardedFrame:
         """Rows that a condition holds for; after a grouping it is HAVING, whose form is free."""
+        _refuse_stars(condition)
         # a filter would find columns that are only dropped, a projection does not
         self._public("SENSITIVE_CMP", lambda df: df.select(F.expr(condition) if isinstance(condition, str) else condition))
         out = self.df.where(condition)
@@ -165,6 +199,7 @@ class GuardedFrame:
 
     def join(self, other: GuardedFrame, on: Column, how: str = "inner") -> GuardedFrame:
         """Both frames' columns, told apart by their aliases; a limit from before the join is none of the result's."""
+        _refuse_stars(on)
         if self.sensitive or other.sensitive:
             try:
                 self._shown().join(other._shown(), on, how)
@@ -186,6 +221,7 @@ class GuardedFrame:
         return self.faults + ((limit,) if self.limited is None or self.limited > SENSITIVE_LIMIT else ())
 
     def _filter_by(self, other: GuardedFrame, on: Column, how: str) -> GuardedFrame:
+        _refuse_stars(on)
         try:
             self._shown().join(other._shown(), on, how)
         except AnalysisException as e:
@@ -203,6 +239,7 @@ class GuardedFrame:
 
     def not_in(self, column: str, other: GuardedFrame, key: str) -> GuardedFrame:
         """column NOT IN (other.key) as SQL has it: nothing is left if the list has a null; a null is never in or out of a list that is not empty."""
+        _refuse_stars(F.col(column), F.col(key))
         if self._entry(column) or other._entry(key):
             raise GuardError("SENSITIVE_CMP", column)
         keys = other.df.select(F.col(key).alias("_key"))
@@ -214,6 +251,7 @@ class GuardedFrame:
 
     def group_by(self, *keys: str | Column) -> GuardedGroups:
         for k in keys:
+            _refuse_stars(F.col(k) if isinstance(k, str) else k)
             self._public("SENSITIVE_LOC", lambda df, k=k: df.groupBy(k).count())
         return GuardedGroups(self, keys)
 
@@ -223,6 +261,7 @@ class GuardedFrame:
     def order_by(self, *keys: str | Column) -> GuardedFrame:
         """Ascending keys have nulls last, as PostgreSQL does."""
         keys = [F.col(k).asc_nulls_last() if isinstance(k, str) else k for k in keys]
+        _refuse_stars(*keys)
         self._public("SENSITIVE_LOC", lambda df: df.select(F.row_number().over(W.orderBy(*keys))))
         return self._with(self.df.orderBy(*keys))
 
@@ -230,6 +269,7 @@ class GuardedFrame:
         return self._with(self.df.distinct(), faults=self.faults + (("DISTINCT_SENSITIVE", ""),))
 
     def distinct_on(self, keys: list[str], order: list[Column]) -> GuardedFrame:
+        _refuse_stars(*map(F.col, keys), *order)
         self._public("SENSITIVE_LOC", lambda df: df.select(F.row_number().over(W.partitionBy(*keys).orderBy(*order))))
         place = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
         out = self.df.withColumn("_place", place).where("_place = 1").drop("_place")
@@ -278,5 +318,6 @@ class GuardedGroups:
         self.frame, self.keys = frame, keys
 
     def agg(self, *aggregates: Column) -> GuardedFrame:
+        _refuse_stars(*aggregates)
         self.frame._public("SENSITIVE_SELECT_EXPR", lambda df: df.groupBy(*self.keys).agg(*aggregates))
         return self.frame._with(self.frame.df.groupBy(*self.keys).agg(*aggregates), sensitive={}, grouped=True)

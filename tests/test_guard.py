@@ -1,5 +1,5 @@
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window as W, functions as F
 
 from guardframe.operators.guard import Guard, GuardError
 from guardframe.sources.policy import audit_policy_config, load_policy, normalize_column_rules
@@ -213,3 +213,37 @@ def test_config_audit(spark):
     df = spark.createDataFrame([("good", CONFIG), ("bad", bad)], "path string, json string")
     found = {(r.path, r.rule) for r in audit_policy_config(df).collect()}
     assert found == {("bad", x) for x in ("version", "unknown_key", "type", "port", "path", "duplicate_name", "readOnly")}
+
+
+STARS = {
+    "select": lambda f: f.select(F.col("*")),
+    "select of an alias": lambda f: f.select(F.col("users.*")),
+    "struct": lambda f: f.select(F.to_json(F.struct("*")).alias("j")),
+    "text": lambda f: f.select(F.expr("concat_ws('|', *)").alias("j")),
+    "lambda": lambda f: f.select(F.expr("transform(array(1), x -> to_json(struct(*)))").alias("j")),
+    "window": lambda f: f.select(F.max(F.to_json(F.struct("*"))).over(W.partitionBy("id")).alias("j")),
+    "count of one alias": lambda f: f.select(F.expr("count(users.*) over ()").alias("j")),
+    "count distinct": lambda f: f.agg(F.expr("count(distinct *)").alias("j")),
+    "aggregate": lambda f: f.agg(F.max(F.to_json(F.struct("*"))).alias("j")),
+    "where": lambda f: f.where("to_json(struct(*)) like '%u2@%'"),
+    "having": lambda f: f.group_by("id").agg(F.count("*").alias("n")).where("to_json(struct(*)) > ''"),
+    "group": lambda f: f.group_by(F.struct("*")),
+    "order": lambda f: f.order_by(F.to_json(F.struct("*")).desc()),
+    "order by name": lambda f: f.order_by("*"),
+    "distinct on": lambda f: f.distinct_on(["id"], [F.to_json(F.struct("*")).desc()]),
+    "join": lambda f: f.join(f.alias("v"), F.expr("to_json(struct(users.*)) = v.name")),
+    "semi": lambda f: f.semi_join(f.alias("v").select("id").limit(5), F.expr("to_json(struct(*)) is null")),
+    "not in": lambda f: f.not_in("*", f, "id"),
+}
+
+
+@pytest.mark.parametrize("form", STARS)
+def test_stars_are_refused(frames, form):
+    with pytest.raises(GuardError) as e:
+        STARS[form](frames)
+    assert e.value.code == "STAR"
+
+
+def test_count_of_rows_is_no_star(frames):
+    assert frames.agg(F.count("*").alias("n"), F.expr("count(*)").alias("m")).to_df().first() == frames.group_by().agg(F.count("*").alias("n"), F.count(F.lit(1)).alias("m")).to_df().first()
+    assert frames.select("id", F.count("*").over(W.partitionBy("id")).alias("n")).to_df().count() > 0
