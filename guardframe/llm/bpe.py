@@ -22,6 +22,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import re
 import unicodedata
 from collections import defaultdict
 
@@ -39,8 +40,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Characters pushed at a time, and bytes of one pre-token from which on it is encoded piece by piece.
 CHUNK, BLOCK = 1 << 16, 1 << 12
-#: Remembered pre-tokens of a task; forgotten all at once when so many are passed.
-REMEMBERED = 300_000
+#: Remembered pre-tokens of a task, and their characters; forgotten all at once when either is passed.
+REMEMBERED, CHARACTERS = 300_000, 8 << 20
+#: Characters of short texts whose pre-tokens are merged together.
+TOGETHER = 1 << 20
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -76,6 +79,7 @@ class Vocabulary:
         if None in self.byte:
             raise ValueError("a byte has no token")
         self.pairs, self.made, parts = {}, [], {}
+        self.table = None
         known = set(self.byte)
         for rank, pair in enumerate(model["merges"]):
             a, b = (model["vocab"][t] for t in (pair if isinstance(pair, list) else pair.split(" ")))
@@ -126,6 +130,72 @@ class Vocabulary:
             ids[at : at + 2] = [self.made[least]]
         return ids
 
+    def merge_all(self, pieces: list[bytes]) -> list[bytes]:
+        """Packed tokens of each piece: each round makes every piece's next merge, for all pieces at once."""
+        out = [b""] * len(pieces)
+        short = [k for k, p in enumerate(pieces) if 0 < len(p) <= 64]
+        for k, p in enumerate(pieces):
+            if len(p) > 64:
+                out[k] = np.array(self.merge(p), "<i4").tobytes()
+        if not short:
+            return out
+        if self.table is None:
+            keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
+            ranks = np.fromiter(self.pairs.values(), np.int64, len(self.pairs))
+            order = np.argsort(keys)
+            self.table = np.append(keys[order], 1 << 62), np.append(ranks[order], 0), np.array(self.made, np.int64), np.array(self.byte, np.int64)
+        keys, ranks, made, byte = self.table
+        never = 1 << 40
+
+        def rank_of(left, right):
+            key = left << 32 | right
+            at = np.searchsorted(keys, key)
+            return np.where(keys[at] == key, ranks[at], never)
+
+        ids = byte[np.frombuffer(b"".join([pieces[k] for k in short]), np.uint8)]
+        piece = np.repeat(np.arange(len(short)), [len(pieces[k]) for k in short])
+        # rank of each token with the next one of its piece
+        rank = np.full(len(ids), never)
+        inner = np.flatnonzero(piece[1:] == piece[:-1])
+        rank[inner] = rank_of(ids[inner], ids[inner + 1])
+        done_ids, done_piece = [], []
+        while len(ids):
+            first = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
+            size = np.diff(np.append(first, len(ids)))
+            least = np.minimum.reduceat(rank, first)
+            going = least < never
+            if not going.all():
+                keep = np.repeat(going, size)
+                done_ids.append(ids[~keep])
+                done_piece.append(piece[~keep])
+                ids, piece, rank = ids[keep], piece[keep], rank[keep]
+                size, least = size[going], least[going]
+                if not len(ids):
+                    break
+            hit = np.flatnonzero(rank == np.repeat(least, size))
+            at = hit[np.concatenate(([True], piece[hit[1:]] != piece[hit[:-1]]))]  # the leftmost of each piece
+            ids[at] = made[least]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            ids, piece, rank = ids[keep], piece[keep], rank[keep]
+            at = at - np.arange(len(at))  # one token fewer for each piece before
+            for i in (at, at[at > 0] - 1):
+                i = i[i + 1 < len(ids)]
+                same = piece[i] == piece[i + 1]
+                rank[i[same]] = rank_of(ids[i[same]], ids[i[same] + 1])
+            # the last of a piece has no next one
+            last = at[(at + 1 == len(ids)) | (piece[np.minimum(at + 1, len(ids) - 1)] != piece[at])]
+            rank[last] = never
+        owner = np.concatenate(done_piece)
+        order = np.argsort(owner, kind="stable")
+        packed = np.concatenate(done_ids)[order].astype("<i4").tobytes()
+        ends = np.cumsum(np.bincount(owner, minlength=len(short))) * 4
+        start = 0
+        for k, end in zip(short, ends.tolist()):
+            out[k] = packed[start:end]
+            start = end
+        return out
+
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap of (rank, place), for long pieces."""
         n, pairs = len(ids), self.pairs
@@ -164,19 +234,20 @@ def unknown_letters(path: str) -> str:
 
 
 class _Remembered(dict):
-    """Packed ids of each pre-token met."""
+    """Packed ids of pre-tokens met before."""
 
     def __init__(self, vocabulary: Vocabulary):
         super().__init__()
-        self.vocabulary = vocabulary
+        self.vocabulary, self.characters = vocabulary, 0
 
-    def __missing__(self, word: str) -> bytes:
-        found = np.array(self.vocabulary.merge(word.encode()), "<i4").tobytes()
-        if len(word) <= 64:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = found
-        return found
+    def learn(self, words: set[str]) -> None:
+        """Makes sure that all the words are here."""
+        new = list(words.difference(self))
+        if len(self) + len(new) > REMEMBERED or self.characters > CHARACTERS:
+            self.clear()
+            new, self.characters = list(words), 0
+        self.update(zip(new, self.vocabulary.merge_all([w.encode() for w in new])))
+        self.characters += sum(map(len, new))
 
 
 class Scanner:
@@ -185,6 +256,8 @@ class Scanner:
     def __init__(self, vocabulary: Vocabulary):
         odd = vocabulary.unknown_letters
         self.plain = regex.compile(PATTERN)
+        # the same for texts of ASCII alone
+        self.ascii = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
         self.odd = regex.compile(f"[{odd}]") if odd else None
         letter, digit = (rf"[\p{{{k}}}--[{odd}]]" if odd else rf"\p{{{k}}}" for k in "LN")
         other = rf"[^\s\p{{L}}\p{{N}}]|[{odd}]" if odd else r"[^\s\p{L}\p{N}]"
@@ -193,8 +266,9 @@ class Scanner:
         self.space = regex.compile(r"\s*+")
 
     def words(self, text: str) -> list[str]:
-        pattern = self.exact if self.odd and not text.isascii() and self.odd.search(text) else self.plain
-        return pattern.findall(text)
+        if text.isascii():
+            return self.ascii.findall(text)
+        return (self.exact if self.odd and self.odd.search(text) else self.plain).findall(text)
 
     def run_of(self, char: str) -> regex.Pattern:
         """What goes on a run that holds the character."""
@@ -217,29 +291,53 @@ class Encoder:
         self.held, self.rest, self.run, self.open = "", "", None, b""
 
     def push(self, text: str) -> bytes:
-        return self._push(text, False)
+        return self._packed([self._push(text, False)])[0]
 
     def finish(self) -> bytes:
-        return self._push("", True)
+        return self._packed([self._push("", True)])[0]
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, pushed piece by piece."""
-        got = [self.push(text[i : i + CHUNK]) for i in range(0, len(text), CHUNK)]
-        return np.frombuffer(b"".join([*got, self.finish()]), "<i4")
-
-    def _push(self, text: str, last: bool) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of whole texts, one after the other; pre-tokens of short texts are merged together."""
+        out, held, owner, size = [[] for _ in texts], [], [], 0
+        for k, text in enumerate(texts):
+            for i in range(0, max(len(text), 1), CHUNK):
+                piece = text[i : i + CHUNK]
+                held.append(self._push(piece, i + CHUNK >= len(text)))
+                owner.append(k)
+                size += len(piece)
+                if size >= TOGETHER:
+                    for j, ids in zip(owner, self._packed(held)):
+                        out[j].append(ids)
+                    held, owner, size = [], [], 0
+        for j, ids in zip(owner, self._packed(held)):
+            out[j].append(ids)
+        return [np.frombuffer(b"".join(x), "<i4") for x in out]
+
+    def _packed(self, held: list[list[bytes | list[str]]]) -> list[bytes]:
+        """Ids in place of the pre-tokens of each list; what is packed already stays."""
+        words = set()
+        for parts in held:
+            words.update(*[p for p in parts if type(p) is list])
+        self.remembered.learn(words)
+        known = self.remembered.__getitem__
+        return [b"".join([b"".join(map(known, p)) if type(p) is list else p for p in parts]) for parts in held]
+
+    def _push(self, text: str, last: bool) -> list[bytes | list[str]]:
         """Cuts at added tokens, which end a stretch of text as the text's end does."""
         text, out, at = self.held + text, [], 0
         if self.added:
             for m in self.added.finditer(text):
-                out += [self._stretch(text[at : m.start()], True), np.array([self.vocabulary.added[m.group()]], "<i4").tobytes()]
+                out += [*self._stretch(text[at : m.start()], True), np.array([self.vocabulary.added[m.group()]], "<i4").tobytes()]
                 at = m.end()
         end = len(text) if last else max(at, len(text) - self.hold)
         self.held = text[end:]
-        out.append(self._stretch(text[at:end], last))
-        return b"".join(out)
+        return out + self._stretch(text[at:end], last)
 
-    def _stretch(self, text: str, last: bool) -> bytes:
+    def _stretch(self, text: str, last: bool) -> list[bytes | list[str]]:
         """Cuts a stretch into pre-tokens; one that may go on is kept, or handed on in parts once it is long."""
         text, out = self.rest + text, []
         self.rest = ""
@@ -252,7 +350,7 @@ class Encoder:
             text = text[end:]
             if not stops:
                 self.rest = text
-                return b"".join(out)
+                return out
             self.run = None
         words = self.scanner.words(text)
         if not last:
@@ -265,11 +363,9 @@ class Encoder:
             if len(tail) == 1 and size > self.block:
                 self.run = self.scanner.run_of(tail[0][-1])
                 at = size - (self.run is self.scanner.space)
-                words, first, self.rest = words, tail[0][:at], tail[0][at:]
-                out += [*map(self.remembered.__getitem__, words), self._part(first, False)]
-                return b"".join(out)
-        out += map(self.remembered.__getitem__, words)
-        return b"".join(out)
+                self.rest = tail[0][at:]
+                return [*out, words, self._part(tail[0][:at], False)]
+        return [*out, words]
 
     def _part(self, text: str, ends: bool) -> bytes:
         """Ids that are stable, of a pre-token that comes in parts."""
@@ -322,7 +418,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = VOCABULARY, text: str = "tex
     def run(batches):
         encoder = Encoder(shared.value)
         for batch in slices(batches, "text", 8 << 20):
-            found = [encoder.encode(t or "") for t in batch.column("text").to_pylist()]
+            found = encoder.encode_all([t or "" for t in batch.column("text").to_pylist()])
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])

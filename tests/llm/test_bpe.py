@@ -38,6 +38,14 @@ def test_ids_are_those_of_the_library():
         assert encoder.encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids, text[:80]
 
 
+def test_texts_are_forgotten_and_learned_again(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 50)
+    monkeypatch.setattr(bpe, "TOGETHER", 300)
+    monkeypatch.setattr(bpe, "CHUNK", 7)
+    texts = [*(t for t in TEXTS if len(t) < 300), *odd_texts(9, 300)]
+    assert [x.tolist() for x in bpe.Encoder(VOCABULARY).encode_all(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_pieces_of_any_size_and_any_block_give_the_same_ids():
     rng = random.Random(2)
     for text in [*TEXTS, *odd_texts(3, 400)]:
@@ -108,6 +116,8 @@ def test_long_and_short_merges_agree():
         v = random_vocabulary(rng, "ab", 10)
         data = bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 60)))
         assert v.merge(data) == v._merge_long([v.byte[b] for b in data])
+        pieces = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 70))) for _ in range(20)]
+        assert [np.frombuffer(p, "<i4").tolist() for p in v.merge_all([*pieces, b""])] == [*map(v.merge, pieces), []]
 
 
 def test_decoding_is_that_of_the_library():
