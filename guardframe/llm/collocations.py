@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from guardframe.llm.common import durable, mix, pack, runs, shared_folder, slices, table, unpack
 
 #: Bytes that end a piece and bytes between words (fixed values); bytes of text in a batch.
-BREAKS, BLANKS, BATCH = b".,;:!?\n\x0b\x0c\r", b" \t", 16 << 20
+BREAKS, BLANKS, BATCH = b".,;:!?\n\x0b\x0c\r", b" \t", 8 << 20
 #: Phrase occurrences for each shard; bits of a shard's number that are told apart in one exchange.
 SHARD, FAN = 1 << 22, 8
 #: Words a candidate has at most.
@@ -286,9 +286,10 @@ def _coded(docs: DataFrame) -> DataFrame:
                 words, counts, codes = code_words(batch.column("text").filter(pc.equal(langs.indices, k)))
                 if len(words):
                     unit += 1
-                    names = pa.array([words.cast(pa.large_string()).to_pylist()], pa.list_(pa.string()))
+                    ends = pa.array([0, len(words)], pa.int32())
+                    names = pa.ListArray.from_arrays(ends, words.cast(pa.binary()).cast(pa.string()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([unit]), pa.array([lang]), names, pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([int(counts.sum())]), pa.array([pack(codes)], pa.binary())],
+                        [pa.array([unit]), pa.array([lang]), names, pa.ListArray.from_arrays(ends, pa.array(counts, pa.int64())), pa.array([int(counts.sum())]), pa.array([pack(codes)], pa.binary())],
                         names=["unit", "lang", "words", "counts", "size", "codes"],
                     )
 
