@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from guardframe.operators.tokens import mask_output
-from guardframe.scratch import prefix_sum
+from guardframe.scratch import dense_index, durable, prefix_sum
 
 #: Rows and bytes of a result where the policy sets none.
 MAX_ROWS, MAX_BYTES = 200, 65536
@@ -34,25 +34,41 @@ def row_bytes(df: DataFrame, columns: list[str] | None = None) -> Column:
     return total
 
 
+#: Rows that are ordered as one list at most; a prefix of more rows (of hardly any bytes) is cut in two levels.
+TOP_ROWS = 1 << 18
+
+
 def cap_payload(df: DataFrame, order: list[Column | str], most: int = MAX_BYTES, columns: list[str] | None = None) -> DataFrame:
     """The longest prefix of rows whose cells hold at most so many bytes, with `truncated`.
 
-    The row that would exceed the cap goes whole, and all after it. Works on frames of any
-    size: the running sum is taken in two levels.
+    The row that would exceed the cap goes whole, and all after it. One pass adds up rows
+    and bytes, which gives how many rows the prefix may have; another takes that many first
+    rows, of which each task hands on no more. Where these are not enough, twice as many are
+    taken. So rows past the cut-off are neither sorted nor exchanged. A prefix of more than
+    TOP_ROWS rows, as null cells have no bytes, is found by running sums in two levels.
     """
     size = row_bytes(df, columns)
     if not most:
         return df.withColumn("truncated", F.lit(False))
-    running = prefix_sum(df, order, size, "_bytes")
-    total = running.agg(F.coalesce(F.max("_bytes"), F.lit(0)).alias("_total"))
-    return running.where(F.col("_bytes") <= most).crossJoin(F.broadcast(total)).withColumn("truncated", F.col("_total") > most).drop("_bytes", "_total")
+    rows, total = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    if total <= most:
+        return df.withColumn("truncated", F.lit(False))
+    wanted = 2 * (most * rows // total) + 64
+    while wanted <= TOP_ROWS:
+        first = durable(df.withColumn("_size", size).orderBy(*order).limit(wanted))
+        if first.agg(F.sum("_size")).first()[0] > most:
+            # TOP_ROWS rows at most pass this window
+            running = F.sum("_size").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+            return first.withColumn("_bytes", running).where(F.col("_bytes") <= most).drop("_size", "_bytes").withColumn("truncated", F.lit(True))
+        wanted *= 2
+    return prefix_sum(df, order, size, "_bytes").where(F.col("_bytes") <= most).drop("_bytes").withColumn("truncated", F.lit(True))
 
 
 def cap_result(planned: DataFrame, order: list[Column | str], vault: DataFrame, conn: str, rows: int = MAX_ROWS, most: int = MAX_BYTES, strategy: str = "deterministic") -> tuple[DataFrame, DataFrame]:
     """Row cap, then tokens, then byte cap; so tokens count by their own length, and cut rows take no token."""
     first = cap_rows(planned, order, rows).withColumnRenamed("truncated", "_cut")
     # the order may use a column that is masked: keep places
-    placed = first.withColumn("_place", F.row_number().over(W.orderBy(*order)))
+    placed = first.withColumn("_place", F.row_number().over(W.orderBy(*order))) if rows else dense_index(first, order, 1, "_place")
     for f in planned.schema:
         placed = placed.withMetadata(f.name, f.metadata)
     masked, new = mask_output(placed, vault, conn, 0, strategy)
