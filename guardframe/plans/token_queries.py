@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from guardframe.operators import caps, tokens as T
-from guardframe.scratch import durable
+from guardframe.operators.asof import generation_scope
+from guardframe.scratch import durable, shared_folder
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -96,6 +99,19 @@ def t6_vault(spark, sf_dir):
     return _names(spark, sf_dir)[2]
 
 
+@query(f"WITH {_DICT} SELECT idx, 'customer.c_name' AS col_id, c_name AS value FROM names WHERE idx % 64 = 7 UNION ALL SELECT max(idx) + 1 + count(*), 'next', NULL FROM names")
+def t6_vault_layout(spark, sf_dir):
+    """One slot of a vault that came in two appends and was compacted, and its next free index plus its length."""
+    vault = T.Vault(spark, f"{shared_folder(spark)}/vault-{uuid.uuid4().hex}")
+    entries = _names(spark, sf_dir)[2]
+    vault.append(entries.where("idx % 2 = 0"))
+    vault.append(entries.where("idx % 2 = 1"))
+    vault.compact()
+    slot = vault.entries().where("conn = 'tpch' and gen = 0 and slot = 7").select("idx", "col_id", "value")
+    length = vault.size("tpch", 0)
+    return slot.union(entries.agg((F.count("*") + length).alias("idx"), F.lit("next"), F.lit(None).cast("string")))
+
+
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) + 99 AS idx FROM orders")
 def t7_dense_index(spark, sf_dir):
     from guardframe.scratch import dense_index
@@ -184,6 +200,27 @@ def t16_vault_quota(spark, sf_dir):
     return T.vault_quota(_names(spark, sf_dir)[2], 5000)
 
 
+@query(f"""WITH {_DICT}, v AS (SELECT idx, c_name, sum(strlen(c_name)) OVER (ORDER BY idx) AS run FROM names)
+SELECT c_custkey, CASE WHEN 600 + run <= 5000 THEN 'tok_tpch_0_' || idx END AS c_name, 600 + run > 5000 AS refused FROM customer JOIN v USING (c_name)""")
+def t16_enforced_quota(spark, sf_dir):
+    """Names as tokens in a session that has 600 of 5,000 bytes in use: what would exceed them is refused."""
+    df = read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return T.tokenize(df, {"c_name": "customer.c_name"}, T.empty_vault(spark), "tpch", cap=5000, used=600)[0]
+
+
+@query("""WITH g AS (SELECT user_id AS session, ts AS at, max(event_id) AS gen FROM events WHERE event_type = 'purchase' AND user_id IS NOT NULL AND ts IS NOT NULL GROUP BY ALL),
+r AS (SELECT event_id, user_id AS session, ts AS at, event_id - event_id % 4 AS g FROM events WHERE event_type <> 'purchase'),
+j AS (SELECT r.*, g.gen FROM r ASOF LEFT JOIN g ON r.session = g.session AND r.at >= g.at)
+SELECT event_id, gen AS current, CASE WHEN gen IS NULL THEN 'no_session' WHEN gen <> g THEN 'stale_generation' END AS error FROM j""")
+def t18_generation_scope(spark, sf_dir):
+    """Events as requests: a purchase begins a generation of its user, other events carry tokens of a generation near by."""
+    events = read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("session"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_type")
+    generations = events.where("event_type = 'purchase'").select("session", "at", F.col("event_id").alias("gen"))
+    token = T.format_token("ev", F.col("event_id") - F.col("event_id") % 4, F.lit(1))
+    requests = events.where("event_type <> 'purchase'").select("event_id", "session", "at", token.alias("token"))
+    return generation_scope(requests, generations).select("event_id", "current", "error")
+
+
 @query("SELECT o_orderkey, o_orderdate, o_orderkey IS NULL OR (SELECT count(*) FROM orders) > 200 AS truncated FROM orders ORDER BY o_orderdate, o_orderkey LIMIT 200")
 def r1_cap_rows(spark, sf_dir):
     return caps.cap_rows(read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])

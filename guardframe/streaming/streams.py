@@ -10,38 +10,36 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.types import LongType, StructField, StructType
 
 from guardframe.operators.sessions import IDLE, LIFE
-from guardframe.operators.tokens import VAULT, tokenize
+from guardframe.operators.tokens import Vault, tokenize, values_of
+from guardframe.scratch import durable
 
 
-def tokenize_stream(stream: DataFrame, columns: dict[str, str], vault_path: str, out_path: str, checkpoint: str, conn: str, gen: int = 0) -> StreamingQuery:
+def tokenize_stream(stream: DataFrame, columns: dict[str, str], vault_path: str, out_path: str, checkpoint: str, conn: str, gen: int = 0, trigger: dict | None = None, compact_every: int = 100) -> StreamingQuery:
     """Deterministic tokens on a stream: Parquet rows and vault entries, consistent over micro-batches.
 
-    One writer for each connection and generation. A batch's entries and rows are written
-    under its id, overwriting what a failed attempt left; entries of the batch itself are
-    not read when it is run again, so a retry gives the same tokens.
+    One writer for each connection and generation. A batch reads the slots of the vault
+    that its own values fall into, and takes the next free index from the commits. Its
+    entries and rows are written under its id, overwriting what a failed attempt left; of
+    the vault it sees earlier batches alone, so a retry gives the same tokens. trigger is
+    what DataStreamWriter.trigger takes, all that is there and no more if it is not given.
     """
-    spark = stream.sparkSession
+    vault = Vault(stream.sparkSession, vault_path)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        known = _vault(spark, vault_path).where(F.col("batch") < batch_id).drop("batch")
-        out, new = tokenize(batch, columns, known, conn, gen)
-        new.write.mode("overwrite").parquet(f"{vault_path}/batch={batch_id}")
+        batch = durable(batch)
+        known = vault.known(values_of(batch, columns), conn, gen, before=batch_id)
+        out, new = tokenize(batch, columns, known, conn, gen, start=vault.size(conn, gen, before=batch_id))
         out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        vault.append(new, batch_id)
+        if batch_id % compact_every == compact_every - 1:
+            vault.compact()
 
-    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _vault(spark: SparkSession, path: str) -> DataFrame:
-    schema = f"{VAULT}, batch long"
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    there = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
-    return spark.read.schema(schema).option("basePath", path).parquet(path) if there else spark.createDataFrame([], schema)
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def stream_vault(spark: SparkSession, path: str) -> DataFrame:
     """The entries that tokenize_stream has written."""
-    return _vault(spark, path).drop("batch")
+    return Vault(spark, path).entries().drop("slot")
 
 
 def guarded_stream_select(stream: DataFrame, columns: list[str], sensitive: dict[str, str], **sink) -> StreamingQuery:

@@ -8,7 +8,7 @@ from guardframe.operators import caps, tokens as T
     ("token", "want"),
     [
         ("tok_my_conn_0_7", ("my_conn", 0, 7)), ("tok_a_4294967295_4294967295", ("a", 4294967295, 4294967295)), ("tok_a_4294967296_1", None),
-        ("tok_a_1", None), ("tok__1_1", None), ("nope_a_1_1", None), ("tok_a_x_1", None), ("tok_a_1_", None), ("", None), (None, None),
+        ("tok_a_1", None), ("tok__1_1", None), ("nope_a_1_1", None), ("tok_a_x_1", None), ("tok_a_1_", None), ("tok_a_1_1\n", None), ("tok_a\n_1_1", None), ("", None), (None, None),
         ("tok_" + "c" * 31 + "_1_1", ("c" * 31, 1, 1)), ("tok_" + "c" * 32 + "_1_1", None),
     ],
 )
