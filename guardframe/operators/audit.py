@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Collection
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from guardframe.scratch import durable
 from guardframe.sources.policy import classify_columns, classify_functions
@@ -90,43 +90,42 @@ def sensitive_mode(touches: DataFrame) -> DataFrame:
 def related(resolved: DataFrame) -> DataFrame:
     """Each node x with its parent, first sibling, and its parent's first child, as structs that are null where there is none.
 
-    Ids of nodes rise in reading order. A struct tells id, kind, sensitive and col_id;
-    holds: a sensitive column is in the node or under it; top: only AND is above it; free:
-    only AND, OR and NOT are. root is the kind of the first node on the way down that is
-    none of these; others: whether all children of the parent but the first are
-    parameters. A query's text bounds the array that an expression makes.
+    Ids of nodes rise in reading order. A struct tells id, kind, sensitive and col_id (not
+    those of a parent, which is no column); holds: a sensitive column is in the node or
+    under it; top: only AND is above it; free: only AND, OR and NOT are. root is the kind of
+    the first node on the way down that is none of these; others: whether all children of
+    the parent but the first are parameters. What is above a node is read from its path and
+    from two lists of its expression; siblings meet in a window over the children of one
+    node, which needs no other exchange than that by expression.
     """
+    key = ["query_id", "block_id", "clause", "item"]
     fields = ("node_id", "path", "kind", "touch", "by_name", "scope", "sensitive", "col_id", "param_index", "safe", "nested_block_id")
-    exprs = resolved.groupBy("query_id", "block_id", "clause", "item").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("e"))
-    kinds = F.map_from_entries(F.transform("e", lambda x: F.struct(x.node_id, x.kind)))
-    exprs = exprs.withColumn("k", kinds)
-    connective = lambda p: F.element_at("k", p).isin("and", "or", "not")
-
-    def more(x):
-        chain = F.filter(F.concat(x.path, F.array(x.node_id)), lambda p: ~connective(p))
-        return F.struct(
-            *[x[f].alias(f) for f in fields],
-            F.try_element_at(x.path, F.lit(-1)).alias("up"),
-            F.exists("e", lambda y: y.sensitive & ((y.node_id == x.node_id) | F.array_contains(y.path, x.node_id))).alias("holds"),
-            F.forall(x.path, lambda p: F.element_at("k", p) == "and").alias("top"),
-            F.forall(x.path, connective).alias("free"),
-            F.element_at("k", F.try_element_at(chain, F.lit(1))).alias("root"),
-        )
-
-    exprs = exprs.withColumn("e", F.transform("e", more))
-    told = lambda y: F.struct(y.node_id, y.kind, y.sensitive, y.col_id, y.holds, y.top, y.free)
-    first = lambda test: F.try_element_at(F.transform(F.filter("e", test), told), F.lit(1))
-    rows = F.transform(
-        "e",
-        lambda x: F.struct(
-            x.alias("x"),
-            first(lambda y: y.node_id == x.up).alias("parent"),
-            first(lambda y: (y.up == x.up) & (y.node_id != x.node_id)).alias("beside"),
-            first(lambda y: y.up == x.up).alias("lead"),
-            F.forall(F.slice(F.filter("e", lambda y: y.up == x.up), 2, 1 << 20), lambda y: y.kind == "param").alias("others"),
-        ),
-    )
-    return exprs.select("query_id", "block_id", "clause", "item", F.inline(rows))
+    whole = W.partitionBy(*key)
+    above = F.collect_list(F.when(F.col("sensitive"), F.concat("path", F.array("node_id")))).over(whole)
+    # windows over all of an expression's rows give its lists once; a grouping would make them twice
+    rows = resolved.withColumns({"k": F.collect_list(F.struct("node_id", "kind")).over(whole), "s": above})
+    rows = rows.select(*key, F.map_from_entries("k").alias("k"), F.flatten("s").alias("s"), F.struct(*fields).alias("x"))
+    rows = rows.withColumn("kinds", F.transform("x.path", lambda p: F.element_at("k", p)))
+    path, node, kinds = F.col("x.path"), F.col("x.node_id"), F.col("kinds")
+    up = F.try_element_at(path, F.lit(-1))
+    outer = F.slice(kinds, 1, F.greatest(F.size(kinds) - 1, F.lit(0)))
+    without = lambda a, *kinds: F.array_except(a, F.array(*map(F.lit, kinds)))
+    holds = lambda n: F.array_contains("s", n).alias("holds")
+    top = lambda a: (F.size(without(a, "and")) == 0).alias("top")
+    free = lambda a: (F.size(without(a, "and", "or", "not")) == 0).alias("free")
+    root = F.try_element_at(without(F.concat(kinds, F.array("x.kind")), "and", "or", "not"), F.lit(1))
+    parent = F.when(up.isNotNull(), F.struct(up.alias("node_id"), F.try_element_at(kinds, F.lit(-1)).alias("kind"), holds(up), top(outer), free(outer)))
+    rows = rows.select(*key, up.alias("up"), F.struct("x.*", holds(node), top(kinds), free(kinds), root.alias("root")).alias("x"), parent.alias("parent"))
+    child = F.struct(*[F.col(f"x.{f}").alias(f) for f in ("node_id", "kind", "sensitive", "col_id", "holds", "top", "free")])
+    w = W.partitionBy(*key, "up").orderBy("x.node_id").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    rows = rows.withColumns({"one": F.first(child).over(w), "two": F.nth_value(child, 2).over(w), "plain": F.count_if(F.col("x.kind") != "param").over(w)})
+    inner = F.col("up").isNotNull()
+    return rows.select(
+        *key, "x", "parent",
+        F.when(inner, F.when(F.col("one.node_id") == F.col("x.node_id"), F.col("two")).otherwise(F.col("one"))).alias("beside"),
+        F.when(inner, F.col("one")).alias("lead"),
+        (~inner | (F.col("plain") == (F.col("one.kind") != "param").cast("long"))).alias("others"),
+    )
 
 
 def block_places(blocks: DataFrame, links: DataFrame) -> DataFrame:
