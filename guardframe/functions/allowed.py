@@ -433,34 +433,58 @@ def _edit(j: Column, path: list[str], new: Column, how: str) -> Column:
     return edit(j, new)
 
 
+class _Number(str):
+    """A number as it is written, so that no digit of it changes."""
+
+
+def _no_number(word: str):
+    raise ValueError(f"{word} is no JSON")
+
+
+_JSON = json.JSONDecoder(parse_float=_Number, parse_int=_Number, parse_constant=_no_number)
+
+
+def _json_text(value) -> str:
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{_json_text(v)}" for k, v in value.items()) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(map(_json_text, value)) + "]"
+    return str(value) if isinstance(value, _Number) else json.dumps(value, ensure_ascii=False)
+
+
 def _edited(text, path, new, how):
-    if text is None or new is None and how != "delete":
+    """The edited text; null for text or a new value that is no JSON, and for a step into an array that is no whole number."""
+    try:
+        return _json_text(_edit_tree(_JSON.decode(text), list(path), None if how == "delete" else _JSON.decode(new), how))
+    except (ValueError, TypeError, RecursionError):
         return None
-    root = json.loads(text)
+
+
+def _edit_tree(root, path, new, how):
     at = root
     for step in path[:-1]:
         try:
-            at = at[int(step)] if isinstance(at, list) else at[step]
-        except (KeyError, IndexError, ValueError, TypeError):
-            return text
-    last = path[-1]
-    if isinstance(at, list):
+            at = at[int(step)] if isinstance(at, list) else at[step] if isinstance(at, dict) else None
+        except (KeyError, IndexError):
+            return root
+    last = path[-1] if path else None
+    if isinstance(at, list) and path:
         k = int(last)
         if how == "insert":
-            at.insert(k, json.loads(new))
+            at.insert(k, new)
         elif -len(at) <= k < len(at):
             if how == "delete":
                 del at[k]
             else:
-                at[k] = json.loads(new)
+                at[k] = new
         elif how == "set":
-            at.append(json.loads(new))
-    elif isinstance(at, dict):
+            at.insert(0 if k < 0 else len(at), new)
+    elif isinstance(at, dict) and path:
         if how == "delete":
             at.pop(last, None)
         elif how == "set" or last not in at:
-            at[last] = json.loads(new)
-    return json.dumps(root, separators=(",", ":"), ensure_ascii=False)
+            at[last] = new
+    return root
 
 
 @_as("jsonb_set")
