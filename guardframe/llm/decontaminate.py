@@ -34,16 +34,32 @@ def normal_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return split_words(pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string())), BETWEEN, " "))
 
 
-def packed(ids: np.ndarray, words: int) -> np.ndarray:
-    """Every run of so many consecutive word ids as one integer; -1 where a word has no id. Distinct for distinct runs."""
-    n = len(ids) - words + 1
-    if n <= 0:
-        return np.zeros(0, np.int64)
-    out, known = np.zeros(n, np.int64), np.ones(n, bool)
-    for k in range(words):
-        out = (out << 21) | ids[k : k + n]
-        known &= ids[k : k + n] > 0
-    return np.where(known, out, -1)
+class Runs:
+    """Exact integers for runs of word ids: a run is the place of all but its last word among those of the items, and that word.
+
+    Ids are below 2^31. Distinct runs have distinct integers, at any number of words.
+    """
+
+    def __init__(self, ids: np.ndarray, words: int):
+        self.levels: list[np.ndarray] = []  # sorted runs of two and more words, but the longest
+        for size in range(2, words):
+            runs = self.of(ids, size)
+            self.levels.append(np.unique(runs[runs >= 0]))
+
+    def of(self, ids: np.ndarray, words: int) -> np.ndarray:
+        """The integer of every run of so many consecutive ids; -1 where a word has no id or the items have no run that begins so."""
+        n = len(ids) - words + 1
+        if n <= 0:
+            return np.zeros(0, np.int64)
+        out = np.where(ids[:n] > 0, ids[:n], -1).astype(np.int64)
+        for k in range(1, words):
+            last = ids[k : k + n]
+            if k > 1:
+                known = self.levels[k - 2]
+                at = np.minimum(np.searchsorted(known, out), max(len(known) - 1, 0))
+                out = np.where(known[at] == out, at, -1) if len(known) else np.full(n, -1)
+            out = np.where((out >= 0) & (last > 0), (out << 31) | last, -1)
+        return out
 
 
 def most_in_stretch(places: np.ndarray, which: np.ndarray, stretch: int) -> int:
@@ -77,10 +93,8 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str | None, int]], words: int = WORDS, containment=CONTAINMENT):
         codes, lengths, vocabulary = normal_words(pa.array([r[1] for r in rows], pa.large_string()))
-        if len(vocabulary) >= 1 << 21 or words > 3:
-            raise ValueError("a block of items has room for 2 million distinct words and shingles of three")
         self.ids = {w: i + 1 for i, w in enumerate(vocabulary)}
-        self.words = words
+        self.words, self.shingles = words, Runs(codes.astype(np.int64) + 1, words)
         self.items: list[tuple[int, int, int]] = []  # item id, times it is given, its first piece
         self.pieces: list[np.ndarray] = []  # sorted distinct shingles
         self.need: list[int] = []
@@ -92,7 +106,7 @@ class Items:
             for first in range(0, max(length - STRIDE, 1) if length else 0, STRIDE):
                 part = found[first : first + PIECE]
                 run = min(words, len(part))
-                distinct = np.unique(packed(part, run))
+                distinct = np.unique(self.shingles.of(part, run))
                 n = len(distinct)
                 share = next(t for least, t in reversed(containment) if n >= least)
                 need = int(np.ceil(share * n - 1e-9))
@@ -148,7 +162,7 @@ class Items:
         """(document, item id, piece's shingles, those found, times), an item's best piece that a document holds, exactly."""
         codes, lengths, words = normal_words(texts)
         ids = np.fromiter((self.ids.get(w, 0) for w in words), np.int64, len(words))[codes]
-        shingles = {run: packed(ids, run) for run in {run for run, _ in self.classes}}
+        shingles = {run: self.shingles.of(ids, run) for run in {run for run, _ in self.classes}}
         starts = np.cumsum(lengths) - lengths
         best: dict[tuple[int, int], tuple[int, int]] = {}
         for d, i in self.candidates(shingles, lengths).tolist():

@@ -439,3 +439,25 @@ def test_decontamination_stage_with_clashing_columns_and_without_rows(spark, tmp
     assert left.columns == docs.columns and [r.doc_id for r in left.collect()] == [None]
     for stage in (corpus_pipeline.decontaminate, corpus_pipeline.near_dedup, corpus_pipeline.lines, corpus_pipeline.mix):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_runs_of_words_are_told_apart():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(1, 9, 4000)
+    for words in (1, 2, 3, 4, 5):
+        runs = decontaminate.Runs(ids, words)
+        for size in range(1, words + 1):
+            got = runs.of(ids, size)
+            want = [tuple(ids[k : k + size]) for k in range(len(ids) - size + 1)]
+            assert len(set(zip(got.tolist(), want))) == len(set(got.tolist())) == len(set(want)) and got.min() >= 0
+        other = np.array([1, 2, 0, 3, 99, 1, 2])
+        assert runs.of(other, 1).tolist() == [1, 2, -1, 3, 99, 1, 2] and (runs.of(other, words)[2 - words + 1 if words < 3 else 0 : 3] == -1).all()
+
+
+def test_an_item_of_millions_of_distinct_words(spark):
+    """More words than 21 bits hold, in one item."""
+    words = [f"{k:x}" for k in range(1 << 24, (1 << 24) + (1 << 21) + 5000)]
+    item = " ".join(words)
+    docs = spark.createDataFrame([(1, " ".join(words[-90:-20])), (2, " ".join(words[7:500:3])), (3, " ".join(words[:70]))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()) == [(1, 5), (3, 5)]
