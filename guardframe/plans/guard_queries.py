@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import Window as W, functions as F
 
+from guardframe.functions.json_path import json_get, json_get_text, json_path, json_path_text
 from guardframe.operators.guard import Guard
 from guardframe.plans.token_queries import read
 from guardframe.scratch import dense_index
@@ -139,6 +140,22 @@ def q14_json_access(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
+_NESTED = """'{"props":' || props || ',"list":[' || event_id || ',"' || event_type || '",null,{"0":true}]}'"""
+
+
+@form(f"""WITH e AS (SELECT event_id, ({_NESTED})::JSON AS j FROM events)
+SELECT event_id, replace((json_extract(j, '$.props'))::VARCHAR, ' ', '') AS one, json_extract_string(j, '$.list[1]') AS two, json_extract(j, '$.props.k')::VARCHAR AS three, json_extract_string(j, '$.list[3].0') AS four,
+json_extract_string(j, '$.list[0]') AS five, NULL::VARCHAR AS six, NULL::VARCHAR AS seven FROM e""")
+def q14_json_operators(t):
+    """->, ->>, #> and #>> with keys and places, and two steps to what is not there."""
+    j = F.expr(_NESTED)
+    items = json_get(j, "list")
+    return t("events").select(
+        "event_id", json_get(j, "props").alias("one"), json_get_text(items, 1).alias("two"), json_path(j, ["props", "k"]).alias("three"), json_path_text(j, ["list", "3", "0"]).alias("four"),
+        json_get_text(items, -4).alias("five"), json_get_text(items, 2).alias("six"), json_path_text(j, ["list", "9", "x"]).alias("seven"),
+    )
+
+
 @form("SELECT c_custkey, upper(c_mktsegment) AS seg, length(c_name) AS n, abs(c_acctbal) AS a FROM customer", ("customer.c_nationkey",))
 def q15_function_call(t):
     return t("customer").select("c_custkey", F.upper("c_mktsegment").alias("seg"), F.length("c_name").cast("long").alias("n"), F.abs("c_acctbal").alias("a"))
