@@ -112,6 +112,25 @@ def p10_snapshot_diff(spark, sf_dir):
     return P.snapshot_diff_with_rename(new, old, "k", ["f", "i", "j"], ["i", "j"])
 
 
+_VERSIONS = """SELECT s AS version, c_name || '-' || CASE WHEN s + c_custkey % 7 >= 4 THEN 'b' ELSE 'a' END AS k, c_acctbal + CASE WHEN c_custkey % 5 = s THEN 1 ELSE 0 END AS f, c_nationkey AS i, c_custkey % 90 AS j"""
+
+
+@query(f"""WITH RECURSIVE snap AS ({_VERSIONS} FROM customer, (SELECT unnest([0, 1, 2, 3, 4]) AS s) WHERE (c_custkey + 3 * s) % 11 <> 1),
+prev AS (SELECT version + 1 AS version, k, i, j FROM snap WHERE version < 4),
+fresh AS (SELECT n.*, count(*) OVER (PARTITION BY version, i, j) AS c FROM snap n ANTI JOIN prev USING (version, k) WHERE version > 0),
+gone AS (SELECT o.*, count(*) OVER (PARTITION BY version, i, j) AS c FROM prev o ANTI JOIN snap USING (version, k)),
+ptr AS (SELECT version, k, k AS up FROM snap JOIN prev USING (version, k) UNION ALL SELECT f.version, f.k, g.k FROM fresh f JOIN gone g ON f.version = g.version AND f.i = g.i AND f.j = g.j AND f.c = 1 AND g.c = 1),
+ent AS (SELECT version, k, version AS v0, k AS k0 FROM snap ANTI JOIN ptr USING (version, k) UNION ALL SELECT p.version, p.k, e.v0, e.k0 FROM ent e JOIN ptr p ON p.version = e.version + 1 AND p.up = e.k),
+h AS (SELECT ent.*, f, lag(ent.k) OVER w IS DISTINCT FROM ent.k OR lag(f) OVER w IS DISTINCT FROM f AS new FROM ent JOIN snap USING (version, k) WINDOW w AS (PARTITION BY v0, k0 ORDER BY version)),
+g AS (SELECT *, sum(new::INT) OVER (PARTITION BY v0, k0 ORDER BY version) AS span FROM h)
+SELECT v0::BIGINT AS first_version, k0 AS first_key, k, any_value(f) AS f, min(version)::BIGINT AS from_version, CASE WHEN max(version) < 4 THEN max(version) + 1 END::BIGINT AS to_version FROM g GROUP BY v0, k0, span, k""")
+def p10_snapshot_history(spark, sf_dir):
+    """Five snapshots of customers that come, go, change and are renamed."""
+    c = read(spark, sf_dir, "customer").withColumn("s", F.explode(F.array(*map(F.lit, range(5))))).where("(c_custkey + 3 * s) % 11 <> 1")
+    c = c.selectExpr(*(x.strip() for x in _VERSIONS.removeprefix("SELECT ").split(", ")))
+    return P.snapshot_history(c, "version", "k", ["f"], ["i", "j"])
+
+
 @query("SELECT c_name AS path, '$.databases[' || i || ']' AS json_path, rule, v AS value FROM customer, (SELECT 0 AS i, 'port' AS rule UNION ALL SELECT 1, 'strategy' UNION ALL SELECT 1, 'path') r, (SELECT 1) x, LATERAL (SELECT CASE rule WHEN 'port' THEN (c_custkey * 1000)::VARCHAR WHEN 'strategy' THEN c_name ELSE c_name || '.' END AS v) y WHERE rule <> 'port' OR c_custkey * 1000 > 65535")
 def p5_audit_policy_config(spark, sf_dir):
     config = """concat('{"version":"1.0","databases":[{"type":"postgres","connectionName":"a","port":', c_custkey * 1000, '},{"type":"postgres","connectionName":"b","safetyPolicy":{"columnPolicy":{"strategy":"', c_name, '"}},"sensitiveColumns":["t.c","', c_name, '."]}]}')"""

@@ -6,6 +6,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from guardframe.scratch import durable
+
 #: Fixed values of the configuration format and its defaults.
 VERSION, MAX_DATABASES, MAX_NAME = "1.0", 50, 31
 DEFAULTS = {"readOnly": "yes", "statementTimeoutMs": 5000, "maxRows": 200, "maxPayloadKiloBytes": 64, "mode": "pseudonymize", "strategy": "randomized"}
@@ -196,6 +198,40 @@ def snapshot_diff_with_rename(new: DataFrame, old: DataFrame, key: str, fields:
     return same.unionByName(renamed).unionByName(added).unionByName(removed)
 
 
+def snapshot_history(snapshots: DataFrame, version: str, key: str, fields: list[str], identity: list[str]) -> DataFrame:
+    """(first_version, first_key, key, *fields, from_version, to_version): histories over any number of numbered snapshots.
+
+    A row follows that of the version before with its key or, where exactly one unmatched
+    row of each side has an identity, is that one renamed. All versions are matched at
+    once. The row that a history began with names it, and is found by pointer jumping: each
+    round doubles how far back the pointers go. Versions in a row with equal key and fields
+    make one interval; to_version is the first that does not have it, null if the last does.
+    Keys are not null, and unique in a version.
+    """
+    rows = snapshots.select(F.col(version).cast("long").alias("_v"), F.col(key).alias("_k"), F.struct(*fields).alias("_f"), F.struct(*identity).alias("_i"))
+    rows = durable(rows)
+    least, most = rows.agg(F.min("_v"), F.max("_v")).first()
+    before = rows.where(F.col("_v") < F.lit(most)).select((F.col("_v") + 1).alias("_v"), F.col("_k"), F.col("_i"))
+    same = rows.join(before, ["_v", "_k"]).select("_v", "_k", F.col("_k").alias("_up"))
+    alone = lambda df, other: df.join(other.select("_v", "_k"), ["_v", "_k"], "left_anti").withColumn("_n", F.count("*").over(W.partitionBy("_v", "_i"))).where("_n = 1")
+    fresh = alone(rows.where(F.col("_v") > F.lit(least)).select("_v", "_k", "_i"), before)
+    gone = alone(before, rows).select(F.col("_v").alias("_gv"), F.col("_i").alias("_gi"), F.col("_k").alias("_up"))
+    renamed = fresh.join(gone, (F.col("_v") == F.col("_gv")) & F.col("_i").eqNullSafe(F.col("_gi"))).select("_v", "_k", "_up")
+    pointers = rows.select("_v", "_k").join(same.union(renamed), ["_v", "_k"], "left")
+    # a row without one before points to itself
+    pointers = durable(pointers.select("_v", "_k", F.when(F.col("_up").isNull(), F.col("_v")).otherwise(F.col("_v") - 1).alias("_rv"), F.coalesce("_up", "_k").alias("_rk")))
+    for _ in range(((most - least) if most is not None else 0).bit_length()):
+        ahead = pointers.select(F.col("_v").alias("_rv"), F.col("_k").alias("_rk"), F.col("_rv").alias("_v2"), F.col("_rk").alias("_k2"))
+        pointers = durable(pointers.join(ahead, ["_rv", "_rk"]).select("_v", "_k", F.col("_v2").alias("_rv"), F.col("_k2").alias("_rk")))
+    history = W.partitionBy("_rv", "_rk").orderBy("_v")
+    state = F.struct("_k", "_f")
+    new = ~state.eqNullSafe(F.lag(state).over(history)) | F.lag("_v").over(history).isNull()
+    spans = rows.join(pointers, ["_v", "_k"]).withColumn("_new", new.cast("long")).withColumn("_span", F.sum("_new").over(history))
+    spans = spans.groupBy("_rv", "_rk", "_span").agg(F.first("_k").alias("_k"), F.first("_f").alias("_f"), F.min("_v").alias("from_version"), F.max("_v").alias("_to"))
+    to = F.when(F.col("_to") < F.lit(most), F.col("_to") + 1).alias("to_version")
+    return spans.select(F.col("_rv").alias("first_version"), F.col("_rk").alias("first_key"), F.col("_k").alias(key), "_f.*", "from_version", to)
+
+
 def table_source(spark: SparkSession, path_or_name: str, alias: str) -> DataFrame:
     """A base relation by Parquet path or catalog name, under an alias."""
     df = spark.read.parquet(path_or_name) if "/" in path_or_name else spark.table(path_or_name)
