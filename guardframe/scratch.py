@@ -20,6 +20,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Deletes scratch tables that no later step reads; what is not there is no matter."""
+    context = spark.sparkContext
+    for folder in folders:
+        place = context._jvm.org.apache.hadoop.fs.Path(folder)
+        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The rows computed once, kept in the shared folder."""
     shared_folder(df.sparkSession)
