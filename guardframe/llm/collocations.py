@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from guardframe.llm.common import durable, mix, pack, runs, shared_folder, slices, table, unpack
+from guardframe.llm.common import durable, mix, pack, removed, runs, shared_folder, slices, table, unpack
 
 #: Bytes that end a piece and bytes between words (fixed values); bytes of text in a batch.
 BREAKS, BLANKS, BATCH = b".,;:!?\n\x0b\x0c\r", b" \t", 8 << 20
@@ -372,14 +372,15 @@ def collocations(docs: DataFrame, least: int = 10, percent: int = 50, top: int =
     spark = docs.sparkSession
     folder = f"{shared_folder(spark)}/collocations-{uuid.uuid4().hex}"
     units = _stored(_coded(docs.select(F.col(text).alias("text"), F.coalesce(lang, F.lit("und")).alias("lang"))), f"{folder}/units")
-    totals = units.groupBy("lang").agg(F.sum("size").alias("n"))
+    totals = _stored(units.groupBy("lang").agg(F.sum("size").alias("n")), f"{folder}/totals")
     words = units.select("unit", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("pos", "w")).select("unit", "lang", "pos", F.col("w.words").alias("word"), F.col("w.counts").alias("count"))
     frequent = words.groupBy("lang", "word").agg(F.sum("count").alias("f")).where(F.col("f") >= least)
     known = _stored(numbered(frequent), f"{folder}/words")
-    size = units.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    size = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     space = Space.of(known.count(), size)
     ids = words.join(known.select("lang", "word", "id"), ["lang", "word"]).select("unit", "pos", "id")
     phrases = _stored(count_phrases(units, ids, space, least, fan), f"{folder}/phrases")
+    removed(spark, f"{folder}/units")
 
     pairs, triples = phrases.where("w3 = 0").drop("w3"), phrases.where("w3 > 0")
     sides = triples.select("a", F.explode(F.array(F.struct(F.col("w1").alias("w1"), F.col("w2").alias("w2")), F.struct(F.col("w2").alias("w1"), F.col("w3").alias("w2")))).alias("p"))
@@ -394,6 +395,7 @@ def collocations(docs: DataFrame, least: int = 10, percent: int = 50, top: int =
     one, other = F.struct(_score(F.col("f1"), F.coalesce("f23", "f9")).alias("score"), F.col("f1").alias("l"), F.coalesce("f23", "f9").alias("r")), F.struct(_score(F.col("f12"), F.col("f9")).alias("score"), F.col("f12").alias("l"), F.col("f9").alias("r"))
     scored = cut.withColumn("cut", F.when(F.col("f12").isNull() | (one["score"] <= other["score"]), one).otherwise(other))
     scored = _stored(scored.select("lang", "w1", "w2", "last", "a", "cut.l", "cut.r", "cut.score"), f"{folder}/scored")
+    removed(spark, f"{folder}/phrases")
 
     # the value pairs that hold the first rows of each language; a language's rows are never in one task
     values = scored.groupBy("lang", "score", "a").agg(F.count("*").alias("k"))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from guardframe.scratch import durable as durable, shared_folder as shared_folder
+from guardframe.scratch import durable as durable, removed as removed, shared_folder as shared_folder
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
