@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -110,6 +111,26 @@ def _event_stream(spark, sf_dir):
     return spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
 
 
+@contextmanager
+def _rocks(spark):
+    """The state store that keyed state needs, for the streams started within."""
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store, None)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(store, before) if before else spark.conf.unset(store)
+
+
+def _ran(spark, stream, at):
+    """What a stream with keyed state gives for all that is there."""
+    with _rocks(spark):
+        writer = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")
+
+
 @query("WITH d AS (SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS idx FROM (SELECT DISTINCT event_type FROM events)) SELECT event_id, 'tok_ev_0_' || idx AS event_type FROM events JOIN d USING (event_type)")
 def t17_tokenize_stream(spark, sf_dir):
     """Event types as tokens, by a stream over the table's files."""
@@ -136,13 +157,12 @@ def s3_session_stream(spark, sf_dir):
     batch.write.parquet(f"{at}/in/first")
     last = batch.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("long").alias("user_id"), (F.col("ts") + F.expr("interval 30 days")).alias("ts"))
     last.write.parquet(f"{at}/in/last")
-    store = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(store, None)
-    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        stream = spark.readStream.schema(batch.schema).parquet(f"{at}/in/*")
-        writer = streams.sessions_stream(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state")
-        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(store, before) if before else spark.conf.unset(store)
-    return spark.read.parquet(f"{at}/out").where("user_id >= 0")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{at}/in/*")
+    return _ran(spark, streams.sessions_stream(stream), at).where("user_id >= 0")
+
+
+@query("SELECT user_id, session, started FROM (SELECT user_id, event_id AS session, epoch_us(ts) AS started, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS i FROM events) WHERE i > 3")
+def s4_eviction_stream(spark, sf_dir):
+    """Each event as a session of its user that the third after it pushes out, by a stream over the table's files."""
+    created = _event_stream(spark, sf_dir).select("user_id", F.col("event_id").alias("session"), F.col("ts").cast("timestamp").alias("started"))
+    return _ran(spark, streams.evictions_stream(created, 3, ["user_id"]), _scratch(spark))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -101,3 +102,63 @@ def sessions_stream(events: DataFrame, late: str = "10 minutes", idle: int = IDL
     return timed.groupBy("user_id").transformWithStateInPandas(
         statefulProcessor=_Sessions(idle, life), outputStructType="user_id long, started long, ended long, n long", outputMode="Append", timeMode="EventTime"
     )
+
+
+class _Newest(StatefulProcessor):
+    """The latest-created sessions of a key, at most `keep`; gives what they push out, and what came to stay if it is not the last level."""
+
+    def __init__(self, keep: int, last: bool):
+        self.keep, self.last = keep, last
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getListState("held", StructType([StructField(n, LongType()) for n in ("started", "session")]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        top = pd.DataFrame(list(self.held.get()), columns=["started", "session"], dtype="int64")
+        top["fresh"] = np.zeros(len(top), bool)
+        for part in rows:
+            for evicted, some in part.groupby("evicted"):
+                if evicted:
+                    yield some[["group", "started", "session", "evicted"]]
+                    continue
+                both = pd.concat([top, some[["started", "session"]].assign(fresh=True)]).sort_values(["started", "session"], ascending=False)
+                top, out = both.iloc[: self.keep], both.iloc[self.keep :]
+                # the level before gave those that it held already to the last one, which pushes them out
+                yield self._rows(key, out if self.last else out[out["fresh"]], True)
+        if len(top):
+            self.held.put([tuple(r) for r in top[["started", "session"]].to_numpy("int64").tolist()])
+        if not self.last:
+            yield self._rows(key, top[top["fresh"]], False)
+
+    def _rows(self, key, some: pd.DataFrame, evicted: bool) -> pd.DataFrame:
+        frame = some[["started", "session"]].astype("int64")
+        return frame.assign(group=key[0], evicted=evicted)[["group", "started", "session", "evicted"]]
+
+    def close(self) -> None:
+        pass
+
+
+def evictions_stream(sessions: DataFrame, keep: int, by: list[str], salts: int = 16) -> DataFrame:
+    """(*by, session, started), started in microseconds: each session once, as soon as `keep` others of its group were created after it.
+
+    After each trigger the rows so far are those that evict_oldest_idle marks in the
+    sessions so far, whatever order they came in; a session that never started goes
+    first. session is a long and not null; by has numbers, strings or dates, nulls are a
+    group. Each part of a group keeps its own latest first, so that of a hot group no more
+    than keep rows a part and trigger meet in one task. A state has at most keep rows.
+    Needs the RocksDB state store.
+    """
+    micros = F.coalesce(F.unix_micros(F.col("started").cast("timestamp")), F.lit(-(2**63)))
+    # a null in a key would come to Python as a number that equals nothing
+    group = F.to_json(F.struct(*by))
+    rows = sessions.select(group.alias("group"), micros.alias("started"), F.col("session").cast("long").alias("session"), F.lit(False).alias("evicted"))
+    part = F.pmod(F.xxhash64("session"), F.lit(salts)).cast("int")
+    level = lambda df, last: df.groupBy("_key", "_part").transformWithStateInPandas(
+        statefulProcessor=_Newest(keep, last), outputStructType="group string, started long, session long, evicted boolean", outputMode="Append", timeMode="None"
+    )
+    first = level(rows.withColumns({"_key": F.col("group"), "_part": part}), False)
+    # what is out already need not meet the rest of its group
+    out = {"_key": F.when(~F.col("evicted"), F.col("group")).otherwise(""), "_part": F.when(F.col("evicted"), part).otherwise(-1)}
+    last = level(first.withColumns(out), True)
+    started = F.when(F.col("started") > F.lit(-(2**63)), F.col("started"))
+    return last.select(F.from_json("group", sessions.select(*by).schema).alias("_g"), "session", started.alias("started")).select("_g.*", "session", "started")

@@ -3,10 +3,20 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from guardframe.operators.sessions import sessionize
+from guardframe.operators.sessions import evict_oldest_idle, sessionize
 from guardframe.streaming import streams
 
 
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@pytest.fixture
+def rocks(spark):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    yield
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
 def fold(times, idle=1200, life=28800):
     out = []
     for t in sorted(times):
@@ -82,3 +92,27 @@ def test_tokens_agree_over_batches(spark, tmp_path):
     got = {r.id: r.s for r in spark.read.parquet(at["out"]).collect()}
     assert got == {1: "tok_c_0_1", 2: "tok_c_0_0", 3: "tok_c_0_1", 4: "tok_c_0_2", 5: None}
     assert streams.stream_vault(spark, at["vault"]).count() == 3
+
+
+def test_evictions_equal_the_batch_at_each_trigger(spark, rocks, tmp_path):
+    start = datetime(2024, 1, 1)
+    # a hot group, a null group, times that tie, fall back and are missing, repeated rows, a group under the cap
+    rows = [(1, (k * 37) % 101, start + timedelta(minutes=(k * 53) % 60)) for k in range(90)]
+    rows += [(None, k, start + timedelta(minutes=k % 2)) for k in range(7)] + [(2, k, None) for k in range(5)] + [(2, 9, start)] * 2 + [(3, 1, start)]
+    schema = "user long, session long, started timestamp"
+    seen, given = [], []
+    source = str(tmp_path / "in")
+
+    def keep_rows(batch, batch_id):
+        seen.extend(tuple(r) for r in batch.collect())
+
+    for k in range(3):
+        given += rows[k::3]
+        spark.createDataFrame(rows[k::3], schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        found = streams.evictions_stream(stream.withColumn("extra", F.lit(0)), 3, ["user"], salts=4)
+        found.writeStream.foreachBatch(keep_rows).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+        batch = evict_oldest_idle(spark.createDataFrame(given, schema), 3, ["user"]).where("evicted")
+        want = batch.select("user", "session", F.unix_micros("started")).collect()
+        order = lambda r: tuple((x is None, x or 0) for x in r)
+        assert sorted(seen, key=order) == sorted(map(tuple, want), key=order)
