@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from guardframe.operators import audit as A
 from guardframe.plans.token_queries import read
+from guardframe.scratch import shared_folder
 from guardframe.sources.policy import normalize_column_rules, normalize_function_rules
+from guardframe.streaming.verdicts import as_facts, verdict_stream
 
 Q: dict = {}
 SQL: dict[str, str] = {}
@@ -111,6 +116,23 @@ def a26_first_verdict(spark, sf_dir):
     return A.first_verdict(facts[0], A.all_violations(*facts, *_rules(spark), conn="tpch", order=True))
 
 
+def a26_verdict_stream(spark, sf_dir):
+    """First verdicts by a stream over the facts: two thirds of each query's come first, the rest when the stream is started again."""
+    at = f"{shared_folder(spark)}/verdicts-{uuid.uuid4().hex}"
+    facts = _facts(spark, sf_dir)
+    times = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
+    timed = [f.join(times, "query_id") for f in facts]
+    counts = reduce(DataFrame.union, [t.select("query_id", "ts") for t in timed]).groupBy("query_id", "ts").agg(F.count("*").alias("expected"))
+    made = as_facts(counts, *timed)
+    made.withColumn("later", F.pmod(F.xxhash64("body"), F.lit(3)) == 0).write.partitionBy("later").parquet(f"{at}/all")
+    schema = made.schema
+    for part in ("false", "true"):
+        spark.read.parquet(f"{at}/all/later={part}").write.mode("append").parquet(f"{at}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{at}/in")
+        verdict_stream(stream, *_rules(spark), f"{at}/out", f"{at}/state", "tpch", "4000 days").awaitTermination()
+    return spark.read.parquet(f"{at}/out/verdicts").select("query_id", "code")
+
+
 def a28_audit_summary(spark, sf_dir):
     log = read(spark, sf_dir, "orders").selectExpr("o_orderkey query_id", "o_orderpriority conn", "year(o_orderdate) day")
     return A.audit_summary(log, a26_first_verdict(spark, sf_dir))
@@ -214,6 +236,7 @@ for _f, _sql in (
     (a4_extract_touches, f"{_CTES} SELECT query_id, block_id, node_id, scope, kind, by_name, col_id, sensitive FROM touches"),
     (a8_sensitive_mode, f"{_CTES} SELECT query_id FROM mode"),
     (a26_first_verdict, f"{_CTES},{_RULE_SQL} SELECT * FROM verdicts"),
+    (a26_verdict_stream, f"{_CTES},{_RULE_SQL} SELECT * FROM verdicts"),
     (a27_all_violations, f"{_CTES},{_RULE_SQL} SELECT query_id, rule, code FROM violations"),
     (a28_audit_summary, f"{_CTES},{_RULE_SQL} SELECT o_orderpriority AS conn, code, year(o_orderdate)::INTEGER AS day, count(*) AS n FROM o JOIN verdicts ON k = query_id GROUP BY CUBE (1, 2, 3)"),
 ):
