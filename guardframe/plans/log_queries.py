@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from guardframe.operators import requests as R, sessions as S
 from guardframe.plans.token_queries import read
 from guardframe.scratch import shared_folder
+from guardframe.sources.request_log import request_log
 from guardframe.streaming import streams
 
 Q: dict = {}
@@ -74,11 +75,27 @@ def _requests(spark, sf_dir):
     return R.parse_request_log(events)
 
 
-@query(f"SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'a' || event_id WHEN 1 THEN '-1' ELSE event_id::VARCHAR END AS id, CASE event_id % 5 WHEN 0 THEN 'string' WHEN 1 THEN NULL ELSE 'u32' END AS id_kind, CASE event_id % 3 WHEN 0 THEN 'run_sql_query' WHEN 1 THEN 'run_sql_query_tokens' ELSE event_type END AS tool, CASE WHEN event_id % 11 > 0 THEN 'c' || (user_id % 4) END AS connection, {_ERROR} AS error FROM events")
+_PARSED = """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'a' || event_id WHEN 1 THEN '-1' ELSE event_id::VARCHAR END AS id, CASE event_id % 5 WHEN 0 THEN 'string' WHEN 1 THEN NULL ELSE 'u32' END AS id_kind, CASE event_id % 3 WHEN 0 THEN 'run_sql_query' WHEN 1 THEN 'run_sql_query_tokens' ELSE event_type END AS tool, CASE WHEN event_id % 11 > 0 THEN 'c' || (user_id % 4) END AS connection, ERROR_ AS error""".replace("ERROR_", _ERROR)
+
+
+@query(f"{_PARSED} FROM events")
 def s6_parse_request_log(spark, sf_dir):
     return _requests(spark, sf_dir).select("event_id", "id", "id_kind", "tool", "connection", "error")
 
 
+@query(f"{_PARSED} FROM events WHERE ts::DATE > (SELECT min(ts)::DATE FROM events)")
+def s6_request_log_source(spark, sf_dir):
+    """The events' requests as a log of files by day, all days but the first read back by the data source."""
+    at = _scratch(spark)
+    events = read(spark, sf_dir, "events").withColumns({"day": F.to_date("ts"), "json": F.expr(_JSON)})
+    # one more field tells the event of each request
+    lines = events.select("day", F.concat(F.expr("left(json, length(json) - 1)"), F.lit(',"event":'), "event_id", F.lit("}")).alias("json"))
+    lines.repartitionByRange("day", "json").write.partitionBy("day").text(at)
+    log = request_log(spark, at).where(F.col("day") > events.agg(F.min("day")).first()[0])
+    found = R.parse_request_log(log, "line").withColumn("event_id", F.get_json_object("line", "$.event").cast("long"))
+    return found.select("event_id", "id", "id_kind", "tool", "connection", "error")
+
+
 @query(f"SELECT epoch_us(date_trunc('hour', ts)) AS start, CASE WHEN event_id % 11 > 0 THEN 'c' || (user_id % 4) END AS connection, event_type, count(*) AS n, count({_ERROR}) AS errors, max(value) AS latency_max, min(value) AS latency_min FROM events GROUP BY ALL")
 def s7_request_stats(spark, sf_dir):
     found = R.request_stats(_requests(spark, sf_dir), latency="value", by=("connection", "event_type"))
