@@ -48,7 +48,8 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     Returns (codes of all words in order, number of words of each text, distinct words).
     A null text has none.
     """
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string())))
+    # lowered before the cast: ascii_lower misreads a slice that was cast to large offsets
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts).cast(pa.large_string()))
     lists = pc.fill_null(lists, pa.scalar([], lists.type))
     flat, owner = lists.flatten(), pc.list_parent_indices(lists)
     real = pc.not_equal(pc.binary_length(flat), 0)

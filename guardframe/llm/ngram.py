@@ -192,6 +192,31 @@ class NgramTrie:
         return out
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """Integers as planes of their bytes, which compress better."""
+    return np.ascontiguousarray(np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.dtype.itemsize).T)
+
+
+def _whole(planes: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(planes.T).view(f"i{len(planes)}")[:, 0]
+
+
+def _documents(data: bytes) -> tuple:
+    """What _prepare packed: ids, nulls, held out, numbers of words, codes, words, their counts in training texts."""
+    ids, nulls, held, lengths, codes, joined, train = unpack(data)
+    return ids, nulls, held, lengths, _whole(codes), joined.split(b"\n") if joined else [], train
+
+
+def _bigrams(lengths: np.ndarray, codes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The document, context and target of each token; end stands for the mark between texts."""
+    doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths + 1)
+    targets = np.full(len(codes) + len(lengths), end, np.int32)
+    inner = np.ones(len(targets), bool)
+    inner[np.cumsum(lengths + 1) - 1] = False
+    targets[inner] = codes
+    return doc, np.concatenate((targets[-1:], targets[:-1])), targets
+
+
 def _prepare(batches):
     """One row for each batch: its words as codes, with their counts in training texts."""
     part, number = TaskContext.get().partitionId(), 0
@@ -200,7 +225,7 @@ def _prepare(batches):
         held = batch.column("held").to_numpy(zero_copy_only=False).astype(bool)
         train = np.bincount(codes[np.repeat(~held, lengths)], minlength=len(words))
         ids = batch.column("doc_id")
-        data = pack(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), held, lengths, codes, words, train)
+        data = pack(ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), held, lengths, _planes(codes), b"\n".join(words), train)
         yield pa.RecordBatch.from_pydict(
             {
                 "batch": [(part << 32) + number],
@@ -224,7 +249,7 @@ def _ask_words(shards: int):
     def run(batches):
         for batch in batches:
             for number, data in zip(batch.column("batch").to_pylist(), batch.column("data").to_pylist()):
-                *_, words, train = unpack(data)
+                *_, words, train = _documents(data)
                 order, bounds = _word_shards(words, shards)
                 rows = []
                 for s in range(shards):
@@ -237,21 +262,22 @@ def _ask_words(shards: int):
     return run
 
 
-def _count_words(shards: int):
-    """For a shard: every asked word's training count and id; how many words have one."""
+def _count_words(shards: int, total: int):
+    """For a shard: every asked word's training count and id; how many words have one; which are split as contexts."""
 
     def run(key, asked):
-        shard, total = key[0].as_py(), {}
+        shard, total_of = key[0].as_py(), {}
         lists = []
         for data in asked.column("data").to_pylist():
             joined, counts = unpack(data)
             lists.append(joined.split(b"\n"))
             for w, c in zip(lists[-1], counts.tolist()):
-                total[w] = total.get(w, 0) + c
-        ids = {w: FIRST + i * shards + shard for i, w in enumerate(sorted(w for w, c in total.items() if c))}
+                total_of[w] = total_of.get(w, 0) + c
+        ids = {w: FIRST + i * shards + shard for i, w in enumerate(sorted(w for w, c in total_of.items() if c))}
+        hot = [(w, ids[w]) for w, c in total_of.items() if c * shards >= max(total, 1)]
         out = [
             pack(
-                np.fromiter((total[w] for w in ws), np.int64, len(ws)),
+                np.fromiter((total_of[w] for w in ws), np.int64, len(ws)),
                 np.fromiter((ids.get(w, UNKNOWN) for w in ws), np.int64, len(ws)),
             )
             for ws in lists
@@ -261,7 +287,7 @@ def _count_words(shards: int):
                 "batch": asked.column("batch"),
                 "shard": pa.array([shard] * len(out), pa.int64()),
                 "known": pa.array([len(ids), *[0] * (len(out) - 1)], pa.int64()),
-                "top": pa.array([max(total.values(), default=0)] * len(out), pa.int64()),
+                "hot": pa.array([pack(hot) if hot else None, *[None] * (len(out) - 1)], pa.binary()),
                 "data": pa.array(out, pa.binary()),
             }
         )
@@ -269,12 +295,40 @@ def _count_words(shards: int):
     return run
 
 
-def _ask_contexts(shards: int, total: int, distinct: int, train_docs: int, split: bool = False):
-    """For a batch: base scores, and what to ask the shards of contexts; or only the training pairs of split contexts."""
+def _split_pairs(shards: int, hot: dict[bytes, int]):
+    """The distinct training pairs of split contexts in a batch, by hash of their second word; an empty word is the mark."""
+
+    def run(batches):
+        for batch in batches:
+            for data in batch.column("data").to_pylist():
+                _, _, held, lengths, codes, words, _ = _documents(data)
+                words.append(b"")
+                doc, contexts, targets = _bigrams(lengths, codes, len(words) - 1)
+                ids = np.fromiter((hot.get(w, UNKNOWN) for w in words), np.int64, len(words))
+                kept = np.flatnonzero((ids[contexts] != UNKNOWN) & ~held[doc])
+                asked, at = np.unique(targets[kept], return_inverse=True)
+                order, bounds = _word_shards([words[t] for t in asked], shards)
+                place = np.empty(len(order), np.int64)
+                place[order] = np.arange(len(order))
+                pairs = np.unique(place[at] * len(words) + contexts[kept])
+                place, contexts = pairs // len(words), pairs % len(words)
+                rows = []
+                for s, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+                    if lo < hi:
+                        a, b = np.searchsorted(place, (lo, hi))
+                        rows.append((s, pack(b"\n".join([words[asked[i]] for i in order[lo:hi]]), place[a:b] - lo, ids[contexts[a:b]])))
+                if rows:
+                    yield pa.RecordBatch.from_pydict(dict(zip(("shard", "data"), map(list, zip(*rows)))))
+
+    return run
+
+
+def _ask_contexts(shards: int, total: int, distinct: int, train_docs: int):
+    """For a batch: base scores, and what to ask the shards of contexts."""
 
     def run(key, state, answers):
         number = key[0].as_py()
-        ids, nulls, held, lengths, codes, words, _ = unpack(state.column("data")[0].as_py())
+        ids, nulls, held, lengths, codes, words, _ = _documents(state.column("data")[0].as_py())
         order, bounds = _word_shards(words, shards)
         count, word_id = np.zeros(len(words) + 1, np.int64), np.zeros(len(words) + 1, np.int64)
         for s, data in zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist()):
@@ -283,12 +337,7 @@ def _ask_contexts(shards: int, total: int, distinct: int, train_docs: int, split
         count[-1], word_id[-1] = train_docs, BOUNDARY if train_docs else UNKNOWN
 
         docs = len(lengths)
-        doc = np.repeat(np.arange(docs, dtype=np.int32), lengths + 1)
-        targets = np.full(len(codes) + docs, len(words), np.int32)
-        inner = np.ones(len(targets), bool)
-        inner[np.cumsum(lengths + 1) - 1] = False
-        targets[inner] = codes
-        contexts = np.concatenate((targets[-1:], targets[:-1]))
+        doc, contexts, targets = _bigrams(lengths, codes, len(words))
 
         unigram = np.log10((count + 1) / (total + distinct + 1))
         base = np.bincount(doc, weights=unigram[targets], minlength=docs)
@@ -307,15 +356,6 @@ def _ask_contexts(shards: int, total: int, distinct: int, train_docs: int, split
         else:
             order = np.lexsort((targets, contexts, shard))
         contexts, targets, doc, shard = contexts[order], targets[order], doc[order], shard[order]
-        if split:
-            kept = np.flatnonzero((slices_of[contexts] > 1) & ~held[doc])
-            contexts, targets, shard = contexts[kept], targets[kept], shard[kept]
-            kept = np.ones(len(kept), bool)
-            kept[1:] = (contexts[1:] != contexts[:-1]) | (targets[1:] != targets[:-1])
-            contexts, targets, shard = contexts[kept], targets[kept], shard[kept]
-            bounds = np.append(runs(shard), len(shard))
-            parts = [(int(shard[a]), pack(word_id[contexts[a:b]], word_id[targets[a:b]])) for a, b in zip(bounds, bounds[1:])]
-            return pa.table({"shard": pa.array([x for x, _ in parts], pa.int64()), "data": pa.array([x for _, x in parts], pa.binary())})
         bounds = np.searchsorted(shard, np.arange(shards + 1))
         trains = np.packbits(~held)
         small = np.int32 if max(word_id.max(), count.max()) < 2**31 else np.int64
@@ -324,10 +364,21 @@ def _ask_contexts(shards: int, total: int, distinct: int, train_docs: int, split
             lo, hi = bounds[s], bounds[s + 1]
             if lo < hi:
                 c, t = contexts[lo:hi], targets[lo:hi]
+                pair = np.ones(hi - lo, bool)
+                pair[1:] = (c[1:] != c[:-1]) | (t[1:] != t[:-1])
+                pair = np.flatnonzero(pair)
+                times, c, t = np.diff(np.append(pair, hi - lo)), c[pair], t[pair]
                 heads = runs(c)
+                # each target's id and count once, by id; pairs have its place among them
+                asked, at = np.unique(t, return_inverse=True)
+                by_id = np.argsort(word_id[asked])
+                place = np.empty(len(asked), np.int32)
+                place[by_id] = np.arange(len(asked))
+                asked = asked[by_id]
                 data = pack(
-                    word_id[c[heads]], count[c[heads]], np.diff(np.append(heads, hi - lo)).astype(np.int32),
-                    word_id[t], count[t], doc[lo:hi], docs, trains,
+                    word_id[c[heads]], count[c[heads]], np.diff(np.append(heads, len(c))).astype(np.int32),
+                    _planes(np.diff(word_id[asked], prepend=small(0))), _planes(count[asked]), _planes(place[at]), _planes(times.astype(np.int32)),
+                    _planes(doc[lo:hi]), docs, trains,
                 )
                 rows.append((s, number, False, data))
         return pa.table(
@@ -344,7 +395,12 @@ def _ask_contexts(shards: int, total: int, distinct: int, train_docs: int, split
 
 def _count_kinds(parts):
     """For a shard: how many distinct successors it holds of each split context."""
-    context, word = map(np.concatenate, zip(*(unpack(x) for x in parts.column("data").to_pylist())))
+    number, pairs = {}, []
+    for data in parts.column("data").to_pylist():
+        joined, place, context = unpack(data)
+        words = joined.split(b"\n")
+        pairs.append((context, np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))[place]))
+    context, word = map(np.concatenate, zip(*pairs))
     order = np.lexsort((word, context))
     context, word = context[order], word[order]
     kept = np.ones(len(order), bool)
@@ -364,9 +420,12 @@ def _score_shard(total: int, distinct: int, kinds: dict[int, int]):
                 numbers.append(number)
                 sums.append((True, data))
                 continue
-            heads, head_counts, lengths, targets, counts, doc, docs, trains = unpack(data)
+            heads, head_counts, lengths, ids, counts, at, times, doc, docs, trains = unpack(data)
             train = np.unpackbits(trains, count=docs).astype(bool)
-            parts.append((np.repeat(heads, lengths), np.repeat(head_counts, lengths), targets, counts, doc + np.int64(size), train[doc]))
+            ids, counts, at, times, doc = np.cumsum(_whole(ids)), *map(_whole, (counts, at, times, doc))
+            head = np.repeat(np.repeat(np.arange(len(heads)), lengths), times)
+            at = np.repeat(at, times)
+            parts.append((heads[head], head_counts[head], ids[at], counts[at], doc + np.int64(size), train[doc]))
             batches.append((number, size, docs))
             size += docs
         if parts:
@@ -471,17 +530,21 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", doc_id: s
 
     asked = state.select("batch", "data").mapInArrow(_ask_words(shards), "shard long, batch long, data binary")
     answers = durable(
-        asked.groupBy("shard").applyInArrow(_count_words(shards), "batch long, shard long, known long, top long, data binary")
+        asked.groupBy("shard").applyInArrow(_count_words(shards, total), "batch long, shard long, known long, hot binary, data binary")
     )
-    known, top = answers.agg(F.coalesce(F.sum("known"), F.lit(0)), F.coalesce(F.max("top"), F.lit(0))).first()
+    known = answers.agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     distinct = known + (train_docs > 0)
 
-    both = state.select("batch", "data").groupBy("batch").cogroup(answers.select("batch", "shard", "data").groupBy("batch"))
+    # words so frequent that they are split as contexts; by their counts there are no more of them than shards
+    hot = dict(pair for r in answers.where("hot is not null").select("hot").toLocalIterator() for pair in unpack(r.hot)[0])
+    if train_docs * shards >= max(total, 1):
+        hot[b""] = BOUNDARY
     kinds = {}
-    if max(top, train_docs) * shards >= max(total, 1):  # a context is split; there are no more such contexts than shards
-        pairs = both.applyInArrow(_ask_contexts(shards, total, distinct, train_docs, True), "shard long, data binary")
+    if hot:
+        pairs = state.select("data").mapInArrow(_split_pairs(shards, hot), "shard long, data binary")
         parts = pairs.groupBy("shard").applyInArrow(_count_kinds, "context long, kinds long")
         kinds = {r.context: r.kinds for r in parts.groupBy("context").agg(F.sum("kinds").alias("kinds")).collect()}
+    both = state.select("batch", "data").groupBy("batch").cogroup(answers.select("batch", "shard", "data").groupBy("batch"))
     asks = both.applyInArrow(_ask_contexts(shards, total, distinct, train_docs), "shard long, batch long, own boolean, data binary")
     scored = asks.groupBy("shard").applyInArrow(_score_shard(total, distinct, kinds), "batch long, own boolean, data binary")
     return scored.groupBy("batch").applyInArrow(_finish(total), OUT)

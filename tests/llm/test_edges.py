@@ -1,16 +1,19 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing column names, for each operator."""
 
+import itertools
 import math
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from guardframe.llm import decontaminate, knn, lines, mixing, ngram, quality, simhash, toxicity
-from guardframe.llm.common import remainder
+from guardframe.llm.common import remainder, split_words
 
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 LONG = "lorem ipsum dolor sit amet consectetur " * 3000
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, held boolean, stats string, _gone string, block long"
 
@@ -58,6 +61,30 @@ def test_ngram(spark, odd, none):
     assert {r.base_score for r in ngram.score_texts(odd.limit(1), F.lit(True)).collect()} == {0.0}
 
 
+def test_words_of_a_slice():
+    odd = ["Aé b C", None, "D\nE  f", "", "Gé hÉ Ij", "k"]
+    for texts, kind in itertools.product((odd, [t for t in odd if t]), (pa.string(), pa.large_string())):
+        for start in range(len(texts)):
+            codes, lengths, words = split_words(pa.array(texts, kind).slice(start))
+            got = [words[c].decode() for c in codes]
+            assert got == [w for t in texts[start:] for w in (t or "").translate(LOWER).split()]
+            assert lengths.tolist() == [len((t or "").split()) for t in texts[start:]]
+
+
+def test_ngram_over_several_batches_of_one_partition(spark):
+    """A batch of rows that is cut by its size gives the same words as rows on their own."""
+    texts = [f"É{k}Ab " * 200_000 + f"End{k} x" for k in range(4)]
+    assert sum(len(t.encode()) for t in texts) * 3 > ngram.BATCH
+    docs = spark.createDataFrame([(k, t * 3) for k, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r for r in ngram.score_texts(docs, F.col("doc_id") == 2).collect()}
+    tokens = {k: [*(t * 3).translate(LOWER).split(), "END"] for k, t in enumerate(texts)}
+    count = Counter(w for k, ws in tokens.items() if k != 2 for w in ws)
+    total = sum(count.values())
+    for k, ws in tokens.items():
+        assert got[k].n_tokens == len(ws) and got[k].n_known == sum(count[w] > 0 for w in ws) and got[k].train_tokens == total
+        assert got[k].base_score == pytest.approx(sum(n * math.log10((count[w] + 1) / (total + len(count) + 1)) for w, n in Counter(ws).items()))
+
+
 def test_many_shards_change_nothing(spark, odd):
     a = ngram.score_texts(odd, F.lit(False), shard=2_000_000).collect()
     b = ngram.score_texts(odd, F.lit(False), shard=500).collect()
