@@ -2,6 +2,8 @@
 
 import pytest
 
+from pyspark.sql import DataFrame
+
 from guardframe.operators import audit as A
 from guardframe.sources.policy import normalize_column_rules, normalize_function_rules
 
@@ -157,3 +159,14 @@ def found(spark):
 def test_rules(found, k, name):
     _, rules, code = CASES[name]
     assert (found[0].get(k, set()), found[1][k]) == (rules, code)
+
+
+def test_facts_are_neither_broadcast_nor_kept(spark, monkeypatch):
+    """However small the facts are thought to be, they meet by query; nothing is written on the way."""
+    monkeypatch.setattr(DataFrame, "checkpoint", None)
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in zip(facts(spark, 0, **next(iter(CASES.values()))[0]), (BLOCKS, RANGES, NODES, PARAMS))]
+    paths = lambda *p: spark.createDataFrame(p, "conn string, path string")
+    rules = normalize_column_rules(paths(("here", "people.mail"))), spark.createDataFrame([("count",)], "name string"), normalize_function_rules(paths(("here", "f")))
+    plan = A.all_violations(*frames, *rules, conn="here", order=True)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [query_id" in plan
+    assert not any("query_id" in line for line in plan.splitlines() if "BroadcastHashJoin" in line)
