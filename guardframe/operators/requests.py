@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 #: The codes of an invalid request, an unknown method or tool, and bad parameters; the tools.
 INVALID, UNKNOWN, PARAMETERS = -32600, -32601, -32602
@@ -69,6 +71,29 @@ def latency_quantiles(sketches: DataFrame, by: tuple[str, ...] = ("connection",
     return merged.select(F.col("w.start").alias("start"), *by, "n", *found)
 
 
+def latency_counts(requests: DataFrame, by: tuple[str, ...] = ("connection", "tool"), ts: str = "ts", latency: str = "latency", width: str = "1 hour") -> DataFrame:
+    """(start, *by, latency, n): how often each latency occurs in each group and window, to be kept and merged. Null latencies do not count."""
+    window = F.window(F.col(ts), width)
+    grouped = requests.where(F.col(latency).isNotNull()).groupBy(window.alias("w"), *by, F.col(latency).cast("double").alias("latency")).agg(F.count("*").alias("n"))
+    return grouped.select(F.col("w.start").alias("start"), *by, "latency", "n")
+
+
+def exact_quantiles(counts: DataFrame, by: tuple[str, ...] = ("connection", "tool"), width: str = "1 day", slide: str | None = None, probs: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+    """latency_quantiles from latency_counts, exact at any size.
+
+    The different latencies of one group and window are sorted in one task, which spills
+    what it cannot hold; equal ones are one row.
+    """
+    window = F.window(F.col("start"), width, slide) if slide else F.window(F.col("start"), width)
+    merged = counts.groupBy(window.alias("w"), *by, "latency").agg(F.sum("n").alias("n"))
+    group = W.partitionBy("w", *by)
+    # decimals: a share of n is a whole number where it should be one
+    share = lambda p: F.when(F.col("_upto") >= F.lit(Decimal(repr(p))) * F.col("_all"), F.col("latency"))
+    ranked = merged.withColumns({"_upto": F.sum("n").over(group.orderBy("latency").rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum("n").over(group)})
+    found = [F.min(share(p)).alias(f"p{100 * p:g}".replace(".", "_")) for p in probs]
+    return ranked.groupBy("w", *by).agg(F.sum("n").alias("n"), *found).select(F.col("w.start").alias("start"), *by, "n", *[f"p{100 * p:g}".replace(".", "_") for p in probs])
+
+
 def idle_at(df: DataFrame, ts: str) -> Column:
     """The latest time of a frame, as one value for other frames' filters."""
     return df.agg(F.max(ts)).scalar()

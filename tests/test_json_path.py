@@ -62,3 +62,10 @@ def test_sketches_merge_within_their_bound(spark):
         rank = sum(x <= v for x in values) / len(values)
         assert abs(rank - p) < 0.03
     assert got["big"].n == 40_000
+
+
+def test_quantiles_are_exact_at_any_number(spark):
+    rows = spark.range(20_000).selectExpr("timestamp_seconds(id % 48 * 3600) ts", "'a' tool", "double((id * 7919) % 10007) latency")
+    values = sorted(r.latency for r in rows.collect())
+    got = R.exact_quantiles(R.latency_counts(rows, ("tool",)), ("tool",), "48 hours", probs=(0.5, 0.95, 0.99)).first()
+    assert got[2:] == (20_000, *(values[n * 200 - 1] for n in (50, 95, 99)))
