@@ -184,17 +184,17 @@ def snapshot_diff_with_rename(new: DataFrame, old: DataFrame, key: str, fields:
     """
     o = old.select(F.col(key).alias("_ok"), F.struct(*fields).alias("_of"), F.struct(*identity).alias("_oi"))
     n = new.select(F.col(key).alias("_nk"), F.struct(*fields).alias("_nf"), F.struct(*identity).alias("_ni"))
-    both = n.join(o, F.col("_nk") == F.col("_ok"), "full_outer")
+    both = n.join(o.hint("merge"), F.col("_nk") == F.col("_ok"), "full_outer")
     same = both.where("_nk is not null and _ok is not null").select(
         F.col("_nk").alias("key"), F.when(F.col("_nf").eqNullSafe(F.col("_of")), "KEEP").otherwise("CHANGED").alias("action"), F.col("_ok").alias("old_key")
     )
     fresh = both.where("_ok is null").select("_nk", "_ni", F.count("*").over(W.partitionBy("_ni")).alias("_nc"))
     gone = both.where("_nk is null").select("_ok", "_oi", F.count("*").over(W.partitionBy("_oi")).alias("_oc"))
     # the counts first: only single rows of an identity meet
-    pairs = fresh.where("_nc = 1").join(gone.where("_oc = 1"), F.col("_ni").eqNullSafe(F.col("_oi"))).select("_nk", "_ok")
+    pairs = fresh.where("_nc = 1").join(gone.where("_oc = 1").hint("merge"), F.col("_ni").eqNullSafe(F.col("_oi"))).select("_nk", "_ok")
     renamed = pairs.select(F.col("_nk").alias("key"), F.lit("RENAME").alias("action"), F.col("_ok").alias("old_key"))
-    added = fresh.join(pairs.select("_nk"), "_nk", "left_anti").select(F.col("_nk").alias("key"), F.lit("NEW").alias("action"), F.lit(None).cast(old.schema[key].dataType).alias("old_key"))
-    removed = gone.join(pairs.select("_ok"), "_ok", "left_anti").select(F.lit(None).cast(new.schema[key].dataType).alias("key"), F.lit("REMOVED").alias("action"), F.col("_ok").alias("old_key"))
+    added = fresh.join(pairs.select("_nk").hint("merge"), "_nk", "left_anti").select(F.col("_nk").alias("key"), F.lit("NEW").alias("action"), F.lit(None).cast(old.schema[key].dataType).alias("old_key"))
+    removed = gone.join(pairs.select("_ok").hint("merge"), "_ok", "left_anti").select(F.lit(None).cast(new.schema[key].dataType).alias("key"), F.lit("REMOVED").alias("action"), F.col("_ok").alias("old_key"))
     return same.unionByName(renamed).unionByName(added).unionByName(removed)
 
 
@@ -206,27 +206,28 @@ def snapshot_history(snapshots: DataFrame, version: str, key: str, fields: list[
     once. The row that a history began with names it, and is found by pointer jumping: each
     round doubles how far back the pointers go. Versions in a row with equal key and fields
     make one interval; to_version is the first that does not have it, null if the last does.
-    Keys are not null, and unique in a version.
+    Keys are not null, and unique in a version. All tables here grow with the snapshots, so
+    none is broadcast, however small it is thought to be.
     """
     rows = snapshots.select(F.col(version).cast("long").alias("_v"), F.col(key).alias("_k"), F.struct(*fields).alias("_f"), F.struct(*identity).alias("_i"))
     rows = durable(rows)
     least, most = rows.agg(F.min("_v"), F.max("_v")).first()
     before = rows.where(F.col("_v") < F.lit(most)).select((F.col("_v") + 1).alias("_v"), F.col("_k"), F.col("_i"))
-    same = rows.join(before, ["_v", "_k"]).select("_v", "_k", F.col("_k").alias("_up"))
-    alone = lambda df, other: df.join(other.select("_v", "_k"), ["_v", "_k"], "left_anti").withColumn("_n", F.count("*").over(W.partitionBy("_v", "_i"))).where("_n = 1")
+    same = rows.join(before.hint("merge"), ["_v", "_k"]).select("_v", "_k", F.col("_k").alias("_up"))
+    alone = lambda df, other: df.join(other.select("_v", "_k").hint("merge"), ["_v", "_k"], "left_anti").withColumn("_n", F.count("*").over(W.partitionBy("_v", "_i"))).where("_n = 1")
     fresh = alone(rows.where(F.col("_v") > F.lit(least)).select("_v", "_k", "_i"), before)
     gone = alone(before, rows).select(F.col("_v").alias("_gv"), F.col("_i").alias("_gi"), F.col("_k").alias("_up"))
-    renamed = fresh.join(gone, (F.col("_v") == F.col("_gv")) & F.col("_i").eqNullSafe(F.col("_gi"))).select("_v", "_k", "_up")
-    pointers = rows.select("_v", "_k").join(same.union(renamed), ["_v", "_k"], "left")
+    renamed = fresh.join(gone.hint("merge"), (F.col("_v") == F.col("_gv")) & F.col("_i").eqNullSafe(F.col("_gi"))).select("_v", "_k", "_up")
+    pointers = rows.select("_v", "_k").join(same.union(renamed).hint("merge"), ["_v", "_k"], "left")
     # a row without one before points to itself
     pointers = durable(pointers.select("_v", "_k", F.when(F.col("_up").isNull(), F.col("_v")).otherwise(F.col("_v") - 1).alias("_rv"), F.coalesce("_up", "_k").alias("_rk")))
     for _ in range(((most - least) if most is not None else 0).bit_length()):
         ahead = pointers.select(F.col("_v").alias("_rv"), F.col("_k").alias("_rk"), F.col("_rv").alias("_v2"), F.col("_rk").alias("_k2"))
-        pointers = durable(pointers.join(ahead, ["_rv", "_rk"]).select("_v", "_k", F.col("_v2").alias("_rv"), F.col("_k2").alias("_rk")))
+        pointers = durable(pointers.join(ahead.hint("merge"), ["_rv", "_rk"]).select("_v", "_k", F.col("_v2").alias("_rv"), F.col("_k2").alias("_rk")))
     history = W.partitionBy("_rv", "_rk").orderBy("_v")
     state = F.struct("_k", "_f")
     new = ~state.eqNullSafe(F.lag(state).over(history)) | F.lag("_v").over(history).isNull()
-    spans = rows.join(pointers, ["_v", "_k"]).withColumn("_new", new.cast("long")).withColumn("_span", F.sum("_new").over(history))
+    spans = rows.join(pointers.hint("merge"), ["_v", "_k"]).withColumn("_new", new.cast("long")).withColumn("_span", F.sum("_new").over(history))
     spans = spans.groupBy("_rv", "_rk", "_span").agg(F.first("_k").alias("_k"), F.first("_f").alias("_f"), F.min("_v").alias("from_version"), F.max("_v").alias("_to"))
     to = F.when(F.col("_to") < F.lit(most), F.col("_to") + 1).alias("to_version")
     return spans.select(F.col("_rv").alias("first_version"), F.col("_rk").alias("first_key"), F.col("_k").alias(key), "_f.*", "from_version", to)

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from guardframe import scratch
+from guardframe.sources import policy
 from guardframe.sources.policy import snapshot_history
 
 
@@ -52,3 +54,17 @@ def test_histories(spark, versions):
 
 def test_no_snapshots(spark):
     assert snapshot_history(spark.createDataFrame([], "version int, k string, f string, i int"), "version", "k", ["f"], ["i"]).count() == 0
+
+
+def test_snapshots_are_not_broadcast(spark, monkeypatch):
+    plans = []
+
+    def durable(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.checkpoint()
+
+    scratch.shared_folder(spark)
+    monkeypatch.setattr(policy, "durable", durable)
+    rows = spark.createDataFrame([(v, f"k{k}", 1.0, k) for v in range(3) for k in range(4)], "version long, k string, f double, i int")
+    durable(policy.snapshot_history(rows, "version", "k", ["f"], ["i"]))
+    assert len(plans) > 3 and not any("BroadcastHashJoin" in p for p in plans)
