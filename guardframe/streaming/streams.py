@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -114,25 +113,29 @@ class _Newest(StatefulProcessor):
         self.held = handle.getListState("held", StructType([StructField(n, LongType()) for n in ("started", "session")]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        top = pd.DataFrame(list(self.held.get()), columns=["started", "session"], dtype="int64")
-        top["fresh"] = np.zeros(len(top), bool)
+        # plain tuples: a key has few rows, and a frame for each step would take most of the time
+        top = [(*r, False) for r in self.held.get()]
         for part in rows:
-            for evicted, some in part.groupby("evicted"):
+            lists = zip(*(part[c].tolist() for c in ("group", "started", "session", "evicted")))
+            out, come = [], []
+            for group, started, session, evicted in lists:
                 if evicted:
-                    yield some[["group", "started", "session", "evicted"]]
-                    continue
-                both = pd.concat([top, some[["started", "session"]].assign(fresh=True)]).sort_values(["started", "session"], ascending=False)
-                top, out = both.iloc[: self.keep], both.iloc[self.keep :]
-                # the level before gave those that it held already to the last one, which pushes them out
-                yield self._rows(key, out if self.last else out[out["fresh"]], True)
-        if len(top):
-            self.held.put([tuple(r) for r in top[["started", "session"]].to_numpy("int64").tolist()])
-        if not self.last:
-            yield self._rows(key, top[top["fresh"]], False)
-
-    def _rows(self, key, some: pd.DataFrame, evicted: bool) -> pd.DataFrame:
-        frame = some[["started", "session"]].astype("int64")
-        return frame.assign(group=key[0], evicted=evicted)[["group", "started", "session", "evicted"]]
+                    out.append((group, started, session, True))
+                else:
+                    come.append((started, session, True))
+            both = sorted(top + come, reverse=True)
+            top = both[: self.keep]
+            # the level before gave those that it held already to the last one, which pushes them out
+            out += [(key[0], started, session, True) for started, session, fresh in both[self.keep :] if self.last or fresh]
+            if out:
+                yield self._rows(out)
+        if top:
+            self.held.put([r[:2] for r in top])
+        if not self.last and (fresh := [(key[0], started, session, False) for started, session, fresh in top if fresh]):
+            yield self._rows(fresh)
+
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(dict(zip(("group", "started", "session", "evicted"), map(list, zip(*rows)))))
 
     def close(self) -> None:
         pass
