@@ -170,3 +170,13 @@ def test_facts_are_neither_broadcast_nor_kept(spark, monkeypatch):
     plan = A.all_violations(*frames, *rules, conn="here", order=True)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin [query_id" in plan
     assert not any("query_id" in line for line in plan.splitlines() if "BroadcastHashJoin" in line)
+
+
+def test_nodes_are_not_sent_by_name(spark):
+    """Rules go to the nodes: few names are in all of a log, so a join by name would exchange every node and send the commonest to one task."""
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in zip(facts(spark, 0, **next(iter(CASES.values()))[0]), (BLOCKS, RANGES, NODES, PARAMS))]
+    paths = lambda *p: spark.createDataFrame(p, "conn string, path string")
+    rules = normalize_column_rules(paths(("here", "people.mail"))), spark.createDataFrame([("count",)], "name string"), normalize_function_rules(paths(("here", "f")))
+    plan = A.all_violations(*frames, *rules, conn="here", order=True)._jdf.queryExecution().executedPlan().toString()
+    by_name = [line for line in plan.splitlines() if "lower(" in line and ("SortMergeJoin" in line or "Exchange hash" in line)]
+    assert not by_name
