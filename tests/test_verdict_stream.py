@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from guardframe.operators import audit as A
 from guardframe.sources.policy import normalize_column_rules, normalize_function_rules
+from guardframe.streaming import verdicts
 from guardframe.streaming.verdicts import TABLES, as_facts, as_tables, verdict_stream
 from tests.test_audit import CASES, facts
 
@@ -97,3 +98,16 @@ def test_late_facts_are_kept_apart_and_missing_ones_end_a_query(spark, log, rule
     assert feed.read("apart").where("batch = 2").count() == 1 + len(some(3, 30))
     # ids of queries over two hours before the clock are no longer kept
     assert {r.query_id for r in feed.read("waiting").where("batch = 2 and kind = 'closed'").collect()} == {4}
+
+
+def test_facts_are_kept_packed_and_dealt_to_bounded_parts(spark, log, rules, tmp_path, monkeypatch):
+    """Only the clock is a checkpoint of rows; parts follow from the facts, and nothing of a batch is left but its tables."""
+    tables, rows = log
+    kept, durable = [], verdicts.durable
+    monkeypatch.setattr(verdicts, "durable", lambda df: kept.append(df.count()) or durable(df))
+    monkeypatch.setattr(verdicts, "FACTS", 100)
+    feed = Feed(spark, tmp_path, rules, "1 hour")
+    feed.send(rows + rows[:50])
+    want = A.first_verdict(tables[0], A.all_violations(*tables, *rules, conn="here", order=True))
+    assert feed.verdicts() == sorted((r.query_id, r.code) for r in want.collect())
+    assert kept == [1] and not (tmp_path / "out/scratch/batch=0").exists()
