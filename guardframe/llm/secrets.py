@@ -7,7 +7,9 @@ import bz2
 import codecs
 import hashlib
 import lzma
+import os
 import re
+import tempfile
 import zlib
 from bisect import bisect_right
 from itertools import chain
@@ -28,7 +30,7 @@ _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 CHUNK, STEP = 4 << 20, 1 << 20
 #: Characters that a chunk repeats from the one before, and those without white space after which it ends in any case.
 OVERLAP, LONGEST = 4096, 64 << 20
-#: Compressed layers straight around one another whose content is too long to be compared for cycles.
+#: Long compressed layers straight around one another after which the content goes to a file, in place of being unpacked through all of them.
 DEPTH = 64
 _ODD = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\ufffd]")
 #: The shortest run of printable characters that may be part of a secret or of a packed piece.
@@ -111,25 +113,25 @@ def _packed(head: bytes) -> bool:
     return head[:2] == b"\x1f\x8b" or head[:1] == b"\x78" and len(head) > 1 and (head[0] << 8 | head[1]) % 31 == 0 or head[:4] == b"\x28\xb5\x2f\xfd" or head[:3] == b"BZh" or head[:6] == b"\xfd7zXZ\x00"
 
 
-def _deflated(data: bytes):
-    """The content of a deflate stream without a header; None where the bytes are none, or give nothing."""
-    z = zlib.decompressobj(-15)
+def _deflated(pieces):
+    """The content of a deflate stream without a header; raises where bytes are none: they give nothing, or break or end before their end and before more than CHUNK."""
+    z, size = zlib.decompressobj(-15), 0
     try:
-        head = z.decompress(data, CHUNK)
+        for piece in pieces:
+            while piece and not z.eof:
+                out = z.decompress(piece, STEP)
+                piece, size = z.unconsumed_tail, size + len(out)
+                if out:
+                    yield out
+        while not z.eof and (out := z.decompress(z.unconsumed_tail, STEP)):
+            size += len(out)
+            yield out
     except zlib.error:
-        return None
-    if not head or not (z.eof or z.unconsumed_tail):
-        return None
-
-    def rest():
-        yield head
-        while not z.eof and z.unconsumed_tail:
-            try:
-                yield z.decompress(z.unconsumed_tail, STEP)
-            except zlib.error:
-                return
-
-    return rest()
+        if size <= CHUNK:
+            raise
+        return
+    if not size or not z.eof and size <= CHUNK:
+        raise ValueError("no whole deflate stream")
 
 
 def _stepper(head: bytes):
@@ -198,93 +200,174 @@ def _inflate(pieces):
         rest, first = data.lstrip(b"\0"), False
 
 
-def _sliced(data: bytes):
-    return (data[k : k + (1 << 16)] for k in range(0, len(data), 1 << 16))
+def _short(make):
+    """A source that gives what make() does: from memory where that is at most CHUNK, and else anew each time; raises if there is nothing to decompress."""
+    head, size = [], 0
+    for out in make():
+        head.append(out)
+        size += len(out)
+        if size > CHUNK:
+            return make
+    data = b"".join(head)
+    return lambda: iter([data])
+
 
+def _spooled(source):
+    """The same bytes from a file, so that sources in one another do not pile up."""
+    file = tempfile.TemporaryFile()
+    for piece in source():
+        file.write(piece)
+    file.flush()
 
-def _unpacked(data: bytes):
-    """Texts of bytes, through any compressed layers around them, a chunk at a time; each with whether it had to be cut."""
-    seen = set()
+    def read():
+        at = 0
+        while piece := os.pread(file.fileno(), STEP, at):
+            at += len(piece)
+            yield piece
+
+    return read
+
+
+def _sight(source) -> tuple[bytes, bytes, bool]:
+    """The digest and the first bytes of a source, and whether it is not all text."""
+    digest, head, odd, decoder = hashlib.sha256(), b"", False, codecs.getincrementaldecoder("utf-8")("replace")
+    for piece in chain(source(), [b""]):
+        digest.update(piece)
+        head = head if len(head) >= 8 else head + piece[:8]
+        odd = odd or _ODD.search(decoder.decode(piece, not piece)) is not None
+    return digest.digest(), head, odd
+
+
+def _unpacked(source):
+    """Texts of bytes, through any compressed layers around them, a chunk at a time; each with whether it had to be cut.
+
+    source() gives the bytes in pieces, each time from the start. What is too long to be held is read anew
+    for each look at it, so bytes of any length are looked at in the same ways.
+    """
+    seen, long = set(), 0
     while True:
-        digest = hashlib.sha256(data).digest()
+        digest, head, odd = _sight(source)
         if digest in seen:
             return
         seen.add(digest)
-        if _packed(data):
-            stream = _inflate(_sliced(data))
-        elif not _ODD.search(data[:CHUNK].decode("utf-8", "replace")):
+        if _packed(head):
+            inside = lambda s=source: _inflate(s())
+        elif not odd:
             break
         else:
             # bytes that are not all text may hold text, members of archives, or be a bare deflate stream
-            yield from _members(data)
-            if (stream := _deflated(data)) is None:
-                break
-            yield from _texts([data])
-        head, size = [], 0
+            yield from _members(source)
+            inside = lambda s=source: _deflated(s())
         try:
-            for out in stream:
-                head.append(out)
-                size += len(out)
-                if size > CHUNK:
-                    break
+            inner = _short(inside)
         except _BROKEN:
             break
-        if size > CHUNK:
-            yield from _deeper(head, stream)
-            return
-        data = b"".join(head)
-    yield from _texts([data])
+        if not _packed(head):
+            yield from _texts(source())
+        if inner is inside and (long := long + 1) % DEPTH == 0:
+            inner = _spooled(inner)
+        source = inner
+    yield from _texts(source())
+
+
+class _Tape:
+    """Bytes that come in pieces, read from `at` on; what is before `mark`, or without one before `at`, is let go."""
+
+    def __init__(self, pieces):
+        self.pieces, self.data, self.base, self.at, self.mark, self.ended = iter(pieces), b"", 0, 0, None, False
+
+    def fill(self, n: int) -> bool:
+        """Whether there are n more bytes."""
+        while len(self.data) - self.at < n and not self.ended:
+            if (piece := next(self.pieces, None)) is None:
+                self.ended = True
+                break
+            gone = self.at if self.mark is None else self.mark
+            self.data, self.base, self.at = self.data[gone:] + piece, self.base + gone, self.at - gone
+            self.mark = None if self.mark is None else 0
+        return len(self.data) - self.at >= n
+
+    def skip(self, n: int) -> None:
+        while n and self.fill(1):
+            step = min(n, len(self.data) - self.at)
+            self.at, n = self.at + step, n - step
 
+    def take(self, n: int) -> bytes:
+        self.fill(1)
+        out = self.data[self.at : self.at + n]
+        self.at += len(out)
+        return out
 
-def _members(data: bytes):
+
+def _raw():
+    """A stepper of deflate without a header."""
+    z = zlib.decompressobj(-15)
+
+    def step(data):
+        out = z.decompress(data, STEP)
+        return out, z.unused_data if z.eof else z.unconsumed_tail, z.eof, len(out) == STEP or bool(z.unconsumed_tail)
+
+    return step
+
+
+def _members(source):
     """Texts of the packed members inside bytes, as in archives; each place is read once."""
-    at = 0
-    while m := _MEMBER.search(data, at):
-        start, at = m.start(), m.start() + 1
+    tape = _Tape(source())
+    while True:
+        m = _MEMBER.search(tape.data, tape.at)
+        if m is None:
+            # the longest sign has ten bytes
+            tape.at = max(tape.at, len(tape.data) - 9)
+            if not tape.fill(len(tape.data) - tape.at + 1):
+                return
+            continue
+        tape.at = tape.mark = m.start()
+        names, make = 0, None
         if m[0] == b"PK\x03\x04":
-            if len(data) < start + 30:
+            if not tape.fill(30):
                 return
-            method, names = data[start + 8] | data[start + 9] << 8, sum(data[start + k] | data[start + k + 1] << 8 for k in (26, 28))
-            if method != 8:  # stored members are part of the bytes as they stand, others are not read
-                continue
-            start += 30 + names
-            z = zlib.decompressobj(-15)
-
-            def step(piece, z=z):
-                out = z.decompress(piece, STEP)
-                return out, z.unused_data if z.eof else z.unconsumed_tail, z.eof, len(out) == STEP or bool(z.unconsumed_tail)
-
-        elif start == 0:
-            continue  # a whole packed stream is read as such
-        else:
-            step = _stepper(data[start : start + 8])
-            if step is None:
-                continue
-        place = [start]
-        stream = _member(data, place, step)
-        head, size = [], 0
+            head = tape.data[tape.at : tape.at + 30]
+            names = 30 + sum(head[k] | head[k + 1] << 8 for k in (26, 28))
+            if head[8] | head[9] << 8 == 8:  # stored members are part of the bytes as they stand, others are not read
+                make = _raw
+        elif tape.base + tape.at:  # a whole packed stream is read as such
+            tape.fill(8)
+            make = lambda head=tape.data[tape.at : tape.at + 8]: _stepper(head)
+        start, step = tape.base + tape.at + names, make and make()
+        if step is None:
+            tape.at, tape.mark = tape.at + 1, None
+            continue
+        tape.skip(names)
+        head, size, stream = [], 0, _member(tape, step)
         for out in stream:
+            tape.mark = None
             head.append(out)
             size += len(out)
             if size > CHUNK:
                 break
         if size > CHUNK:
-            yield from _deeper(head, stream)
+            head.clear()
+            yield from _unpacked(lambda start=start, make=make: _member_at(source, start, make()))
+            for _ in stream:  # to its end
+                pass
         elif size:
-            yield from _unpacked(b"".join(head))
-        if size:
-            at = max(at, place[0])
+            yield from _unpacked(_short(lambda: head))
+        else:
+            tape.at, tape.mark = tape.mark + 1, None
+
 
+def _member_at(source, start: int, step):
+    tape = _Tape(source())
+    tape.skip(start)
+    return _member(tape, step)
 
-def _member(data: bytes, place: list[int], step):
-    """The content of one packed member from place[0] on; place[0] follows what is read, and ends after the member."""
+
+def _member(tape: _Tape, step):
+    """The content of one packed member on a tape, which is left after it, or, if it is broken, after what was read."""
     left = b""
     try:
         while True:
-            if not left:
-                left = data[place[0] : place[0] + (1 << 16)]
-                place[0] += len(left)
-            if not left:
+            if not left and not (left := tape.take(1 << 16)):
                 return
             out, left, end, go_on = step(left)
             if out:
@@ -294,33 +377,12 @@ def _member(data: bytes, place: list[int], step):
                 if out:
                     yield out
             if end:
-                place[0] -= len(left)
+                tape.at -= len(left)
                 return
     except _BROKEN:
         return
 
 
-def _deeper(head: list[bytes], stream):
-    """The texts of a stream too long to be held whole, of which head was read."""
-    for _ in range(DEPTH):
-        start = b"".join(head)
-        try:
-            if (step := _stepper(start)) is None:
-                break
-            step(start[:4096])
-        except _BROKEN:
-            break
-        stream = _inflate(piece for x in chain([start], stream) for piece in _sliced(x))
-        try:
-            head = [next(stream, b"")]
-        except _BROKEN:
-            return
-    else:
-        yield "", True
-        return
-    yield from _texts(chain(head, stream))
-
-
 def _wide(head: bytes) -> str | None:
     """The name of the two-byte encoding that bytes seem to be text of."""
     head = head[:1024]
@@ -402,7 +464,7 @@ def decoded(layer: Layer):
     for pattern, contents in ((_BASE64, _base64_contents), (_WRAPPED, _base64_contents), (_HEX_BYTES, lambda t: [bytes.fromhex(t)])):
         for m in pattern.finditer(text):
             for data in contents(m[0]):
-                for inner, long in _unpacked(data) if data else ():
+                for inner, long in _unpacked(lambda data=data: iter([data])) if data else ():
                     yield (Layer(inner, [(0, len(inner), *layer.source(*m.span()), True)]) if inner else None), long
 
 
@@ -453,8 +515,7 @@ def secret_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     base_sha256 and the three numbers are of the plain ones; spans has all, as
     kind:start:end by start, then kind, in code points of the source, end exclusive. layers
     is the number of texts read for it, chunks of long ones each; cut says that LONGEST
-    characters of a packed piece that might all be one run were read in overlapping parts, or
-    that more than DEPTH long compressed layers were around one another. A null text counts as empty. Each row is on its own:
+    characters of a packed piece that might all be one run were read in overlapping parts. A null text counts as empty. Each row is on its own:
     repeated rows and null ids change nothing, and no other column is read.
     """
 

@@ -184,3 +184,30 @@ def test_a_piece_at_any_place_of_a_long_layer():
             layer = ("plain words here\n" * (at // 17 + 1))[: at - 1] + " " + case + "\nand more words\n" * 1000
             _, spans, _, cut = secrets.scan(base64.b64encode(gzip.compress(layer.encode(), 1)).decode())
             assert "assign" in {x for x, *_ in spans} and not cut, (k, off)
+
+
+@pytest.mark.parametrize("name", ARCHIVES)
+def test_results_do_not_depend_on_what_is_held_at_a_time(name, monkeypatch):
+    """Contents over CHUNK are looked at as short ones are: members, deflate without a header, text among bytes."""
+    text = "see " + base64.b64encode(gzip.compress(ARCHIVES[name], mtime=0)).decode()
+    short = secrets.scan(text)
+    monkeypatch.setattr(secrets, "CHUNK", 16)
+    long = secrets.scan(text)
+    assert "assign" in {k for k, *_ in short[1]} and long[:2] == short[:2] and not long[3]
+
+
+def test_an_archive_longer_than_a_chunk_is_searched():
+    """Secrets in packed members before and after the first megabytes, and in a long member, of a packed archive."""
+    noise = random.Random(3).randbytes(secrets.CHUNK + 9)
+    for files in ([("a.gz", gzip.compress(SECRET.encode())), ("b.bin", noise)], [("b.txt", b"words " * 1_000_000), ("a.gz", gzip.compress(SECRET.encode()))], [("x.tgz", _tar([("b.bin", noise), ("a.gz", gzip.compress(SECRET.encode()))]))]):
+        _, spans, _, cut = secrets.scan(base64.b64encode(_tar(files)).decode())
+        assert "assign" in {k for k, *_ in spans} and not cut
+
+
+def test_many_long_layers_are_read_to_the_innermost(monkeypatch):
+    monkeypatch.setattr(secrets, "DEPTH", 3)
+    data = random.Random(4).randbytes(secrets.CHUNK + 9) + b"\0 " + SECRET.encode()
+    for _ in range(8):
+        data = gzip.compress(data, 1)
+    _, spans, _, cut = secrets.scan(base64.b64encode(data).decode())
+    assert "assign" in {k for k, *_ in spans} and not cut
