@@ -12,6 +12,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="the tables are n
 NAMES = [
     "a17_join_not_inner",
     "a14_offset_sensitive",
+    "a18_join_on_invalid",
 ]
 
 
