@@ -13,6 +13,7 @@ NAMES = [
     "a17_join_not_inner",
     "a14_offset_sensitive",
     "a18_join_on_invalid",
+    "a19_join_on_sensitive",
 ]
 
 
