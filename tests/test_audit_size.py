@@ -14,6 +14,7 @@ NAMES = [
     "a14_offset_sensitive",
     "a18_join_on_invalid",
     "a19_join_on_sensitive",
+    "a26_first_verdict",
 ]
 
 
