@@ -15,6 +15,7 @@ NAMES = [
     "a18_join_on_invalid",
     "a19_join_on_sensitive",
     "a26_first_verdict",
+    "a15_limit_required",
 ]
 
 
