@@ -16,6 +16,7 @@ NAMES = [
     "a19_join_on_sensitive",
     "a26_first_verdict",
     "a15_limit_required",
+    "a22_sensitive_select_expr",
 ]
 
 
