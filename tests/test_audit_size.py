@@ -17,6 +17,7 @@ NAMES = [
     "a26_first_verdict",
     "a15_limit_required",
     "a22_sensitive_select_expr",
+    "a12_param_non_sensitive",
 ]
 
 
