@@ -18,6 +18,7 @@ NAMES = [
     "a15_limit_required",
     "a22_sensitive_select_expr",
     "a12_param_non_sensitive",
+    "a24_scope_param_scope_mismatch",
 ]
 
 
