@@ -19,6 +19,7 @@ NAMES = [
     "a22_sensitive_select_expr",
     "a12_param_non_sensitive",
     "a24_scope_param_scope_mismatch",
+    "a13_distinct_sensitive",
 ]
 
 
