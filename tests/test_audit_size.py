@@ -20,6 +20,7 @@ NAMES = [
     "a12_param_non_sensitive",
     "a24_scope_param_scope_mismatch",
     "a13_distinct_sensitive",
+    "a28_audit_summary",
 ]
 
 
