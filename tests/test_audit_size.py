@@ -21,6 +21,7 @@ NAMES = [
     "a24_scope_param_scope_mismatch",
     "a13_distinct_sensitive",
     "a28_audit_summary",
+    "a16_limit_exceeds",
 ]
 
 
