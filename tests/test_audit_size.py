@@ -22,6 +22,7 @@ NAMES = [
     "a13_distinct_sensitive",
     "a28_audit_summary",
     "a16_limit_exceeds",
+    "a25_param_unused",
 ]
 
 
