@@ -23,6 +23,7 @@ NAMES = [
     "a28_audit_summary",
     "a16_limit_exceeds",
     "a25_param_unused",
+    "a24_metadata_param_no_scope",
 ]
 
 
