@@ -24,6 +24,7 @@ NAMES = [
     "a16_limit_exceeds",
     "a25_param_unused",
     "a24_metadata_param_no_scope",
+    "a23_sensitive_loc",
 ]
 
 
