@@ -25,6 +25,7 @@ NAMES = [
     "a25_param_unused",
     "a24_metadata_param_no_scope",
     "a23_sensitive_loc",
+    "a21_sensitive_cmp",
 ]
 
 
