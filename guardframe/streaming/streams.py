@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from guardframe.operators.sessions import IDLE, LIFE
 from guardframe.operators.tokens import Vault, tokenize, values_of
 from guardframe.scratch import durable
 
+#: Rows of a list that travels, and new rows that are compared at once, at least.
+PACK, FOLD = 10_000, 100_000
+
 
 def tokenize_stream(stream: DataFrame, columns: dict[str, str], vault_path: str, out_path: str, checkpoint: str, conn: str, gen: int = 0, trigger: dict | None = None, compact_every: int = 100) -> StreamingQuery:
     """Deterministic tokens on a stream: Parquet rows and vault entries, consistent over micro-batches.
@@ -103,65 +108,127 @@ def sessions_stream(events: DataFrame, late: str = "10 minutes", idle: int = IDL
     )
 
 
+def _stays(group: pa.Array, started: np.ndarray, session: np.ndarray, keep: int) -> np.ndarray:
+    """Which rows are among the `keep` latest-created of their group."""
+    code = group.dictionary_encode().indices.to_numpy()
+    order = np.lexsort((session, started, code))
+    code, place = code[order], np.arange(len(order))
+    ends = np.flatnonzero(np.append(code[1:] != code[:-1], True))
+    stays = np.empty(len(order), bool)
+    stays[order] = ends[np.searchsorted(ends, place)] - place < keep
+    return stays
+
+
+def _packed(bucket: np.ndarray, evicted: bool, group: pa.Array, started: np.ndarray, session: np.ndarray) -> pa.RecordBatch:
+    """Rows as lists, one for each run of equal buckets and PACK rows."""
+    fresh = np.arange(len(bucket)) % PACK == 0
+    fresh[1:] |= bucket[1:] != bucket[:-1]
+    starts = np.flatnonzero(fresh)
+    listed = lambda values: pa.ListArray.from_arrays(pa.array(np.append(starts, len(bucket)), pa.int32()), values)
+    columns = pa.array(bucket[starts], pa.int32()), pa.array(np.full(len(starts), evicted)), listed(group), listed(pa.array(started)), listed(pa.array(session))
+    return pa.RecordBatch.from_arrays(list(columns), ["bucket", "evicted", "group", "started", "session"])
+
+
+def _deal(keep: int):
+    """Packs a bucket's rows: what others of a trigger push out, where it is, and the rest for the buckets of its groups."""
+
+    def step(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, parts, last = key[0].as_py(), [], False
+        while not last:
+            batch = next(batches, None)
+            last = batch is None
+            parts += [] if last else [batch.select(["home", "group", "started", "session"])]
+            # at least half of what is folded is new
+            if parts and (last or sum(p.num_rows for p in parts[1:]) >= max(FOLD, parts[0].num_rows)):
+                rows = pa.Table.from_batches(parts).combine_chunks()
+                home, started, session = (rows[c].to_numpy() for c in ("home", "started", "session"))
+                group = rows["group"].combine_chunks()
+                stays = _stays(group, started, session, keep)
+                gone = np.flatnonzero(~stays)
+                if len(gone):
+                    yield _packed(np.full(len(gone), here, "int32"), True, group.take(pa.array(gone)), started[gone], session[gone])
+                stay = np.flatnonzero(stays)
+                if last:
+                    stay = stay[np.argsort(home[stay], kind="stable")]
+                    yield _packed(home[stay], False, group.take(pa.array(stay)), started[stay], session[stay])
+                else:
+                    parts = pa.Table.from_batches(parts).take(pa.array(stay)).combine_chunks().to_batches()
+
+    return step
+
+
 class _Newest(StatefulProcessor):
-    """The latest-created sessions of a key, at most `keep`; gives what they push out, and what came to stay if it is not the last level."""
+    """The latest-created sessions of the groups of a bucket, at most `keep` each; gives what they push out, and what is out already."""
 
-    def __init__(self, keep: int, last: bool):
-        self.keep, self.last = keep, last
+    def __init__(self, keep: int):
+        self.keep = keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.held = handle.getListState("held", StructType([StructField(n, LongType()) for n in ("started", "session")]))
+        fields = ("group", StringType()), ("started", LongType()), ("session", LongType())
+        self.held = handle.getValueState("held", StructType([StructField(n, ArrayType(t)) for n, t in fields]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        # plain tuples: a key has few rows, and a frame for each step would take most of the time
-        top = [(*r, False) for r in self.held.get()]
+        # the state first, then rows of this trigger; the state is read where a row may stay
+        parts, changed = [], False
         for part in rows:
-            lists = zip(*(part[c].tolist() for c in ("group", "started", "session", "evicted")))
-            out, come = [], []
-            for group, started, session, evicted in lists:
+            for evicted, *lists in zip(*(part[c] for c in ("evicted", "group", "started", "session"))):
                 if evicted:
-                    out.append((group, started, session, True))
-                else:
-                    come.append((started, session, True))
-            both = sorted(top + come, reverse=True)
-            top = both[: self.keep]
-            # the level before gave those that it held already to the last one, which pushes them out
-            out += [(key[0], started, session, True) for started, session, fresh in both[self.keep :] if self.last or fresh]
-            if out:
-                yield self._rows(out)
-        if top:
-            self.held.put([r[:2] for r in top])
-        if not self.last and (fresh := [(key[0], started, session, False) for started, session, fresh in top if fresh]):
-            yield self._rows(fresh)
-
-    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(dict(zip(("group", "started", "session", "evicted"), map(list, zip(*rows)))))
+                    yield self._rows(lists)
+                    continue
+                if not parts:
+                    held = self.held.get() if self.held.exists() else ([], [], [])
+                    parts = [self._lists(held)]
+                parts.append(self._lists(lists))
+                if sum(len(p[1]) for p in parts[1:]) >= max(FOLD, len(parts[0][1])):
+                    parts, out = self._fold(parts)
+                    changed = True
+                    yield from out
+        if len(parts) > 1:
+            parts, out = self._fold(parts)
+            changed = True
+            yield from out
+        if changed:
+            self.held.update(tuple(c.tolist() for c in parts[0]))
+
+    def _lists(self, lists) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.asarray(c, kind) for c, kind in zip(lists, (object, "int64", "int64")))
+
+    def _fold(self, parts: list) -> tuple[list, list[pd.DataFrame]]:
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        stays = _stays(pa.array(columns[0], pa.string()), columns[1], columns[2], self.keep)
+        gone = [c[~stays] for c in columns]
+        out = [self._rows([c[k : k + PACK] for c in gone]) for k in range(0, len(gone[0]), PACK)]
+        return [[c[stays] for c in columns]], out
+
+    def _rows(self, lists: list) -> pd.DataFrame:
+        return pd.DataFrame({n: [c] for n, c in zip(("group", "started", "session"), lists)})
 
     def close(self) -> None:
         pass
 
 
-def evictions_stream(sessions: DataFrame, keep: int, by: list[str], salts: int = 16) -> DataFrame:
+def evictions_stream(sessions: DataFrame, keep: int, by: list[str], salts: int = 16, buckets: int = 1024) -> DataFrame:
     """(*by, session, started), started in microseconds: each session once, as soon as `keep` others of its group were created after it.
 
     After each trigger the rows so far are those that evict_oldest_idle marks in the
     sessions so far, whatever order they came in; a session that never started goes
     first. session is a long and not null; by has numbers, strings or dates, nulls are a
-    group. Each part of a group keeps its own latest first, so that of a hot group no more
-    than keep rows a part and trigger meet in one task. A state has at most keep rows.
-    Needs the RocksDB state store.
+    group. Rows travel as lists of a bucket of groups, so Python is called for buckets, not
+    for groups. Each part of a group is cut to its own latest first, so that of a hot group
+    no more than keep rows a part and trigger meet in one task. A bucket's state has at most
+    keep rows of each of its groups, and is read and written whole in a trigger that has
+    rows of it: let buckets be some thousandth of keep times the groups. Their number stays
+    as long as the checkpoint. Needs the RocksDB state store.
     """
     micros = F.coalesce(F.unix_micros(F.col("started").cast("timestamp")), F.lit(-(2**63)))
     # a null in a key would come to Python as a number that equals nothing
     group = F.to_json(F.struct(*by))
-    rows = sessions.select(group.alias("group"), micros.alias("started"), F.col("session").cast("long").alias("session"), F.lit(False).alias("evicted"))
-    part = F.pmod(F.xxhash64("session"), F.lit(salts)).cast("int")
-    level = lambda df, last: df.groupBy("_key", "_part").transformWithStateInPandas(
-        statefulProcessor=_Newest(keep, last), outputStructType="group string, started long, session long, evicted boolean", outputMode="Append", timeMode="None"
-    )
-    first = level(rows.withColumns({"_key": F.col("group"), "_part": part}), False)
-    # what is out already need not meet the rest of its group
-    out = {"_key": F.when(~F.col("evicted"), F.col("group")).otherwise(""), "_part": F.when(F.col("evicted"), part).otherwise(-1)}
-    last = level(first.withColumns(out), True)
+    rows = sessions.select(group.alias("group"), micros.alias("started"), F.col("session").cast("long").alias("session"))
+    home, part = F.pmod(F.xxhash64("group"), F.lit(buckets)), F.pmod(F.xxhash64("session"), F.lit(salts))
+    rows = rows.select(F.pmod(home + part, F.lit(buckets)).cast("int").alias("bucket"), home.cast("int").alias("home"), "group", "started", "session")
+    lists = "group array<string>, started array<long>, session array<long>"
+    dealt = rows.groupBy("bucket").applyInArrow(_deal(keep), f"bucket int, evicted boolean, {lists}")
+    last = dealt.groupBy("bucket").transformWithStateInPandas(statefulProcessor=_Newest(keep), outputStructType=lists, outputMode="Append", timeMode="None")
+    last = last.select(F.inline(F.arrays_zip("group", "started", "session")))
     started = F.when(F.col("started") > F.lit(-(2**63)), F.col("started"))
     return last.select(F.from_json("group", sessions.select(*by).schema).alias("_g"), "session", started.alias("started")).select("_g.*", "session", "started")

@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
+from random import Random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,55 @@ def test_evictions_equal_the_batch_at_each_trigger(spark, rocks, tmp_path):
         want = batch.select("user", "session", F.unix_micros("started")).collect()
         order = lambda r: tuple((x is None, x or 0) for x in r)
         assert sorted(seen, key=order) == sorted(map(tuple, want), key=order)
+
+
+def test_evictions_call_python_for_buckets_not_for_groups(spark, rocks, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(g, 3 * g + k, start + timedelta(minutes=(k * 7 + g) % 5)) for g in range(400) for k in range(3)]
+    schema = "user long, session long, started timestamp"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    found = streams.evictions_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), 2, ["user"], buckets=8)
+    out = found.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+    q = out.trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [0 < state.numRowsTotal <= 8 for state in q.lastProgress.stateOperators] == [True]
+    batch = evict_oldest_idle(spark.createDataFrame(rows, schema), 2, ["user"]).where("evicted")
+    want = batch.select("user", "session", F.unix_micros("started")).collect()
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, want))
+
+
+class Held:
+    """A state that only its test sees."""
+
+    value = None
+    exists = lambda self: self.value is not None
+    get = lambda self: self.value
+    update = lambda self, value: setattr(self, "value", value)
+    getValueState = lambda self, name, schema: self
+
+
+@pytest.mark.parametrize("fold, pack", [(1, 1), (7, 3), (40, 10), (1000, 1000)])
+def test_long_lists_of_a_bucket_are_folded_in_pieces(monkeypatch, fold, pack):
+    """Rows that come in pieces, lists that are cut, and pieces of a hot group: each row once, and the latest stay."""
+    monkeypatch.setattr(streams, "FOLD", fold)
+    monkeypatch.setattr(streams, "PACK", pack)
+    random, keep, rows, out = Random(5), 3, [], []
+    state = streams._Newest(keep)
+    state.init(Held())
+    names = ["home", "group", "started", "session"]
+    for trigger in range(3):
+        fresh = [(g % 4, f"g{g}", random.randrange(30), random.randrange(10**6)) for g in [1] * 60 + [random.randrange(12) for _ in range(40)]]
+        rows += fresh
+        packed = []
+        for bucket in range(2):
+            mine = [r for r in fresh if r[3] % 2 == bucket]
+            batches = [pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in mine[k : k + 9]], pa.schema(list(zip(names, (pa.int32(), pa.string(), pa.int64(), pa.int64()))))) for k in range(0, len(mine), 9)]
+            packed += [b.to_pandas() for b in streams._deal(keep)((pa.scalar(bucket),), iter(batches))]
+        assert all(len(c) <= pack for p in packed for c in p["group"])
+        # no more than keep rows of a group and trigger come on from a bucket
+        assert sum(list(c).count("g1") for p in packed for e, c in zip(p["evicted"], p["group"]) if not e) <= 2 * keep
+        for part in state.handleInputRows((0,), iter(packed), None):
+            out += [r for lists in part.itertuples(index=False) for r in zip(*map(list, lists))]
+        stay = [s for g in {r[1] for r in rows} for s in sorted((r[1:] for r in rows if r[1] == g), key=lambda r: r[1:])[-keep:]]
+        assert sorted(zip(*state.held.value)) == sorted(stay)
+        assert sorted(out + stay) == sorted(r[1:] for r in rows)
