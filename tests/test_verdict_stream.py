@@ -111,3 +111,16 @@ def test_facts_are_kept_packed_and_dealt_to_bounded_parts(spark, log, rules, tmp
     want = A.first_verdict(tables[0], A.all_violations(*tables, *rules, conn="here", order=True))
     assert feed.verdicts() == sorted((r.query_id, r.code) for r in want.collect())
     assert kept == [1] and not (tmp_path / "out/scratch/batch=0").exists()
+
+
+def test_a_fact_is_parsed_once(spark, log):
+    """However many of its fields are asked for, before they are read and after."""
+    blocks = as_tables(spark.createDataFrame(log[1], FACT))[0]
+    asked = blocks.where("has_star or has_distinct or limit_value < 0").select("query_id", F.coalesce("scope", "status"))
+    assert asked._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_nodes_are_sorted_once_for_all_windows(spark, log, rules):
+    found = A.all_violations(*log[0], *rules, conn="here", order=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert len([line for line in plan.splitlines() if "Sort [" in line and "clause" in line]) == 1
